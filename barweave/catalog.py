@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import windows  # noqa: F401
+from .plans import groups, labels, relational, windows  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
 
 
