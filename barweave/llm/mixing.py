@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked, word_count, written
+from .common import BROADCAST_ROWS, word_count, written
 
 CAP = 2  # no document is taken more often
-MAX_STEPS, TOLERANCE = 40, 1e-9
+MAX_STEPS, TOLERANCE = 40, 1e-7
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
@@ -37,12 +37,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return t.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("w") * level).alias("target"))
 
 
-def _newton(cells: DataFrame, state: DataFrame) -> DataFrame:
+def _newton(cells: DataFrame, state: DataFrame, hint) -> DataFrame:
     """One Newton step of every source's dual, safeguarded by a bracket; a written table."""
     r = F.lit(float(CAP)) / (1 + F.exp(-F.col("lam") * F.col("x")))
     z = F.col("size") * F.col("n")
     sums = (
-        cells.join(checked(state), F.col("source").eqNullSafe(F.col("s")))
+        cells.join(hint(state), F.col("source").eqNullSafe(F.col("s")))
         .select("s", "target", "lam", "lo", "hi", (z * r).alias("f"), (z * F.col("x") * r * (1 - r / CAP)).alias("g"))
         .groupBy("s", "target", "lam", "lo", "hi").agg(F.sum("f").alias("f"), F.sum("g").alias("g"))
     )
@@ -51,7 +51,7 @@ def _newton(cells: DataFrame, state: DataFrame) -> DataFrame:
     step = F.col("lam") - F.try_divide(F.col("f") - F.col("target"), F.col("g"))
     inside = step.isNotNull() & (step > F.col("lo")) & (step < F.col("hi"))
     off = F.when(F.col("g") > 0, F.abs(F.col("f") - F.col("target")) / F.greatest("target", F.lit(1.0))).otherwise(F.lit(0.0))
-    return written(t.select("s", "target", F.when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2).alias("lam"), "lo", "hi", off.alias("off")), "mix_state")
+    return written(t.select("s", "target", F.when(off < TOLERANCE, F.col("lam")).when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2).alias("lam"), "lo", "hi", off.alias("off")), "mix_state")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
@@ -71,8 +71,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     scaled = written(cells.withColumn("x", F.col("size") / F.coalesce(scale, F.lit(1.0))), "mix_scaled")
     state = targets.select(F.col("source").alias("s"), "target", "source_size", F.lit(0.0).alias("lam"), F.lit(-4096.0).alias("lo"), F.lit(4096.0).alias("hi"))
     state = written(state.filter(F.col("target") < CAP * F.col("source_size")).drop("source_size"), "mix_state")
+    hint = F.broadcast if targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda t: t)
     for _ in range(MAX_STEPS):
-        state = _newton(scaled, state)
+        state = _newton(scaled, state, hint)
         if (state.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
             break
     # whole copies per cell: rates as millionths, so that sums are exact and reruns agree
@@ -81,8 +82,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(full, F.lit(float(CAP))).otherwise(F.lit(float(CAP)) / (1 + F.exp(-F.col("lam") * F.col("x"))))
     t = targets.select(F.col("source").alias("s"), "target", "source_size")
     planned = (
-        scaled.join(checked(lam), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-        .join(checked(t), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        scaled.join(hint(lam), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        .join(hint(t), F.col("source").eqNullSafe(F.col("s"))).drop("s")
         .withColumn("millionths", F.round(rate * 1_000_000).cast("long") * F.col("n"))
     )
     down = Window.partitionBy("source").orderBy(F.col("size").desc())  # rows are cells: at most one per size
