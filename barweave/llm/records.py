@@ -1,7 +1,8 @@
 """Token ids as length-delimited binary records.
 
 A record is: payload length (u64), masked crc32 of these 8 bytes (u32), payload, masked crc32 of the
-payload (u32), all little-endian; a payload is doc_id (i64) and the ids (u32 each). Beside each
+payload (u32), all little-endian; a payload is doc_id (i64), the bytes per id (u8: 2 if the vocabulary
+is under 65,536, else 4) and the ids. Beside each
 data file stands an index of (offset u64, doc_id i64, ids u64) per record, so that a shuffled reader
 can seek. Documents are range-partitioned by doc_id: file after file, record after record is
 ascending. A task writes under a name of its own attempt and reports it, so a repeated task
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, texts, written
 
-#: Words that a worker remembers before it starts afresh.
-MEMO = 400_000
+#: Most words that a worker remembers; later ones are encoded each time.
+MEMO = 1_200_000
 #: Layout of an index entry: offset, doc_id, number of ids.
 INDEX = "<QqQ"
 
@@ -54,6 +55,12 @@ def unframed(f) -> bytes | None:
     return body[:size]
 
 
+def parsed(payload: bytes) -> tuple[int, np.ndarray]:
+    """doc_id and u32 ids of a payload."""
+    doc_id, width = struct.unpack("<qB", payload[:9])
+    return doc_id, np.frombuffer(payload[9:], f"<u{width}").astype("<u4")
+
+
 class WordIds:
     """Ids of whole texts by the tokenizer, word by word: its normaliser and splitter never join
     over ASCII white space, so words are encoded once and remembered."""
@@ -63,19 +70,24 @@ class WordIds:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = special_as_text
+        self.width = 2 if self.tok.get_vocab_size() < 1 << 16 else 4
         self.memo: dict[bytes, bytes] = {}
 
     def encode_all(self, bufs: list[bytes | None]) -> list[bytes]:
-        """Little-endian u32 ids of every text, without end ids."""
+        """Little-endian ids of every text, without end ids."""
         words = [t.split() if t else [] for t in bufs]
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        new = list({w for ws in words for w in ws}.difference(self.memo))
+        memo, pack = self.memo, {2: "<%dH", 4: "<%dI"}[self.width]
+        new = list({w for ws in words for w in ws}.difference(memo))
+        fresh = {}
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.memo[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.memo.__getitem__, ws)) for ws in words]
+                fresh[w] = struct.pack(pack % len(e.ids), *e.ids)
+        if len(memo) + len(fresh) <= MEMO:
+            memo.update(fresh)
+            fresh = {}
+        get = memo.__getitem__ if not fresh else lambda w: memo.get(w) or fresh.get(w, b"")
+        return [b"".join(map(get, ws)) for ws in words]
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -107,16 +119,16 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         fs, root = _fs(folder)
         fs.create_dir(root, recursive=True)
         records = ids = 0
-        offset, tail = 0, struct.pack("<I", end_id)
+        offset, tail = 0, end_id.to_bytes(enc.width, "little")
         with fs.open_output_stream(f"{root}/{name}.rec") as data, fs.open_output_stream(f"{root}/{name}.idx") as index:
             for b in batches:
                 col = b.column("doc_id").to_pylist()
                 bufs = texts(b)
                 for at in range(0, len(bufs), 512):
                     for doc_id, own in zip(col[at : at + 512], enc.encode_all(bufs[at : at + 512]), strict=True):
-                        r = framed(struct.pack("<q", doc_id) + own + tail)
+                        r = framed(struct.pack("<qB", doc_id, enc.width) + own + tail)
                         data.write(r)
-                        n = len(own) // 4 + 1
+                        n = len(own) // enc.width + 1
                         index.write(struct.pack(INDEX, offset, doc_id, n))
                         offset, records, ids = offset + len(r), records + 1, ids + n
         if records:
@@ -140,9 +152,10 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
                 with fs.open_input_stream(f"{root}/{f['file']}.rec") as d:
                     for offset, doc_id, n in index:
                         payload = unframed(d)
-                        if payload is None or offset != at or struct.unpack("<q", payload[:8])[0] != doc_id or len(payload) != 8 + 4 * n:
+                        own, ids = parsed(payload) if payload is not None else (None, ())
+                        if offset != at or own != doc_id or len(ids) != n:
                             raise ValueError(f"{f['file']} and its index differ")
-                        rows.append({"doc_id": doc_id, "start": start, "n_tokens": n, "ids_crc32": zlib.crc32(payload[8:])})
+                        rows.append({"doc_id": doc_id, "start": start, "n_tokens": n, "ids_crc32": zlib.crc32(ids.tobytes())})
                         at, start = at + len(payload) + 16, start + n
                         if len(rows) == 10_000:
                             yield pa.RecordBatch.from_pylist(rows)
@@ -164,7 +177,7 @@ def read_at(folder: str, file: str, offset: int) -> tuple[int, np.ndarray]:
     with fs.open_input_file(f"{root}/{file}.rec") as f:
         f.seek(offset)
         payload = unframed(f)
-    return struct.unpack("<q", payload[:8])[0], np.frombuffer(payload[8:], "<u4")
+    return parsed(payload)
 
 
 def binary_output(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
