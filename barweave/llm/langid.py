@@ -57,8 +57,10 @@ def profiles(bufs: list[bytes]) -> np.ndarray:
 def codewords(n: int) -> np.ndarray:
     """n rows of +1/-1: all distinct splits for up to 5 languages, else the random code of
     10 log2 n bits with the largest least distance among 64 draws."""
+    if n < 2:
+        return np.zeros((n, 0))
     if n <= 5:
-        bits = [[1 if (i == 0 or not (c >> (i - 1)) & 1) else -1 for i in range(n)] for c in range(1, 2 ** max(0, n - 1))]
+        bits = [[1 if (i == 0 or not (c >> (i - 1)) & 1) else -1 for i in range(n)] for c in range(1, 2 ** (n - 1))]
         return np.array(bits, float).T.reshape(n, -1)
     rng, length = np.random.default_rng(7), int(np.ceil(10 * np.log2(n)))
     best = (-1, None)
