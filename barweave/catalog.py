@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import groups, labels, relational, setups, windows  # noqa: F401
+from .plans import groups, labels, learning, relational, setups, sources, windows  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
 
 
