@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from barweave.llm import components, jaccard, langid, linededup, mixing, pieces, quality, records, sharding, suffix, topk
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -350,7 +351,7 @@ def test_language_codes_and_prediction(spark, docs, none):
 def test_held_out_accuracy(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     true = {r["doc_id"]: r["lang"] for r in rows_of(df.select("doc_id", "lang"))}
-    got = rows_of(langid.predict(df, langid.fit(df)).where(langid.is_held_out(df["doc_id"])))
+    got = rows_of(langid.predict(df, langid.fit(df)).where(langid.is_held_out(F.col("doc_id"))))
     assert np.mean([r["lang_pred"] == true[r["doc_id"]] for r in got]) >= 0.97
 
 
