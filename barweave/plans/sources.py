@@ -94,4 +94,4 @@ def weekly_window(spark, sf_dir):
     """The streaming aggregate on the events as a batch: both run the same plan."""
     from ..streaming.bars import weekly_totals
 
-    return weekly_totals(table(spark, sf_dir, "events")).select("week_start", "event_type", "n")
+    return weekly_totals(table(spark, sf_dir, "events")).select(F.col("week_start").cast("timestamp_ntz").alias("week_start"), "event_type", "n")

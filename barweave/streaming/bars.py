@@ -29,15 +29,20 @@ def upsert_sink(path: str, keys: list[str], tiebreak: str):
     return merge
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Watermarks need timestamps with a zone; wall-clock ones are read in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def weekly_totals(events: DataFrame, delay: str = "7 days") -> DataFrame:
     """Tumbling weeks that end on Friday midnight, late rows up to ``delay``."""
     w = F.window("ts", "7 days", "7 days", "2 days")
-    return events.withWatermark("ts", delay).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("week_start"), "event_type", "n", "total")
+    return _timed(events).withWatermark("ts", delay).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("week_start"), "event_type", "n", "total")
 
 
 def first_seen(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Duplicates of an event dropped within the watermark (the first one stays)."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    return _timed(events).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def cooldown(events: DataFrame, days: int = 15) -> DataFrame:
@@ -55,4 +60,4 @@ def cooldown(events: DataFrame, days: int = 15) -> DataFrame:
             state.update((last.to_pydatetime(),))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "ts"])
 
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(keep, "user_id long, event_id long, ts timestamp", "last timestamp", "append", GroupStateTimeout.NoTimeout)
+    return _timed(events).select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(keep, "user_id long, event_id long, ts timestamp", "last timestamp", "append", GroupStateTimeout.NoTimeout)
