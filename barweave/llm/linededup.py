@@ -21,11 +21,9 @@ def line_key(line: Column) -> Column:
 
 def frequent_line_positions(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     """uid, dropped array<int>: 0-based positions of the lines whose key is in ``min_docs`` documents."""
-    hashed = F.transform(
-        F.split(F.col("text"), "\n", -1),
-        lambda x: F.when(F.char_length(line_key(x)) >= min_chars, F.struct(F.xxhash64(line_key(x)).alias("a"), F.hash(line_key(x)).alias("b"))),
-    )
-    lines = docs.filter(F.col("text") != "").select("uid", hashed.alias("keys"))
+    keys = F.transform(F.split(F.col("text"), "\n", -1), line_key)
+    hashed = F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.hash(k).alias("b"))))
+    lines = written(docs.filter(F.col("text") != "").select("uid", hashed.alias("keys")), "line_keys")  # hashes only
     counts = (
         lines.select(F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("key"))
         .groupBy("key.a", "key.b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("a", "b")

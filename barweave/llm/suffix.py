@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import bloom_words, checked, in_bloom, mix64, texts, written
 
-GRAM, PART_BYTES, SHARD_BYTES, BLOOM_BITS = 24, 4 << 20, 8 << 20, 27
+GRAM, PART_BYTES, SHARD_BYTES, BLOOM_BITS = 24, 2 << 20, 4 << 20, 27
 
 
 def words8(t: np.ndarray) -> np.ndarray:
@@ -338,7 +338,7 @@ def removed_spans(docs: DataFrame, length: int = 50, part_bytes: int = SHARD_BYT
         raise ValueError(f"length must be at least {GRAM}")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    log2 = max(8, (4 * parts - 1).bit_length())
+    log2 = max(8, (8 * parts - 1).bit_length())
     long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     digest = written(long.select("doc_id", "h", F.unhex(F.md5(F.col("text").cast("binary"))).alias("d")), "suffix_digests")
     first = written(digest.groupBy("d").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("d", "first"), "suffix_firsts")
