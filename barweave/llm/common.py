@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 #: The white space of the word definition ``[^\x20\x09-\x0D]+``.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows up to which a two-column key table may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table may be broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: What a row takes in a broadcast table besides its values.
+ROW_BYTES = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +37,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def row_bytes(df: DataFrame):
+    """Bytes of a row as a column: text and binary by length, arrays by 8 a value."""
+
+    def width(name: str, kind: str):
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(F.col(name)), F.lit(0))
+        return F.coalesce(F.size(name) * 8, F.lit(0)) if kind.startswith("array") else F.lit(8 * (kind.count(":") or 1))
+
+    return sum((width(*x).cast("long") for x in df.dtypes), F.lit(ROW_BYTES).cast("long"))
+
+
+def fits(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` (a written table, as it is read once for this) takes ``most`` bytes or less."""
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= most
+
+
+def checked(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if it fits ``most`` bytes, else as it is."""
+    return F.broadcast(df) if fits(df, most) else df
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

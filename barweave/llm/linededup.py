@@ -51,7 +51,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("dropped", i)), "\n")
     gone = F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped"))
     return (
-        docs.join(checked(dropped, 400_000), "uid", "left")
+        docs.join(checked(dropped), "uid", "left")
         .withColumn("n_lines", F.size(lines).cast("long"))
         .withColumn("n_dropped", gone.cast("long"))
         .withColumn("text", F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept))

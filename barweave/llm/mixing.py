@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, word_count, written
+from .common import fits, word_count, written
 
 CAP = 2  # no document is taken more often
 MAX_STEPS, TOLERANCE = 40, 1e-7
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     scaled = written(cells.withColumn("x", F.col("size") / F.coalesce(scale, F.lit(1.0))), "mix_scaled")
     state = targets.select(F.col("source").alias("s"), "target", "source_size", F.lit(0.0).alias("lam"), F.lit(-4096.0).alias("lo"), F.lit(4096.0).alias("hi"))
     state = written(state.filter(F.col("target") < CAP * F.col("source_size")).drop("source_size"), "mix_state")
-    hint = F.broadcast if targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda t: t)
+    hint = F.broadcast if fits(targets) else (lambda t: t)
     for _ in range(MAX_STEPS):
         state = _newton(scaled, state, hint)
         if (state.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:

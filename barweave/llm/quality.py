@@ -44,7 +44,7 @@ def statistics(text: bytes | None, window: int = 5) -> tuple[int, ...]:
         h = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, n)
         distinct = len(ids)
         w = h[: n - window + 1].astype(np.uint64)
-        for j in range(1, window):  # exact for up to 2**12 distinct words, checked below otherwise
+        for j in range(1, window):  # 64-bit hashes of the windows
             w = w * np.uint64(0x9E3779B97F4A7C15) + h[j : n - window + 1 + j].astype(np.uint64)
         order = np.argsort(w, kind="stable")
         same = np.flatnonzero(w[order][1:] == w[order][:-1])

@@ -362,6 +362,6 @@ def dedup_substrings(docs: DataFrame, length: int = 50, part_bytes: int = SHARD_
     """
     copies, spans = removed_spans(docs, length, part_bytes)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    rows = rows.join(checked(copies.withColumn("copy", F.lit(True))), ["doc_id", "h"], "left").join(checked(spans, 300_000), ["doc_id", "h"], "left")
+    rows = rows.join(checked(copies).withColumn("copy", F.lit(True)), ["doc_id", "h"], "left").join(checked(spans), ["doc_id", "h"], "left")
     kind = dict(docs.dtypes)["doc_id"]
     return rows.select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
