@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,14 @@ from pyspark.sql import functions as F
 from .common import texts
 
 SPACE = "▁"
-#: Chunks that a worker remembers before it starts afresh.
-MEMO = 400_000
+#: Most chunks that a worker remembers; later ones are encoded each time.
+MEMO = 300_000
+#: Most pairs of tokens whose compatibility a worker remembers before it starts afresh.
+PAIRS = 500_000
+#: Rows of an output batch.
+ROWS = 256
+#: Stands for no token, next to ids below BASE.
+START, BASE = (1 << 24) - 1, 1 << 24
 
 
 class PieceCodec:
@@ -52,10 +59,11 @@ class PieceCodec:
             raise ValueError("the model has pieces across words")
         self.auto = ahocorasick.Automaton()
         for p, i in self.id.items():
-            self.auto.add_word(p, (i, len(p), p))
+            self.auto.add_word(p, (i, len(p)))
         self.auto.make_automaton()
-        self.text_of = list(self.id)
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.vocab = list(map(sp.id_to_piece, range(sp.vocab_size())))
+        #: Whether two tokens may be neighbours, by their ids; START: whether a token stands first.
+        self.fits: dict[int, bool] = {}
         self.memo: dict[str, str] = {}
         self.by_text = {str(i): p for i, p in enumerate(self.piece)}
 
@@ -83,54 +91,40 @@ class PieceCodec:
             offer(i, right[i])
         return [p for p in part if p is not None]
 
-    def compatible(self, a: str, b: str) -> bool:
-        hit = self.fits.get((a, b))
-        if hit is None:
-            if len(self.fits) > 1_000_000:
-                self.fits.clear()
-            hit = self.fits[a, b] = self.merged(a + b) == [a, b]
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether token ``b`` may follow ``a``; a may be START (nothing, or a character that no piece holds)."""
+        if len(self.fits) > PAIRS:
+            self.fits.clear()
+        y = self.vocab[b]
+        both = [y] if a == START else [self.vocab[a], y]
+        hit = self.fits[a * BASE + b] = self.merged("".join(both)) == both
         return hit
 
     def chunk_ids(self, chunk: str) -> list[int]:
         """Ids of a chunk, spaces written as SPACE."""
-        n = len(chunk)
-        last: list[str | None] = [None] * (n + 1)
-        fits, filled = self.fits, 0
-        for end, (_, size, piece) in self.auto.iter(chunk):
+        # last[e]: the last token of the prefix of e characters; START at 0 and after a character outside the vocabulary
+        last: list[int | None] = [START] + [None] * len(chunk)
+        known = self.fits.get
+        for end, (token, size) in self.auto.iter(chunk):
             end += 1
-            while filled < end - 1:  # no match ends there: a character outside the vocabulary
-                filled += 1
-                if last[filled] is None:
-                    last[filled] = chunk[filled - 1]
             if last[end] is not None:
                 continue
-            start = end - size
-            if start == 0:
-                # a whole prefix is a token only if merging would build it
-                hit = fits.get(("", piece))
-                if hit is None:
-                    hit = fits["", piece] = self.merged(piece) == [piece]
-            else:
-                before = last[start]
-                hit = fits.get((before, piece))
-                if hit is None:
-                    hit = self.compatible(before, piece)
-            if hit:
-                last[end] = piece
-        while filled < n:
-            filled += 1
-            if last[filled] is None:
-                last[filled] = chunk[filled - 1]
+            before = last[end - size]
+            if before is None:  # no piece ends there
+                before = last[end - size] = START
+            hit = known(before * BASE + token)
+            if self.compatible(before, token) if hit is None else hit:
+                last[end] = token
         back: list[int] = []
-        at = n
+        at = len(chunk)
         while at:
-            piece = last[at]
-            i = self.id.get(piece)
-            if i is None:
-                back.extend(self.byte[x] for x in reversed(piece.encode()))
+            token = last[at]
+            if token is None or token == START:
+                back.extend(self.byte[x] for x in reversed(chunk[at - 1].encode()))
+                at -= 1
             else:
-                back.append(i)
-            at -= len(piece)
+                back.append(token)
+                at -= len(self.vocab[token])
         return back[::-1]
 
     def encode_text(self, text: str) -> str:
@@ -143,10 +137,8 @@ class PieceCodec:
         for c in chunks:
             ids = memo.get(c)
             if ids is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
                 ids = ",".join(map(str, self.chunk_ids(c)))
-                if len(c) <= 64:
+                if len(c) <= 64 and len(memo) < MEMO:
                     memo[c] = ids
             out.append(ids)
         return ",".join(out)
@@ -179,18 +171,19 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            n, ids_sha, text_sha, ids = [], [], [], []
-            for t in texts(b):
-                s = c.encode_text(t.decode()) if t else ""
-                n.append(s.count(",") + 1 if s else 0)
-                ids_sha.append(hashlib.sha256(s.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(c.decode_text(s).encode()).hexdigest())
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                encoded = [c.encode_text(t.decode()) if t else "" for t in texts(part)]
+                n = [s.count(",") + 1 if s else 0 for s in encoded]
+                columns = {
+                    "doc_id": part.column("doc_id"), "n_tokens": pa.array(n, pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(s.encode()).hexdigest() for s in encoded], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(c.decode_text(s).encode()).hexdigest() for s in encoded], pa.string()),
+                }
                 if with_ids:
-                    ids.append(list(map(int, s.split(","))) if s else [])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())] + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []),
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids,
-            )
+                    ids = np.array(",".join(filter(None, encoded)).split(",") if any(n) else [], np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(np.cumsum([0, *n], dtype=np.int32), ids)
+                yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
