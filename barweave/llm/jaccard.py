@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_words, checked, in_bloom, mix64, texts, written
+from .common import bloom_words, checked, in_bloom, mix64, slices, texts, written
 from .components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -64,17 +64,15 @@ _SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.in
 
 def _sets(k: int, num: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, bufs = b.column("doc_id").to_pylist(), texts(b)
-            for at in range(0, len(ids), 500):
-                rows = []
-                for i, t in zip(ids[at : at + 500], bufs[at : at + 500], strict=True):
-                    s = shingle_set(t, k)
-                    d = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else bytes(16)
-                    bands = sorted({band_of(len(s)), band_of(len(s) * 100 // num)}) if len(s) else []
-                    own = np.frombuffer(d, np.int64)
-                    rows.append((i, len(s), int(own[0]), int(own[1]), s[: needed(len(s), num)].view(np.int64) if len(s) else [], [{"band": x, "bits": bitmap(s, x)} for x in bands]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SETS_ARROW, strict=True)], schema=_SETS_ARROW)
+        for b in slices(batches):
+            rows = []
+            for i, t in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
+                s = shingle_set(t, k)
+                d = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else bytes(16)
+                bands = sorted({band_of(len(s)), band_of(len(s) * 100 // num)}) if len(s) else []
+                own = np.frombuffer(d, np.int64)
+                rows.append((i, len(s), int(own[0]), int(own[1]), s[: needed(len(s), num)].view(np.int64) if len(s) else [], [{"band": x, "bits": bitmap(s, x)} for x in bands]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SETS_ARROW, strict=True)], schema=_SETS_ARROW)
 
     return run
 
@@ -200,7 +198,7 @@ def _verify(k: int, num: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[tuple, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             ok = []
             ids = [b.column("a").to_pylist(), b.column("b").to_pylist()]
             for i, j, x, y in zip(*ids, texts(b, "ta"), texts(b, "tb"), strict=True):

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import slices, texts
 
 SPACE = "▁"
 #: Most chunks that a worker remembers; later ones are encoded each time.
-MEMO = 300_000
+MEMO = 150_000
 #: Most pairs of tokens whose compatibility a worker remembers before it starts afresh.
-PAIRS = 500_000
+PAIRS = 250_000
 #: Rows of an output batch.
 ROWS = 256
 #: Stands for no token, next to ids below BASE.
@@ -170,20 +170,18 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
-                encoded = [c.encode_text(t.decode()) if t else "" for t in texts(part)]
-                n = [s.count(",") + 1 if s else 0 for s in encoded]
-                columns = {
-                    "doc_id": part.column("doc_id"), "n_tokens": pa.array(n, pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(s.encode()).hexdigest() for s in encoded], pa.string()),
-                    "decoded_sha256": pa.array([hashlib.sha256(c.decode_text(s).encode()).hexdigest() for s in encoded], pa.string()),
-                }
-                if with_ids:
-                    ids = np.array(",".join(filter(None, encoded)).split(",") if any(n) else [], np.int32)
-                    columns["ids"] = pa.ListArray.from_arrays(np.cumsum([0, *n], dtype=np.int32), ids)
-                yield pa.RecordBatch.from_pydict(columns)
+        for part in slices(batches, ROWS):
+            encoded = [c.encode_text(t.decode()) if t else "" for t in texts(part)]
+            n = [s.count(",") + 1 if s else 0 for s in encoded]
+            columns = {
+                "doc_id": part.column("doc_id"), "n_tokens": pa.array(n, pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(s.encode()).hexdigest() for s in encoded], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(c.decode_text(s).encode()).hexdigest() for s in encoded], pa.string()),
+            }
+            if with_ids:
+                ids = np.array(",".join(filter(None, encoded)).split(",") if any(n) else [], np.int32)
+                columns["ids"] = pa.ListArray.from_arrays(np.cumsum([0, *n], dtype=np.int32), ids)
+            yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, texts, written
+from .common import checked, slices, texts, written
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_upper", "n_stops", "n_distinct"]
@@ -63,7 +63,7 @@ def statistics(text: bytes | None, window: int = 5) -> tuple[int, ...]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         rows = np.array([statistics(t) for t in texts(b)], np.int64).reshape(-1, 8)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(rows[:, i]) for i in range(8)], b.column("h")], names=["doc_id", *BASE, *EXTRA, "h"])
 
