@@ -107,7 +107,4 @@ def rows_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 def word_count(text):
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text column (null: 0), JVM-side."""
-    squeezed = F.btrim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "), F.lit(" "))
-    return F.when(F.coalesce(F.length(squeezed), F.lit(0)) == 0, F.lit(0)).otherwise(
-        F.length(squeezed) - F.length(F.translate(squeezed, " ", "")) + 1
-    ).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -60,11 +60,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     Defined cases: a null text has size 0; documents of size 0 add nothing and are taken once; a
     null source is a source of its own, the last; repeated rows are separate documents; a source
     at its cap takes every document twice; an empty table gives no rows; further columns pass
-    through (the added names are replaced where they exist).
+    through (the added names are replaced where they exist; names that begin with ``_mix_`` are kept for the operator).
     """
     added = ["size", "source_size", "target", "copies", "taken"]
-    sized = docs.drop(*added).withColumn("size", word_count(F.col("text")))
-    cells = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix_cells")
+    keyed = docs.drop(*added).withColumn("size", word_count(F.col("text"))).withColumn("_mix_h", F.xxhash64("doc_id", "text")).withColumn("_mix_bucket", F.pmod("_mix_h", F.lit(256)))
+    buckets = written(keyed.groupBy("source", "size", F.col("_mix_bucket").alias("bucket")).agg(F.count("*").alias("m")), "mix_buckets")
+    cells = written(buckets.groupBy("source", "size").agg(F.sum("m").alias("n")), "mix_cells")
     sizes = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = written(source_targets(sizes, weights, share), "mix_targets")
     scale = F.greatest(F.lit(1.0), F.try_divide(F.sum(F.col("size") * F.col("size") * F.col("n")).over(Window.partitionBy("source")).cast("double"), F.sum(F.col("size") * F.col("n")).over(Window.partitionBy("source"))))
@@ -94,9 +95,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     for _ in range(3):
         planned = _settle(planned, down)
     planned = written(planned.select("source", "size", "n", "k", "target", "source_size"), "mix_copies")
-    cell = Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id")
-    keyed = sized.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("bucket", F.pmod("h", F.lit(256)))
-    buckets = keyed.groupBy("source", "size", "bucket").agg(F.count("*").alias("m"))
     p, b = planned.alias("p"), buckets.alias("b")
     dealt = b.join(p, (F.col("b.source").eqNullSafe(F.col("p.source"))) & (F.col("b.size") == F.col("p.size"))).select(
         "b.source", "b.size", "b.bucket", "m", "n", "k", "target", "source_size",
@@ -110,12 +108,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
             (more(F.col("upto")) - more(F.col("upto") - F.col("m"))).alias("extra"), "target", "source_size",
         ), "mix_dealt",
     )
+    # one key without nulls for the window and the join: the rows are dealt once
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    cell = Window.partitionBy("_mix_k", "size", "_mix_bucket").orderBy("_mix_h", "doc_id")
     return (
-        keyed.withColumn("r", F.row_number().over(cell))
-        .join(dealt, (F.col("source").eqNullSafe(F.col("s"))) & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("u")))
-        .withColumn("copies", (F.col("base") + (F.col("r") <= F.col("extra")).cast("int")).cast("int"))
+        keyed.withColumn("_mix_k", named(F.col("source"))).withColumn("_mix_r", F.row_number().over(cell))
+        .join(dealt.select(named(F.col("s")).alias("_mix_k"), F.col("z").alias("size"), F.col("u").alias("_mix_bucket"), F.col("base").alias("_mix_base"), F.col("extra").alias("_mix_extra"), "target", "source_size"), ["_mix_k", "size", "_mix_bucket"])
+        .withColumn("copies", (F.col("_mix_base") + (F.col("_mix_r") <= F.col("_mix_extra")).cast("int")).cast("int"))
         .withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-        .drop("h", "bucket", "r", "s", "z", "u", "base", "extra")
+        .select(*[c for c in docs.columns if c not in added], *added)
     )
 
 
