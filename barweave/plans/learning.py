@@ -14,12 +14,11 @@ FEATURES = ["rsi14", "bbw", "vdu", "adx14", "dist"]
 
 
 def labelled(spark, sf_dir):
-    """id, asof, exit_date, y, weight, r_multiple and features of one entry per symbol and 20 bars."""
+    """id, asof, exit_date, y, weight, r_multiple and features of every labelled bar from the 210th of its symbol on."""
     ind = with_indicators(walk_bars(spark, sf_dir)).filter("n >= 210").selectExpr("symbol", "dt", "n", "rsi14", "bbw", "1 - v10 / v50 AS vdu", "adx14", "close / ma50 - 1 AS dist", "close > ma200 AS above")
     out = triple_barrier(spark, sf_dir).select("symbol", "dt", "label", "exit_date", "r_multiple")
-    rows = ind.join(out, ["symbol", "dt"]).withColumn("spell", F.expr("n div 20"))
-    first = rows.groupBy("symbol", "spell").agg(F.min_by(F.struct("dt", "exit_date", "label", "r_multiple", "above", *FEATURES), "n").alias("f"))
-    return first.select((F.col("symbol") * 1000 + F.col("spell")).alias("id"), F.col("f.dt").alias("asof"), "f.exit_date", (F.col("f.label") == 1).cast("int").alias("y"), F.lit(1.0).alias("weight"), "f.r_multiple", F.col("f.above").alias("above"), *[F.col(f"f.{c}").alias(c) for c in FEATURES])
+    rows = ind.join(out, ["symbol", "dt"])
+    return rows.select((F.col("symbol").cast("long") * 100_000 + F.col("n")).alias("id"), F.col("dt").alias("asof"), "exit_date", (F.col("label") == 1).cast("int").alias("y"), F.lit(1.0).alias("weight"), "r_multiple", "above", *FEATURES)
 
 
 def _prepared(spark, sf_dir, folds: int = 2):
