@@ -65,7 +65,7 @@ class WordIds:
     """Ids of whole texts by the tokenizer, word by word: its normaliser and splitter never join
     over ASCII white space, so words are encoded once and remembered."""
 
-    def __init__(self, path: str, special_as_text: bool = True):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)

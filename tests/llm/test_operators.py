@@ -320,6 +320,20 @@ def test_records(docs, none, tmp_path):
     assert doc == 9 and ids.tolist() == [*tok.encode("one two three", add_special_tokens=False).ids, 1]
 
 
+def test_records_encode_special_literals_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BPE)
+    texts = ["Hello <|endoftext|> wor<|startoftext|>ld", "<|endoftext|><|startoftext|>", "a <|endoftext|>b c<|endoftext|>", " <|startoftext|> \n\t<|endoftext|>", "é<|endoftext|>日 <|endoftext", "Up <|ENDOFTEXT|> down"]
+    start, want = 0, []
+    for i, t in enumerate(texts):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 1]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = rows_of(records.binary_output(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BPE))
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+
+
 def test_damaged_record_is_refused(tmp_path):
     good = records.framed(b"payload")
     for at in (3, 9, 14, len(good) - 1):
