@@ -1,6 +1,6 @@
 """Line dedup, by DataFrame functions only.
 
-Lines are exploded as 96-bit hashes of their normalised form, documents are counted per hash with
+Lines are exploded as 96-bit hashes of their normalised form, distinct doc_ids are counted per hash with
 map-side combine, and the positions of lines over the threshold go back to their document, whose
 text is rebuilt from the remaining positions. Only hashes and positions are shuffled unless the
 positions to drop are too many to broadcast.
@@ -23,10 +23,10 @@ def frequent_line_positions(docs: DataFrame, min_docs: int, min_chars: int) -> D
     """uid, dropped array<int>: 0-based positions of the lines whose key is in ``min_docs`` documents."""
     keys = F.transform(F.split(F.col("text"), "\n", -1), line_key)
     hashed = F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.hash(k).alias("b"))))
-    lines = written(docs.filter(F.col("text") != "").select("uid", hashed.alias("keys")), "line_keys")  # hashes only
+    lines = written(docs.filter(F.col("text") != "").select("uid", hashed.alias("keys")), "line_keys")  # hashes and ids only
     counts = (
-        lines.select(F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("key"))
-        .groupBy("key.a", "key.b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("a", "b")
+        lines.select("uid.doc_id", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("key"))
+        .select("key.a", "key.b", "doc_id").distinct().groupBy("a", "b").agg(F.count("doc_id").alias("n")).filter(F.col("n") >= min_docs).select("a", "b")
     )
     frequent = written(counts, "frequent_lines")
     exploded = lines.select("uid", F.posexplode("keys").alias("pos", "key")).filter(F.col("key").isNotNull()).select("uid", "pos", "key.a", "key.b")
@@ -39,9 +39,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     """``docs`` with text replaced by its kept lines, and n_lines, n_dropped (long) added.
 
     Defined cases: null and empty text are one empty line, kept, and give ``""``; a line of white
-    space only has an empty key and stays (``min_chars`` 1); each row counts as one document, and a
-    line repeated inside one document counts once; an empty table gives no rows; further columns
-    pass through (``uid``, ``dropped``, ``n_lines``, ``n_dropped`` are replaced where they exist).
+    space only has an empty key and stays (``min_chars`` 1); rows that repeat a doc_id count as one
+    document and rows without doc_id as none, and a line repeated inside one document counts once;
+    an empty table gives no rows; further columns pass through (``uid``, ``dropped``, ``n_lines``, ``n_dropped`` are replaced where they exist).
     """
     docs = docs.drop("uid", "dropped", "n_lines", "n_dropped").withColumn(
         "uid", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))

@@ -264,6 +264,24 @@ def test_line_dedup(docs, none):
     assert rows_of(linededup.dedup_lines(none)) == []
 
 
+def test_line_dedup_counts_documents_not_rows(spark, tmp_path):
+    """A document repeated ten times, beside a line in nine, one in ten documents and one in nine and in rows without id."""
+    import duckdb
+    from barweave.llm import queries
+
+    rows = [(1, "only here\n\nand here")] * 10 + [(i, f"own {i}" + "\nNine of them" * (i < 19) + "\n ten of them ") for i in range(10, 20)] * 2
+    rows += [(None, "own 5\nnine of them\nno id")] * 12
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = linededup.dedup_lines(spark.read.parquet(f"{tmp_path}/documents.parquet"), 10, 1)
+    assert out.count() == len(rows)
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1:3] for r in c.sql(queries.ORACLE["op8_line_dedup"]).fetchall()}
+    got = {r["doc_id"]: (r["l"], r["d"]) for r in rows_of(out.groupBy("doc_id").agg(F.sum("n_lines").alias("l"), F.sum("n_dropped").alias("d")))}
+    assert got == want and got[1] == (30, 0) and got[10] == (6, 2)
+
+
 def test_mixing(docs, none):
     out = rows_of(mixing.mix(docs))
     assert len(out) == len(corpus())
