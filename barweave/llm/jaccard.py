@@ -204,11 +204,11 @@ def _verify(k: int, num: int):
             for i, j, x, y in zip(*ids, texts(b, "ta"), texts(b, "tb"), strict=True):
                 both = []
                 for own, t in ((i, x), (j, y)):
-                    if own not in memo:
+                    if (own, t) not in memo:  # a doc_id can have several texts
                         if len(memo) > 256:
                             memo.clear()
-                        memo[own] = shingle_set(t, k)
-                    both.append(memo[own])
+                        memo[own, t] = shingle_set(t, k)
+                    both.append(memo[own, t])
                 s, t = both
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 ok.append(100 * common >= num * (len(s) + len(t) - common))
@@ -231,7 +231,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
 
     Defined cases: a text that is null or without words has an empty set and stands alone; with
     fewer than k words the whole sequence is the one shingle; rows that repeat a doc_id with one text
-    are one document (the row is repeated in the result); a null doc_id stays alone with
+    are one document (the row is repeated in the result), and a copy is told by doc_id and text, so a
+    doc_id's other texts keep their links; a null doc_id stays alone with
     component null; an empty table gives no rows; further columns are ignored. Equality of
     shingles is judged by 64-bit hashes, of whole sets by 128-bit ones.
     """
@@ -239,9 +240,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(docs.mapInArrow(_sets(k, num), _SETS), "jaccard_sets")
     classes = written(sets.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "jaccard_classes")
-    extra = sets.filter("n > 0").select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).filter("doc_id <> rep").select("doc_id")
-    one = sets.filter("n > 0 and doc_id is not null").select("doc_id", "n", "tokens", "bands")
-    one = one.join(checked(written(extra.distinct(), "jaccard_copies")), "doc_id", "left_anti")
+    extra = sets.filter("n > 0").select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).filter("doc_id <> rep").select("doc_id", "d1", "d2")
+    one = sets.filter("n > 0 and doc_id is not null").select("doc_id", "d1", "d2", "n", "tokens", "bands")
+    one = one.join(checked(written(extra.distinct(), "jaccard_copies")), ["doc_id", "d1", "d2"], "left_anti").drop("d1", "d2")
     seen = one.select("doc_id", F.explode("bands.band").alias("band"), "tokens").select("band", F.explode("tokens").alias("token"))
     multi = written(seen.groupBy("band", "token").agg(F.count("*").alias("c")).filter("c > 1"), "jaccard_tiles")
     mixed = multi.mapInArrow(_keys, "h long")
@@ -273,7 +274,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
         rest = round_pairs(rows, True, "jaccard_rest").join(sure.select("a", "b"), ["a", "b"], "left_anti")
         links = links.union(_check(written(rest, "jaccard_rest_new"), plain, k, num, "jaccard_rest_checked").filter("ok").select("a", "b"))
     linked = components(links, "jaccard_linked").select(F.col("v").alias("rep"), "label")
-    member = sets.filter("n > 0").select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"]).join(linked, "rep", "left")
+    member = sets.filter("n > 0").select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(linked, "rep", "left")
     alone = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return member.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep")).alias("component_id")).unionByName(alone)
 

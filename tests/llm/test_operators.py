@@ -79,6 +79,18 @@ def test_jaccard_components(docs, none):
     assert {r["doc_id"] for r in rows_of(jaccard.keep_one(docs))} >= {1, 4, 6, 7, 8, 9}
 
 
+def test_jaccard_keeps_every_row(spark):
+    """A null doc_id with a set of its own, and a doc_id with two texts of which one is a copy and one is near another row."""
+    a, b, c = prose(1, 120), prose(2, 150), prose(3, 60)
+    near = b.split()
+    near[5] = "changed"
+    rows = [(1, a), (2, a), (2, " ".join(near)), (3, b), (None, c), (None, a), (None, None)]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows_of(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85))]
+    count = lambda t: len({tuple(t.split()[x : x + 4]) for x in range(len(t.split()) - 3)})
+    want = [(1, count(a), 1), (2, count(a), 1), (2, count(" ".join(near)), 2), (3, count(b), 2), (None, count(c), None), (None, count(a), None), (None, 0, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_jaccard_second_round_and_blocks(spark, monkeypatch):
     """A chain of near copies whose ends are unlike, in blocks smaller than the tile."""
     monkeypatch.setattr(jaccard, "BLOCK", 4)
