@@ -180,6 +180,22 @@ def pct_down(spark, sf_dir):
     return out.selectExpr("symbol", f"{r6('pct_from_high')} AS pct_from_high", "drop_reason")
 
 
+@query("p16_full_pct_down_screen")
+def pct_down_full(spark, sf_dir):
+    """The screen with all gates at their defaults, against the benchmark's return over 50 sessions."""
+    asof = F.lit("1999-06-30").cast("date")
+    bars = walk_bars(spark, sf_dir)
+    last = [r["bench"] for r in benchmark(bars.filter(F.col("dt") <= asof)).orderBy(F.col("dt").desc()).limit(50).collect()]  # 50 rows at most
+    index = (last[0] / last[-1] - 1) * 100 if len(last) == 50 else None
+    out = screens.pct_down(bars, fundamentals(spark, sf_dir).select("symbol", "market_cap"), asof, index)
+    return out.selectExpr("symbol", f"{r6('pct_from_high')} AS pct_from_high", "drop_reason")
+
+
+@query("p26_full_gate_funnel")
+def gate_funnel_full(spark, sf_dir):
+    return funnel(pct_down_full(spark, sf_dir))
+
+
 @query("p26_gate_funnel", f"WITH {_SCREEN} SELECT coalesce(drop_reason, 'pass') AS drop_reason, count(*) AS n FROM sc GROUP BY 1")
 def gate_funnel(spark, sf_dir):
     return funnel(pct_down(spark, sf_dir))
