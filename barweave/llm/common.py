@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,21 +23,38 @@ ROW_BYTES = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder. Where none is set, a temporary folder serves a driver that is
+    its own executor (tests); on a cluster executors could not see one, so it is an error there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="barweave_")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: cuts the lineage
     with a copy that outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        if path := _PATHS.pop(t, None):
+            spark = t.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def row_bytes(df: DataFrame):
@@ -49,12 +68,12 @@ def row_bytes(df: DataFrame):
     return sum((width(*x).cast("long") for x in df.dtypes), F.lit(ROW_BYTES).cast("long"))
 
 
-def fits(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+def fits(df: DataFrame, most: int | None = None) -> bool:
     """Whether ``df`` (a written table, as it is read once for this) takes ``most`` bytes or less."""
-    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= most
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= (BROADCAST_BYTES if most is None else most)
 
 
-def checked(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+def checked(df: DataFrame, most: int | None = None) -> DataFrame:
     """``df`` (a written table) with a broadcast hint if it fits ``most`` bytes, else as it is."""
     return F.broadcast(df) if fits(df, most) else df
 
@@ -66,9 +85,23 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def unmix64(h: np.ndarray) -> np.ndarray:
+    """The inverse of mix64."""
+    for shift, factor in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9), (30, 1)):
+        h = h ^ (h >> np.uint64(shift)) ^ (h >> np.uint64(2 * shift))
+        h = h * np.uint64(pow(factor, -1, 1 << 64))
+    return h
+
+
+def bloom_bits(n: int, most: int = 29) -> int:
+    """log2 of the bits of a filter for ``n`` hashes: 32 to 64 for each, up to 2**most (64 MB). A fuller
+    filter lets more candidates pass and loses none."""
+    return min(most, max(16, (32 * n).bit_length()))
+
+
 def bloom_words(hashes: DataFrame, column: str, bits_log2: int) -> np.ndarray:
-    """Bit array of 2**bits_log2 bits with the low bits of every hash set. Its size is
-    fixed by ``bits_log2`` whatever the input, so it may be collected and broadcast."""
+    """Bit array of 2**bits_log2 bits with the low bits of every hash set; bounded by ``bloom_bits``, so it
+    may be collected and broadcast."""
     low = F.col(column).bitwiseAND(F.lit((1 << bits_log2) - 1))
     rows = (
         hashes.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b"))

@@ -212,14 +212,45 @@ def brute_substrings(rows, length):
     return out
 
 
-@pytest.mark.parametrize("part_bytes", [suffix.SHARD_BYTES, 300])
-def test_suffix_dedup(docs, none, part_bytes):
-    """Also with shards so small that their sorted windows have to be merged."""
-    want = brute_substrings({(i, (t or "").encode()) for i, t, *_ in corpus()}, 50)
-    got = rows_of(suffix.dedup_substrings(docs, 50, part_bytes))
-    assert len(got) == len(corpus())
+def same_cuts(got, rows):
+    """``got`` of dedup_substrings equals the brute force over (doc_id, bytes) rows."""
+    want = brute_substrings(set(rows), 50)
+    assert len(got) == len(rows)
     assert {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == {(i, *v) for i, v in want.items()}
-    assert rows_of(suffix.dedup_substrings(none)) == []
+
+
+@pytest.mark.parametrize("bounds", [{}, {"part_bytes": 300}, {"hot_places": 3, "task_places": 5}, {"part_bytes": 300, "hot_places": 0, "task_places": 1}])
+def test_suffix_dedup(docs, none, bounds):
+    """Also with shards so small that their sorted windows have to be merged, and with bounds so low that most grams are hot and shards are split."""
+    same_cuts(rows_of(suffix.dedup_substrings(docs, 50, **bounds)), [(i, (t or "").encode()) for i, t, *_ in corpus()])
+    if not bounds:
+        assert rows_of(suffix.dedup_substrings(none)) == []
+
+
+def test_suffix_dedup_of_hot_passages(spark, monkeypatch):
+    """A passage in all of 300 documents between own words, joined without broadcasts, in buckets of a few documents."""
+    from barweave.llm import common
+
+    monkeypatch.setattr(suffix, "BUCKET_DOCS", 7)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    passage = prose(7, 40)
+    rows = [(i, f"{prose(100 + i, 12)} {passage} {prose(500 + i, 9)}\x00é{passage[: i % 90]}") for i in range(300)] + [(300, passage), (301, passage)]
+    got = rows_of(suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 50, hot_places=40, task_places=100))
+    same_cuts(got, [(i, t.encode()) for i, t in rows])
+
+
+def test_suffix_dedup_of_the_smallest_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    same_cuts(rows_of(suffix.dedup_substrings(df)), [(r["doc_id"], (r["text"] or "").encode()) for r in df.select("doc_id", "text").collect()])
+
+
+def test_suffix_dedup_and_odd_ids(spark):
+    """Rows without doc_id and rows that repeat one never remove each other."""
+    a, b = prose(1, 30), prose(2, 30)
+    rows = [(None, a), (None, a), (5, a), (5, b), (5, b + a), (6, b), (7, None)]
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in rows_of(suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"))))
+    sizes = len(a), len(b), len(a) + len(b)
+    assert got == Counter([(None, sizes[0], 0)] * 2 + [(5, sizes[0], 0), (5, sizes[1], 0), (5, sizes[2], 0), (6, sizes[1], sizes[1]), (7, 0, 0)])
 
 
 def test_suffix_array_and_prefixes():
