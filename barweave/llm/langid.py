@@ -18,38 +18,48 @@ from pyspark.sql import functions as F
 
 from .common import texts
 
-BUCKETS, ORDERS, SLICE = 4096, (1, 2, 3, 4), 1 << 18
+BUCKETS, SLICE = 4096, 1 << 18
+#: Weights and shares are whole multiples of these parts, so that sums of them are exact in any order.
+WEIGHT, SHARE = 1 << 16, 1 << 30
 #: Most training documents of a language (by hash of the id, about).
 MAX_PER_LANG = 4000
 _MULT = {1: 0x9E3779B1, 2: 0x85EBCA6B, 3: 0xC2B2AE35, 4: 0x27D4EB2F}
 
 
 def profiles(bufs: list[bytes]) -> np.ndarray:
-    """One row per text: shares of its hashed byte 1- to 4-grams, A-Z lower-cased."""
-    out = np.zeros((len(bufs), BUCKETS), np.float32)
-    group: list[int] = []
+    """One row per text: int64 counts of its hashed byte 1- to 4-grams, A-Z lower-cased. Texts are counted side
+    by side, long ones in slices, but no gram crosses the end of a text, so a row depends on its text only."""
+    out = np.zeros((len(bufs), BUCKETS), np.int64)
+    pieces: list[tuple[int, bytes, bool]] = []
     held = 0
 
     def count():
-        part = [bufs[i].lower() for i in group]
-        a = np.frombuffer(b"\n".join(part) + b"\n\n\n\n", np.uint8).astype(np.uint32)
-        n = len(a) - 4
-        owner = np.repeat(np.arange(len(group)), [len(p) + 1 for p in part])[:n] * BUCKETS
-        gram, total = np.zeros(n, np.uint32), np.zeros(len(group) * BUCKETS, np.int64)
+        rows = sorted({i for i, *_ in pieces})
+        local = {i: k for k, i in enumerate(rows)}
+        size = np.array([len(d) for _, d, _ in pieces])
+        end = np.cumsum(size)
+        a = np.frombuffer(b"".join(d for _, d, _ in pieces) + bytes(4), np.uint8).astype(np.uint32)
+        n, spare = len(a) - 4, len(rows) * BUCKETS
+        owner = np.repeat(np.array([local[i] for i, *_ in pieces]) * BUCKETS, size)
+        for e in end[[not last for *_, last in pieces]]:
+            owner[e - 3 : e] = spare  # the next slice of the text begins with these bytes
+        gram, total = np.zeros(n, np.uint32), np.zeros(spare + BUCKETS, np.int64)
         for k in range(1, 5):
             gram = (gram << np.uint32(8)) | a[k - 1 : n + k - 1]
-            if k in ORDERS:
-                total += np.bincount(owner + ((gram * np.uint32(_MULT[k])) >> np.uint32(20)), minlength=len(total))
-        m = total.reshape(len(group), BUCKETS)
-        out[group] = m / np.maximum(1, m.sum(1, keepdims=True))
+            across = end - k + 1
+            owner[across[(k > 1) & (across >= end - size)]] = spare
+            total += np.bincount(owner + ((gram * np.uint32(_MULT[k])) >> np.uint32(20)), minlength=len(total))
+        out[rows] += total[:spare].reshape(len(rows), BUCKETS)
 
     for i, b in enumerate(bufs):
-        group.append(i)
-        held += len(b)
-        if held >= SLICE or len(group) == 64:
-            count()
-            group, held = [], 0
-    if group:
+        b = b.lower()
+        for at in range(0, max(1, len(b) - 3), SLICE):
+            pieces.append((i, b[at : at + SLICE + 3], at + SLICE + 3 >= len(b)))
+            held += len(pieces[-1][1])
+            if held >= SLICE or len(pieces) == 64:
+                count()
+                pieces, held = [], 0
+    if pieces:
         count()
     return out
 
@@ -77,13 +87,15 @@ def codewords(n: int) -> np.ndarray:
 class Model:
     langs: list[str]
     code: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 0), np.float32))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 0)))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: np.ndarray = field(default_factory=lambda: np.ones(0))
     trust: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.weights - self.bias) / self.scale
+    def margins(self, counts: np.ndarray) -> np.ndarray:
+        """Mean weight of the grams against each bit's cut: sums of whole numbers under 2**53, exact in any batch."""
+        total = np.maximum(1, counts.sum(1, keepdims=True))
+        return (counts.astype(float) @ self.weights / (total * float(WEIGHT)) - self.bias) / self.scale
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language, its share of exp(-4 loss), and whether the lead is small."""
@@ -111,7 +123,7 @@ def _sums(langs: list[str]):
             bufs = texts(b)
             for at in range(0, len(bufs), 256):
                 x = profiles(bufs[at : at + 256])
-                np.add.at(total, who[at : at + 256], x)
+                np.add.at(total, who[at : at + 256], (x * SHARE) // np.maximum(1, x.sum(1, keepdims=True)))
                 np.add.at(n, who[at : at + 256], 1)
         on = [i for i in range(len(langs)) if n[i]]
         yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in on], pa.string()), pa.array([int(n[i]) for i in on], pa.int64()), pa.array([total[i].tolist() for i in on], pa.list_(pa.float64()))], names=["lang", "n", "total"])
@@ -146,13 +158,13 @@ def fit(docs: DataFrame, max_per_lang: int = MAX_PER_LANG) -> Model:
     sums = sample.mapInArrow(_sums(langs), "lang string, n long, total array<double>").select("lang", "n", F.posexplode("total").alias("at", "v")).groupBy("lang", "at").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     mean = np.zeros((len(langs), BUCKETS))
     t = sums.toPandas()  # a row per language and bucket
-    mean[[langs.index(x) for x in t["lang"]], t["at"]] = t["v"] / t["n"]
+    mean[[langs.index(x) for x in t["lang"]], t["at"]] = t["v"] / (t["n"] * SHARE)
     p = (mean + 1e-6) / (mean + 1e-6).sum(1, keepdims=True)
     plus, minus = np.maximum(model.code, 0), np.maximum(-model.code, 0)
     side = lambda s: (p.T @ s) / s.sum(0)
-    model.weights = (np.log(side(plus)) - np.log(side(minus))).astype(np.float32)
+    model.weights = np.round((np.log(side(plus)) - np.log(side(minus))) * WEIGHT)
     # a bit's cut lies halfway between its two nearest languages
-    centre = p @ model.weights
+    centre = p @ model.weights / WEIGHT
     low = np.where(model.code > 0, centre, np.inf).min(0)
     high = np.where(model.code < 0, centre, -np.inf).max(0)
     model.bias, model.scale = (low + high) / 2, np.maximum(np.abs(low - high) / 2, 1e-9)
@@ -171,7 +183,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     Defined cases: a text that is null or has no letter is ``und`` with score 0 and not ambiguous;
     so is every text if no language was learned; one learned language is always predicted with
-    score 1; repeated rows are predicted alike; an empty table gives no rows; lang, source and
+    score 1; a text is predicted alike in any batch, order and repetition; an empty table gives no rows; lang, source and
     other columns are never read.
     """
     kind = dict(docs.dtypes)["doc_id"]
@@ -187,7 +199,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 part = at[i : i + 256]
                 x = profiles([bufs[j] for j in part])
                 top, s, v = model.decode(model.margins(x) if len(model.langs) > 1 else x[:, :0])
-                lang[part], score[part], vague[part] = np.array(model.langs, object)[top], s, v
+                lang[part], score[part], vague[part] = np.array(model.langs, object)[top], np.round(s, 9), v
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(vague)], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
     read = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
