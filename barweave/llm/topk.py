@@ -1,9 +1,9 @@
 """Exact top-k search by inner product.
 
-Vectors become integers once. Rows of a partition are packed into blocks; every query tile meets
-every block exactly once, as two packed matrices and one product. A block keeps k rows per query
+Vectors become integers once. Rows of a partition are packed into blocks of bounded bytes; every query tile
+meets every block exactly once: tiles are streamed past the blocks of a group. A block keeps k rows per query
 by partial selection (whole ties at the cut are kept and sorted by id), and the per-query lists
-are merged as a tree: first within groups of blocks, then over the groups.
+are merged as a tree: over the blocks of a group, then within groups of groups, then over these.
 """
 
 from __future__ import annotations
@@ -15,43 +15,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS, TILE_ROWS = 8192, 512
-_PACKED = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("grp", pa.int64())])
+from .common import slices
 
+#: Rows of a block and of a query tile; bytes of either.
+BLOCK_ROWS, TILE_ROWS, BLOCK_BYTES = 8192, 512, 4 << 20
+#: Components from here on, whose multiple of 1024 no long holds, travel as decimal text.
+WIDE = 2.0**52
+_PACKED = "key long, kind int, n int, dim int, wide boolean, ids binary, data binary"
+_PACKED_ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("dim", pa.int32()), ("wide", pa.bool_()), ("ids", pa.binary()), ("data", pa.binary())])
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("grp", pa.int64())])
 
-def _packer(rows: int, groups: int):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = []
-        vecs: list = []
 
-        def block():
-            dim = max(map(len, vecs), default=0)
-            m = np.zeros((len(vecs), dim), np.int64)
-            for r, v in enumerate(vecs):
-                m[r, : len(v)] = v
-            key = int(np.bitwise_xor.reduce(np.asarray(ids, np.int64) * np.int64(0x9E3779B1)) % groups)
-            return pa.RecordBatch.from_pylist([{"key": key, "n": len(ids), "dim": dim, "ids": np.asarray(ids, np.int64).tobytes(), "data": m.tobytes()}], schema=_PACKED)
+def whole(x: np.ndarray) -> np.ndarray:
+    """floor(1024 * x) as int64, or as Python integers where a component is WIDE."""
+    if not (np.abs(x) >= WIDE).any():
+        return np.floor(x * 1024).astype(np.int64)
+    far = np.abs(x) >= WIDE  # such doubles are whole numbers
+    out = np.empty(x.shape, object)
+    out[far] = [int(v) * 1024 for v in x[far].tolist()]
+    out[~far] = np.floor(x[~far] * 1024).astype(np.int64).tolist()
+    return out
+
+
+def _packer(rows: int, groups: int, kind: int):
+    """Blocks of up to ``rows`` vectors and BLOCK_BYTES, each in a group by its ids; rows hold (vec_id, doubles)."""
+
+    def block(ids: list[int], vecs: list[np.ndarray]) -> pa.RecordBatch:
+        dim = max(map(len, vecs), default=0)
+        x = np.zeros((len(vecs), dim))
+        for r, v in enumerate(vecs):
+            x[r, : len(v)] = v
+        m, own = whole(x), np.asarray(ids, np.int64)
+        wide = m.dtype == object
+        data = " ".join(map(str, m.ravel().tolist())).encode() if wide else m.tobytes()
+        key = int(np.bitwise_xor.reduce(own * np.int64(0x9E3779B1)) % groups)
+        row = {"key": key, "kind": kind, "n": len(ids), "dim": dim, "wide": wide, "ids": own.tobytes(), "data": data}
+        return pa.RecordBatch.from_pylist([row], schema=_PACKED_ARROW)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        vecs: list[np.ndarray] = []
+        longest = 0
         for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            lists = b.column(1)
+            values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for i, x, y in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                longest = max(longest, y - x)
+                if ids and (len(ids) == rows or 8 * longest * (len(ids) + 1) > BLOCK_BYTES):
+                    yield block(ids, vecs)
+                    ids, vecs, longest = [], [], y - x
                 ids.append(i)
-                vecs.append(v)
-                if len(ids) == rows:
-                    yield block()
-                    ids, vecs = [], []
+                vecs.append(values[x:y])
         if ids:
-            yield block()
+            yield block(ids, vecs)
 
     return pack
 
 
+def unpacked(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """ids and matrix of a packed row."""
+    if r["wide"]:
+        data = np.array([int(x) for x in r["data"].split()] + [None], object)[:-1]
+    else:
+        data = np.frombuffer(r["data"], np.int64)
+    return np.frombuffer(r["ids"], np.int64), data.reshape(r["n"], r["dim"])
+
+
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer product of two integer matrices, padded with zeros to one width: by
     float64 where no sum can reach 2**53, in exact integers (clipped to long) otherwise."""
     dim = max(q.shape[1], c.shape[1])
-    q, c = (np.pad(x, ((0, 0), (0, dim - x.shape[1]))) for x in (q, c))
-    top = [int(max(abs(int(x.max())), abs(int(x.min())))) if x.size else 0 for x in (q, c)]
+    # zeros of the matrix's own kind: np.pad would put numpy numbers among Python's
+    q, c = (np.concatenate([x, np.zeros((len(x), dim - x.shape[1]), np.int64).astype(x.dtype)], 1) for x in (q, c))
+    top = [max(abs(int(x.max())), abs(int(x.min()))) if x.size else 0 for x in (q, c)]
     bound = top[0] * top[1] * max(dim, 1)
     if bound < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
@@ -73,54 +109,67 @@ def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
     return at[order]
 
 
-def _search(k: int, groups: int):
+def _search(k: int):
+    """Of rows sorted by group, blocks (kind 0) before tiles (kind 1): the k best of each query among the group's blocks."""
+
+    def tile(q: tuple, blocks: list[tuple]) -> list[tuple]:
+        qids, queries = q
+        scores = [(products(queries, c), ids) for ids, c in blocks]
+        for i, qid in enumerate(qids):
+            hits = [(s[i][h], ids[h]) for s, ids in scores for h in [best(s[i], ids, qid, k)]]
+            s, ids = (np.concatenate(x) for x in zip(*hits, strict=True))
+            yield qid, s, ids
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        own, blocks = None, []
+        for b in slices(batches, 64):
             for r in b.to_pylist():
-                c, q = (np.frombuffer(r[f"{s}data"], np.int64).reshape(r[f"{s}n"], r[f"{s}dim"]) for s in ("", "q_"))
-                cids, qids = (np.frombuffer(r[f"{s}ids"], np.int64) for s in ("", "q_"))
-                s = products(q, c)
-                hit = [best(s[i], cids, qid, k) for i, qid in enumerate(qids)]
-                n = [len(h) for h in hit]
-                if sum(n):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(qids, n)), pa.array(cids[np.concatenate(hit)]), pa.array(np.concatenate([s[i][h] for i, h in enumerate(hit)])), pa.array(np.full(sum(n), r["key"]))],
-                        schema=_FOUND,
-                    )
+                if r["key"] != own:
+                    own, blocks = r["key"], []
+                if r["kind"] == 0:
+                    blocks.append(unpacked(r))
+                elif blocks:
+                    found = []
+                    for qid, s, ids in tile(unpacked(r), blocks):
+                        h = best(s, ids, qid, k)
+                        found.append((np.full(len(h), qid), ids[h], s[h]))
+                    q, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s), pa.array(np.full(len(q), own))], schema=_FOUND)
 
     return search
 
 
-def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
-    """vec_id, v array<long>: floor(1024 * x) of valid rows, one row per id (the smallest vector if an id repeats)."""
+def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
+    """vec_id, x array<double> of valid rows, one row per id (the smallest vector if an id repeats)."""
     x = F.transform(col, lambda e: e.cast("double"))
-    fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(2.0**52)))
+    fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     return (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
         .filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).filter(fine)
-        .select("vec_id", F.transform("x", lambda e: F.floor(e * 1024)).alias("v"))
-        .groupBy("vec_id").agg(F.min("v").alias("v"))
+        .groupBy("vec_id").agg(F.min("x").alias("x"))
     )
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, groups: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` best rows for each row whose id is divisible by ``every``.
 
-    Defined cases: vectors null or holding null or non-finite components (or components of 2**52 and
-    more, beyond exact doubles) take no part; vectors of unequal length are padded with zeros; an
-    empty vector scores 0; rows that share an id count once (smallest vector); ties go to the
-    smaller id; a query without other rows has no result rows; an empty table gives none; scores
-    beyond long are clipped to it; other columns are ignored.
+    Defined cases: vectors null or holding null or non-finite components take no part; vectors of
+    unequal length are padded with zeros; an empty vector scores 0; rows that share an id count once
+    (smallest vector); ties go to the smaller id; a query without other rows has no result rows; an empty
+    table gives none; finite components of any size count exactly, but a score beyond long is clipped to
+    it, and scores clipped alike are ties; other columns are ignored.
     """
     spark = vectors.sparkSession
     groups = groups or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = integer_vectors(vectors)
-    blocks = rows.mapInArrow(_packer(BLOCK_ROWS, groups), "key long, n int, dim int, ids binary, data binary")
-    tiles = rows.filter(F.col("vec_id") % every == 0).coalesce(max(1, groups // 4)).mapInArrow(_packer(TILE_ROWS, groups), "key long, n int, dim int, ids binary, data binary")
-    tiles = tiles.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("key"), *[F.col(c).alias(f"q_{c}") for c in ("n", "dim", "ids", "data")]
-    )
-    found = blocks.join(tiles, "key").mapInArrow(_search(k, groups), "query_id long, vec_id long, score long, grp long")
+    rows = valid_vectors(vectors)
+    blocks = rows.mapInArrow(_packer(BLOCK_ROWS, groups, 0), _PACKED)
+    tiles = rows.filter(F.col("vec_id") % every == 0).coalesce(max(1, groups // 4)).mapInArrow(_packer(TILE_ROWS, groups, 1), _PACKED)
+    # every tile goes to every group
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("key")
+    tiles = tiles.select(each, *[c for c in tiles.columns if c != "key"])
+    dealt = blocks.unionByName(tiles).repartition(groups, "key").sortWithinPartitions("key", "kind")
+    found = dealt.mapInArrow(_search(k), "query_id long, vec_id long, score long, grp long")
     by = [F.col("score").desc(), F.col("vec_id")]
     branch = Window.partitionBy("query_id", F.col("grp") % max(1, int(groups**0.5))).orderBy(*by)
     root = Window.partitionBy("query_id").orderBy(*by)
