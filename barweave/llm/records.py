@@ -1,11 +1,11 @@
 """Token ids as length-delimited binary records.
 
 A record is: payload length (u64), masked crc32 of these 8 bytes (u32), payload, masked crc32 of the
-payload (u32), all little-endian; a payload is doc_id (i64), the bytes per id (u8: 2 if the vocabulary
-is under 65,536, else 4) and the ids. Beside each
-data file stands an index of (offset u64, doc_id i64, ids u64) per record, so that a shuffled reader
-can seek. Documents are range-partitioned by doc_id: file after file, record after record is
-ascending. A task writes under a name of its own attempt and reports it, so a repeated task
+payload (u32), all little-endian; a payload is whether there is a doc_id (u8), doc_id (i64), the bytes per id
+(u8: 2 if the vocabulary is under 65,536, else 4) and the ids. Beside each
+data file stands an index of (offset u64, has doc_id u8, doc_id i64, ids u64) per record, so that a shuffled reader
+can seek. Documents are range-partitioned by doc_id and hash of the text: file after file, record after record
+is ascending, rows without doc_id first. A task writes under a name of its own attempt and reports it, so a repeated task
 never mixes with a lost one.
 """
 
@@ -26,8 +26,10 @@ from .common import shared_dir, texts, written
 
 #: Most words that a worker remembers; later ones are encoded each time.
 MEMO = 1_200_000
-#: Layout of an index entry: offset, doc_id, number of ids.
-INDEX = "<QqQ"
+#: Layout of an index entry: offset, whether there is a doc_id, doc_id, number of ids; of a payload before its ids.
+INDEX, HEAD = "<Q?qQ", "<?qB"
+#: Bytes of text for one file, beyond one file for every shuffle partition.
+FILE_BYTES = 256 << 20
 
 
 def masked(data: bytes) -> int:
@@ -55,21 +57,24 @@ def unframed(f) -> bytes | None:
     return body[:size]
 
 
-def parsed(payload: bytes) -> tuple[int, np.ndarray]:
-    """doc_id and u32 ids of a payload."""
-    doc_id, width = struct.unpack("<qB", payload[:9])
-    return doc_id, np.frombuffer(payload[9:], f"<u{width}").astype("<u4")
+def parsed(payload: bytes) -> tuple[int | None, np.ndarray]:
+    """doc_id (or None) and u32 ids of a payload."""
+    known, doc_id, width = struct.unpack(HEAD, payload[:10])
+    return doc_id if known else None, np.frombuffer(payload[10:], f"<u{width}").astype("<u4")
 
 
 class WordIds:
     """Ids of whole texts by the tokenizer, word by word: its normaliser and splitter never join
-    over ASCII white space, so words are encoded once and remembered."""
+    over ASCII white space, and no added token holds or takes in any, so words are encoded once and remembered."""
 
     def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = special_as_text
+        for token in self.tok.get_added_tokens_decoder().values():
+            if token.lstrip or token.rstrip or len(token.content.split()) != 1 or token.content.strip() != token.content:
+                raise ValueError(f"added token {token.content!r} takes in white space")
         self.width = 2 if self.tok.get_vocab_size() < 1 << 16 else 4
         self.memo: dict[bytes, bytes] = {}
 
@@ -110,7 +115,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
     """Write all rows of ``docs`` (doc_id, text) below ``folder`` (a URI that all executors reach);
     a written table of file, seq, records, ids."""
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    if files is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -126,19 +134,23 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
                 bufs = texts(b)
                 for at in range(0, len(bufs), 512):
                     for doc_id, own in zip(col[at : at + 512], enc.encode_all(bufs[at : at + 512]), strict=True):
-                        r = framed(struct.pack("<qB", doc_id, enc.width) + own + tail)
+                        known = doc_id is not None, doc_id or 0
+                        r = framed(struct.pack(HEAD, *known, enc.width) + own + tail)
                         data.write(r)
                         n = len(own) // enc.width + 1
-                        index.write(struct.pack(INDEX, offset, doc_id, n))
+                        index.write(struct.pack(INDEX, offset, *known, n))
                         offset, records, ids = offset + len(r), records + 1, ids + n
         if records:
             yield pa.RecordBatch.from_pylist([{"file": name, "seq": seq, "records": records, "ids": ids}])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
-    dealt = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    # the hash splits a doc_id (or none) that many rows have
+    dealt = rows.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     return written(dealt.mapInArrow(run, "file string, seq long, records long, ids long"), "record_files")
 
 
+_DIGEST = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "n_tokens", "ids_crc32")])
+
+
 def read_records(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every record, read back from the files with all checksums verified."""
 
@@ -150,20 +162,23 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
                 with fs.open_input_stream(f"{root}/{f['file']}.idx") as i:
                     index = list(struct.iter_unpack(INDEX, i.read()))
                 with fs.open_input_stream(f"{root}/{f['file']}.rec") as d:
-                    for offset, doc_id, n in index:
+                    for offset, known, doc_id, n in index:
                         payload = unframed(d)
-                        own, ids = parsed(payload) if payload is not None else (None, ())
+                        if payload is None:
+                            raise ValueError(f"{f['file']} has fewer records than its index")
+                        doc_id = doc_id if known else None
+                        own, ids = parsed(payload)
                         if offset != at or own != doc_id or len(ids) != n:
                             raise ValueError(f"{f['file']} and its index differ")
                         rows.append({"doc_id": doc_id, "start": start, "n_tokens": n, "ids_crc32": zlib.crc32(ids.tobytes())})
                         at, start = at + len(payload) + 16, start + n
                         if len(rows) == 10_000:
-                            yield pa.RecordBatch.from_pylist(rows)
+                            yield pa.RecordBatch.from_pylist(rows, schema=_DIGEST)
                             rows = []
                     if unframed(d) is not None:
                         raise ValueError(f"{f['file']} has records beyond its index")
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows)
+                    yield pa.RecordBatch.from_pylist(rows, schema=_DIGEST)
 
     up = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     placed = manifest.select("file", "seq", F.coalesce(F.sum("ids").over(up), F.lit(0)).alias("before"))
@@ -171,7 +186,7 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
     return placed.repartition(parts, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def read_at(folder: str, file: str, offset: int) -> tuple[int, np.ndarray]:
+def read_at(folder: str, file: str, offset: int) -> tuple[int | None, np.ndarray]:
     """One record by the offset from its index, for shuffled reads: doc_id and ids."""
     fs, root = _fs(folder)
     with fs.open_input_file(f"{root}/{file}.rec") as f:
@@ -183,9 +198,10 @@ def read_at(folder: str, file: str, offset: int) -> tuple[int, np.ndarray]:
 def binary_output(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write the records of ``docs`` to a new folder in the shared directory and give their digest rows.
 
-    Defined cases: null and empty text give a record with the end id only; rows without doc_id have no
-    place in the order and are left out; repeated rows are separate records; an empty table gives
-    no files and no rows; further columns are ignored.
+    Defined cases: null and empty text give a record with the end id only; rows without doc_id come first;
+    rows that share a doc_id, or have none, are ordered by hash of their text; repeated rows are separate
+    records; an empty table gives no files and no rows; further columns are ignored. Special tokens
+    in a text are encoded as the library does by default.
     """
     folder = f"{shared_dir(docs.sparkSession)}/records-{uuid.uuid4().hex}"
     return read_records(write_records(docs, folder, tokenizer, end_id), folder)
