@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import fits, word_count, written
 
 CAP = 2  # no document is taken more often
-MAX_STEPS, TOLERANCE = 40, 1e-7
+MAX_STEPS, TOLERANCE = 64, 1e-7
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
@@ -77,6 +77,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         state = _newton(scaled, state, hint)
         if (state.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"the dual is not solved after {MAX_STEPS} steps")
     # whole copies per cell: rates as millionths, so that sums are exact and reruns agree
     lam = state.select(F.col("s"), F.round("lam", 8).alias("lam"))
     full = F.col("target") >= CAP * F.col("source_size")

@@ -31,7 +31,8 @@ RATIOS = {
 
 
 def statistics(text: bytes | None, window: int = 5) -> tuple[int, ...]:
-    """BASE and EXTRA statistics of one text as UTF-8 bytes (null: all 0)."""
+    """BASE and EXTRA statistics of one text as UTF-8 bytes (null: all 0). Windows are compared exactly: a
+    window's number stands for its words, doubling up numbers of shorter runs."""
     if not text:
         return (0,) * 8
     words = text.split()
@@ -43,9 +44,9 @@ def statistics(text: bytes | None, window: int = 5) -> tuple[int, ...]:
         ids: dict[bytes, int] = {}
         h = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, n)
         distinct = len(ids)
-        w = h[: n - window + 1].astype(np.uint64)
-        for j in range(1, window):  # 64-bit hashes of the windows
-            w = w * np.uint64(0x9E3779B97F4A7C15) + h[j : n - window + 1 + j].astype(np.uint64)
+        w = h[: n - window + 1]
+        for j in range(1, window):  # a number for each distinct run of j + 1 words, exact
+            w = np.unique(w * len(ids) + h[j : n - window + 1 + j], return_inverse=True)[1]
         order = np.argsort(w, kind="stable")
         same = np.flatnonzero(w[order][1:] == w[order][:-1])
         if len(same):
@@ -147,7 +148,9 @@ def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -
     share = min(1.0, max_labelled / max(1, labels.count()))
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     names = list(RATIOS)
-    rows = stats.join(known, "doc_id").select("doc_id", "bad", *[ratio(c).alias(c) for c in names]).limit(2 * max_labelled).toPandas()
+    # rows that repeat a doc_id with one text are one; of a doc_id's texts the one with the smallest hash is learned from
+    own = stats.join(known, "doc_id").groupBy("doc_id", "bad").agg(F.min_by(F.struct(*BASE, *EXTRA), "h").alias("s"))
+    rows = own.select("doc_id", "bad", "s.*").select("doc_id", "bad", *[ratio(c).alias(c) for c in names]).toPandas()
     rows = rows.sort_values(["doc_id", *names], ignore_index=True)
     return learn_list(rows[names].to_numpy(float), rows["bad"].to_numpy(bool), names) if len(rows) else []
 

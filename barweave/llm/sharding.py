@@ -20,6 +20,9 @@ LAW = "bytes"
 def shard_by_bytes(docs: DataFrame, n_shards: int = 40, overhead: int = 16) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
+    The law is ``bytes``: shards are contiguous in doc_id and near equal in bytes. A group of equal texts is
+    not held together by it; its documents lie where their doc_ids place them.
+
     Defined cases: a null text has size ``overhead`` and the crc32 of nothing (0); a null doc_id
     sorts first; repeated rows are separate rows placed side by side; an empty table gives no rows;
     fewer documents than shards leave shards empty; other columns of ``docs`` are ignored.

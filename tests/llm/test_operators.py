@@ -137,17 +137,32 @@ def test_topk(spark):
     v = [(i, [float(x) for x in rng.normal(size=8)], "x") for i in range(400)]
     v[5] = (5, v[4][1], "x")  # ties
     v[7], v[8], v[9] = (7, None, "x"), (8, [1.0, None], "x"), (9, [float("nan")] * 8, "x")
-    v += [(400, [float("inf")] * 8, "x"), (401, [], "x"), (402, [1e12, 2.0], "x"), (403, [1.0] * 12, "x"), v[3], (None, [1.0], "x")]
+    v += [(400, [float("inf")] * 8, "x"), (401, [], "x"), (402, [1e12, 2.0], "x"), (403, [1.0] * 12, "x"), (404, [2.0**53 + 2, -1.5], "x"), (405, [-3e300] * 8, "x"), (500, [2.0**60] * 3, "x"), v[3], (None, [1.0], "x")]
     df = spark.createDataFrame(v, "vec_id long, embedding array<double>, score string")
     ok = {i: [int(np.floor(1024 * x)) for x in e] for i, e, _ in v if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)}
     want = set()
     for q in (i for i in ok if i % 100 == 0):
-        s = sorted((-sum(a * b for a, b in zip(ok[q], ok[c], strict=False)), c) for c in ok if c != q)[:10]
+        s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(ok[q], ok[c], strict=False)))), c) for c in ok if c != q)[:10]
         want |= {(q, r + 1, c, -x) for r, (x, c) in enumerate(s)}
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows_of(topk.top_k(df))} == want
     assert rows_of(topk.top_k(df.limit(0))) == []
 
 
+def test_topk_in_small_blocks_and_clipped_ties(spark, monkeypatch):
+    """Many blocks in a group; scores clipped to long are ties and go to the smaller id."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(3)
+    v = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(120)] + [(1000 + i, [1e19 * (1 + i), 0.0, 0.0, 0.0]) for i in range(5)]
+    got = rows_of(topk.top_k(spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(5), k=6, every=40, groups=3))
+    ints = {i: [int(x) * 1024 for x in e] for i, e in v}
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = set()
+    for q in (i for i in ints if i % 40 == 0):
+        s = sorted((-clip(sum(a * b for a, b in zip(ints[q], ints[c], strict=True))), c) for c in ints if c != q)[:6]
+        want |= {(q, r + 1, c, -x) for r, (x, c) in enumerate(s)}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
+
+
 def test_products_beyond_doubles():
     q = np.array([[2**40, 3]], np.int64)
     assert topk.products(q, np.array([[2**20, 1], [2**10, 5]], np.int64)).tolist() == [[2**60 + 3, 2**50 + 15]]
@@ -366,7 +381,6 @@ def test_records(docs, none, tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
     start, want = 0, []
     for i, t in sorted((i, t or "") for i, t, *_ in corpus()):
         ids = [*tok.encode(t, add_special_tokens=False).ids, 1]
@@ -395,6 +409,21 @@ def test_records_encode_special_literals_as_the_library_does(spark):
     assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
 
 
+def test_records_of_rows_without_id(spark):
+    """They come first, each with its record; one id or none in most rows is dealt over several files."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BPE)
+    rows = [(None, f"no id {i}") for i in range(40)] + [(7, f"same id {i}") for i in range(40)] + [(-3, None), (9, "last")]
+    got = rows_of(records.binary_output(spark.createDataFrame(rows, "doc_id long, text string"), BPE))
+    size = lambda t: len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+    crc = lambda t: zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == Counter((i, size(t), crc(t)) for i, t in rows)
+    order = sorted(got, key=lambda r: r["start"])
+    assert [r["doc_id"] for r in order] == [None] * 40 + [-3] + [7] * 40 + [9]
+    assert [r["start"] for r in order] == [sum(x["n_tokens"] for x in order[:i]) for i in range(len(order))]
+
+
 def test_damaged_record_is_refused(tmp_path):
     good = records.framed(b"payload")
     for at in (3, 9, 14, len(good) - 1):
@@ -423,6 +452,47 @@ def test_language_codes_and_prediction(spark, docs, none):
     assert rows_of(langid.predict(none, langid.fit(df))) == []
 
 
+def test_a_text_has_one_profile(spark):
+    """Alone, before and after others, in any order and in slices; equal to counting by hand."""
+    texts = [b"hi", b"", b"xyzxyz", b"qqqq", b"A", "éa b\n".encode(), b"The end. " * 50, b"abc" * 40]
+    whole = langid.profiles(texts)
+    for i, t in enumerate(texts):
+        low, want = t.lower(), np.zeros(langid.BUCKETS, np.int64)
+        for k in range(1, 5):
+            for at in range(len(low) - k + 1):
+                gram = int.from_bytes(low[at : at + k], "big") * langid._MULT[k] % 2**32 >> 20
+                want[gram] += 1
+        assert (langid.profiles([t])[0] == want).all() and (whole[i] == want).all()
+    assert (langid.profiles(texts[::-1])[::-1] == whole).all()
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(df)
+    again = langid.fit(df.repartition(7))
+    assert (model.weights == again.weights).all() and (model.trust == again.trust).all()
+    one = {r["doc_id"]: r for r in rows_of(langid.predict(df, model))}
+    for other in (df.repartition(6, "text"), df.orderBy(F.col("doc_id").desc()).coalesce(1), df.unionAll(df).repartition(3)):
+        assert all(one[r["doc_id"]] == r for r in rows_of(langid.predict(other, model)))
+
+
+def test_profiles_in_slices(monkeypatch):
+    text = bytes(np.random.default_rng(0).integers(32, 127, 1000).tolist())
+    want = langid.profiles([text, b"z", text[:500]])
+    for size in (4, 7, 100, 997, 998):
+        monkeypatch.setattr(langid, "SLICE", size)
+        assert (langid.profiles([text, b"z", text[:500]]) == want).all()
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from barweave.llm import common
+
+    spark = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,3000]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(spark(master))
+    assert common.shared_dir(spark("local[4]")).startswith("file://")
+
+
 def test_held_out_accuracy(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     true = {r["doc_id"]: r["lang"] for r in rows_of(df.select("doc_id", "lang"))}
