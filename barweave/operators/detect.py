@@ -98,10 +98,14 @@ def detect(asofs: DataFrame, bars: DataFrame, p: Setup = Setup()) -> DataFrame:
     return best.select("symbol", "n", "dt", *[F.col(f"best.{c}").alias(c) for c in ("r", "touches", "base_start", "base_len_days", "distance_pct", "is_high")])
 
 
-def base_slice(setups: DataFrame, bars: DataFrame) -> DataFrame:
-    """Bars of each setup's base, from base_start to the as-of bar, with k (0-based position) and size."""
-    b = bars.select("symbol", F.col("n").alias("b_n"), F.col("dt").alias("b_dt"), F.col("high").alias("b_high"), F.col("low").alias("b_low"), F.col("close").alias("b_close"), *[F.col(c).alias(f"b_{c}") for c in ("volume", "atr14") if c in bars.columns])
-    j = setups.join(b, "symbol").filter((F.col("b_dt") >= F.col("base_start")) & (F.col("b_n") <= F.col("n")))
+def base_slice(setups: DataFrame, bars: DataFrame, block: int = 256) -> DataFrame:
+    """Bars of each setup's base, from base_start to the as-of bar, with k (0-based position) and size. A setup meets
+    only the blocks of bar numbers that its base can reach: a base has no more bars than days."""
+    fields = {"n": "b_n", "dt": "b_dt", "high": "b_high", "low": "b_low", "close": "b_close", "volume": "b_volume", "atr14": "b_atr14"}
+    b = bars.select("symbol", F.expr(f"n div {block}").alias("blk"), *[F.col(c).alias(a) for c, a in fields.items() if c in bars.columns])
+    first = F.greatest(F.lit(0).cast("long"), F.expr(f"(n - datediff(dt, base_start)) div {block}"))
+    e = setups.withColumn("blk", F.explode(F.sequence(first, F.expr(f"n div {block}"))))
+    j = e.join(b, ["symbol", "blk"]).drop("blk").filter((F.col("b_dt") >= F.col("base_start")) & (F.col("b_n") <= F.col("n")))
     own = Window.partitionBy("symbol", "n")
     return j.withColumn("size", F.count("*").over(own)).withColumn("k", F.row_number().over(own.orderBy("b_n")) - 1)
 

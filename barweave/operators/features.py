@@ -62,10 +62,10 @@ def weekly(bars: DataFrame, asofs: DataFrame) -> DataFrame:
     needed = {"n", "bars_total", "pc", "ph", "pl", "up", "dn", "tr", "pdm", "mdm", "up14", "dn14", "pdm14", "mdm14", "rsi14", "dx", "adx14", "ma20", "sd20", "atr20", "sq"}
     for stage in STAGES:
         series = series.select("*", *[F.expr(x).alias(a) for a, x in stage.items() if a in needed])
-    from .indicators import ema
+    from .indicators import short_ema
 
     e = series.selectExpr(
-        "*", f"{ema('close', 10)} AS e10", f"{ema('close', 30)} AS e30", *[f"(close / nullif(lag(close, {k}) OVER (PARTITION BY symbol ORDER BY dt), 0) - 1) * 100 AS roc{k}" for k in (4, 12, 26)],
+        "*", f"{short_ema('close', 10)} AS e10", f"{short_ema('close', 30)} AS e30", *[f"(close / nullif(lag(close, {k}) OVER (PARTITION BY symbol ORDER BY dt), 0) - 1) * 100 AS roc{k}" for k in (4, 12, 26)],
         f"max(high) OVER {frame(52)} AS hi52", f"avg(volume) OVER {frame(4)} AS v4", f"avg(volume) OVER {frame(20)} AS v20", f"{slope('close', 'n', 12)} AS s12",
     ).filter("n = bars_total and n >= 30")
     flag = lambda c: f"CAST(CASE WHEN {c} THEN 1 ELSE 0 END AS DOUBLE)"

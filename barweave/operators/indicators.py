@@ -40,19 +40,49 @@ def slope(y: str, x: str, n: int) -> str:
     return f"CASE WHEN count({y}) OVER {frame(n)} >= 5 THEN regr_slope({y}, {x}) OVER {frame(n)} ELSE CAST(0 AS DOUBLE) END"
 
 
-def ema(x: str, span: int, row: str = "n") -> str:
+#: Rows of a block of the exponential means. Inside a block weights are powers up to its length, which doubles hold
+#: for spans of 9 to 50 (first size) and 200 (second); across blocks only the value at the end of the one before counts,
+#: as the weight of any earlier one is below 1e-23.
+BLOCKS = {"": 1344, "2": 16384}
+
+
+def decayed(name: str, x: str, q: str, block: str = "") -> tuple[dict[str, str], dict[str, str], str]:
+    """Stages of the sum of x * q**(rows ago): inside the row's block, carried from the block before, and both together."""
+    size, k = BLOCKS[block], f"k{block}"
+    inside = f"(PARTITION BY symbol, blk{block} ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    before = f"({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    local = {f"{name}_in": f"pow({q}, {k}) * sum({x} * pow({q}, -{k})) OVER {inside}"}
+    carry = {f"{name}_to": f"max_by({name}_in, CASE WHEN {k} = {size - 1} THEN n END) OVER {before}"}
+    return local, carry, f"({name}_in + pow({q}, {k} + 1) * coalesce({name}_to, 0))"
+
+
+def ema(name: str, x: str, span: int, block: str = "") -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     """Exponential mean with normalised weights (weights sum to one from the first row on)."""
-    q = f"CAST({span - 1} AS DOUBLE) / {span + 1}"
-    return f"sum({x} * pow({q}, -{row})) OVER {RUN} / sum(pow({q}, -{row})) OVER {RUN}"
+    q = f"(CAST({span - 1} AS DOUBLE) / {span + 1})"
+    local, carry, total = decayed(name, x, q, block)
+    return local, carry, {name: f"{total} * (1 - {q}) / (1 - pow({q}, n))"}
 
 
-def smoothed(x: str, alpha: str, first: int, row: str = "n") -> str:
+def smoothed(name: str, x: str, alpha: str, first: int) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     """Recursive smoothing y = (1-alpha) y + alpha x that starts with the value of row ``first``."""
-    q = f"(1 - {alpha})"
-    return f"CASE WHEN {row} >= {first} THEN pow({q}, {row}) * sum(CASE WHEN {row} = {first} THEN {x} WHEN {row} > {first} THEN {alpha} * {x} END * pow({q}, -{row})) OVER {RUN} END"
+    local, carry, total = decayed(name, f"CASE WHEN n = {first} THEN {x} WHEN n > {first} THEN {alpha} * {x} END", f"(1 - {alpha})")
+    return local, carry, {name: f"CASE WHEN n >= {first} THEN {total} END"}
 
 
+def short_ema(x: str, span: int, row: str = "n") -> str:
+    """Exponential mean with normalised weights over a series of at most some hundred rows, in one expression."""
+    q = f"CAST({span - 1} AS DOUBLE) / {span + 1}"
+    return f"sum({x} * pow({q}, -{row})) OVER {RUN} / sum(pow({q}, -{row})) OVER {RUN}"
+
+
+NUMBERED = {f"blk{b}": f"CAST(floor((n - 1) / {size}) AS BIGINT)" for b, size in BLOCKS.items()} | {f"k{b}": f"(n - 1) % {size}" for b, size in BLOCKS.items()}
 A14 = "(CAST(1 AS DOUBLE) / 14)"
+_MEANS = [
+    ema("ema20", "close", 20), ema("ema50", "close", 50), ema("ema200", "close", 200, "2"),
+    smoothed("ema9r", "close", "(CAST(2 AS DOUBLE) / 10)", 1), smoothed("ema21r", "close", "(CAST(2 AS DOUBLE) / 22)", 1),
+    smoothed("watr14", "tr", A14, 1), smoothed("wup14", "up", A14, 2), smoothed("wdn14", "dn", A14, 2),
+]
+LOCAL, CARRY, MEANS = ({k: v for m in _MEANS for k, v in m[i].items()} for i in range(3))
 
 STAGES: list[dict[str, str]] = [
     {
@@ -60,6 +90,7 @@ STAGES: list[dict[str, str]] = [
         "pc": lag("close"), "ph": lag("high"), "pl": lag("low"), "lag5": lag("close", 5),
     },
     {
+        **NUMBERED,
         "dlt": "close - pc", "ret": "close / nullif(pc, 0) - 1", "rng": "high - low", "dv": "close * volume",
         "tr": "greatest(high - low, abs(high - pc), abs(low - pc))",
         "up": "CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0) END", "dn": "CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0) END",
@@ -77,9 +108,7 @@ STAGES: list[dict[str, str]] = [
         "sd20": full("stddev_samp", "close", 20), "atr14": full("avg", "tr", 14), "atr20": full("avg", "tr", 20),
         "v5": tail("avg", "volume", 5), "v10": tail("avg", "volume", 10), "v20": tail("avg", "volume", 20), "v50": full("avg", "volume", 50), "v20_full": full("avg", "volume", 20),
         "up14": full("avg", "up", 14), "dn14": full("avg", "dn", 14), "pdm14": full("avg", "pdm", 14), "mdm14": full("avg", "mdm", 14),
-        "obv": f"sum(sv) OVER {RUN}", "ema20": ema("close", 20), "ema50": ema("close", 50), "ema200": ema("close", 200),
-        "ema9r": smoothed("close", "(CAST(2 AS DOUBLE) / 10)", 1), "ema21r": smoothed("close", "(CAST(2 AS DOUBLE) / 22)", 1),
-        "watr14": smoothed("tr", A14, 1), "wup14": smoothed("up", A14, 2), "wdn14": smoothed("dn", A14, 2),
+        "obv": f"sum(sv) OVER {RUN}", **LOCAL,
         "hi252": tail("max", "high", 252), "lo252": tail("min", "low", 252), "chi252": tail("max", "close", 252), "clo252": tail("min", "close", 252), "c50max": tail("max", "close", 50), "c100max": tail("max", "close", 100),
         "rng7max": f"max(rng) OVER ({BY} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)", "down_v_max": f"max(down_v) OVER ({BY} ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING)",
         "base_v": f"avg(volume) OVER ({BY} ROWS BETWEEN 27 PRECEDING AND 3 PRECEDING)",
@@ -88,6 +117,8 @@ STAGES: list[dict[str, str]] = [
         "c30_mean": tail("avg", "close", 30), "c30_sd": tail("stddev_samp", "close", 30), "c30_slope": slope("close", "n", 30), "low20": tail("min", "low", 20),
         "h15max": tail("max", "high", 15), "fwd_low5": f"min(close) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)",
     },
+    CARRY,
+    MEANS,
     {
         "rsi14": "100 - 100 / (1 + up14 / nullif(dn14, 0))", "wrsi14": "100 - 100 / (1 + wup14 / nullif(wdn14, 0))",
         "dx": "100 * abs(pdm14 - mdm14) / nullif(pdm14 + mdm14, 0)", "bbw": "4 * sd20 / nullif(ma20, 0)",
@@ -111,9 +142,14 @@ STAGES: list[dict[str, str]] = [
 
 def with_indicators(bars: DataFrame, stages: int | None = None) -> DataFrame:
     """``bars`` with the columns of all stages; unused ones are pruned by Catalyst."""
-    for stage in STAGES[:stages]:
-        bars = bars.select("*", *[F.expr(e).alias(a) for a, e in stage.items()])
-    return bars
+    return staged(bars, *STAGES[:stages])
+
+
+def staged(rows: DataFrame, *stages: dict[str, str]) -> DataFrame:
+    """``rows`` with the columns of the stages added one after the other."""
+    for stage in stages:
+        rows = rows.select("*", *[F.expr(e).alias(a) for a, e in stage.items()])
+    return rows
 
 
 def staged_sql(source: str = "bars") -> str:

@@ -45,20 +45,43 @@ def triple_barrier(entries: DataFrame, bars: DataFrame, upper: float = 3.0, lowe
 
 def trend_scan(bars: DataFrame, shortest: int = 5, longest: int = 30, t_least: float = 2.0) -> DataFrame:
     """Label of every bar by the most significant trend of the closes that follow: the horizon with the largest |t| of the
-    regression slope (the shorter one on ties). All horizons are frames of one window."""
+    regression slope (the shorter one on ties). One frame gathers the bars ahead; a fold over them carries the
+    sums of the regression from one horizon to the next, around the bar's own close."""
     w = Window.partitionBy("symbol").orderBy("dt")
-    fits = []
-    for h in range(shortest, longest + 1):
-        f = w.rowsBetween(1, h)
-        r = F.try_divide(F.covar_pop("close", "n").over(f), F.stddev_pop("close").over(f) * F.stddev_pop("n").over(f))
-        t = F.try_divide(r * F.sqrt(F.lit(float(h - 2))), F.sqrt(F.nullif(F.greatest(1 - r * r, F.lit(0.0)), F.lit(0.0))))
-        fits.append(F.when((F.count("close").over(f) == h) & t.isNotNull(), F.struct(F.round(F.abs(t), 4).alias("a"), F.lit(-h).alias("h"), F.round(t, 4).alias("t"), F.lead("dt", h).over(w).alias("d"), F.lead("close", h).over(w).alias("c"))))
-    best = F.array_max(F.array_compact(F.array(*fits)))
-    b = bars.select("symbol", "dt", "close", best.alias("best")).filter("best is not null")
+    ahead = F.collect_list(F.struct("close", "dt")).over(w.rowsBetween(1, longest))
+
+    def let(value, body):
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def slope_t(s):
+        """t of the slope over the first s.i bars, whose numbers 1..i have known moments."""
+        i, mean = s["i"], s["sy"] / s["i"]
+        cov = s["sxy"] / i - (i + 1) / 2 * mean
+        r = F.try_divide(cov, F.sqrt(F.greatest(s["syy"] / i - mean * mean, F.lit(0.0)) * (i * i - 1) / 12))
+        return let(r, lambda r: F.try_divide(r * F.sqrt(i - 2), F.sqrt(F.nullif(F.greatest(1 - r * r, F.lit(0.0)), F.lit(0.0)))))
+
+    def step(acc, x):
+        y = x["close"] - F.col("close")
+        i = acc["i"] + 1
+        sums = F.struct(i.alias("i"), (acc["sy"] + y).alias("sy"), (acc["syy"] + y * y).alias("syy"), (acc["sxy"] + i * y).alias("sxy"))
+
+        def better(t, s):
+            won = F.struct(F.round(F.abs(t), 4).alias("a"), s["i"].alias("h"), F.round(t, 4).alias("t"))
+            return F.when(F.round(F.abs(t), 4) > F.coalesce(acc["best"]["a"], F.lit(-1.0)), won).otherwise(acc["best"])
+
+        def kept(s):
+            best = F.when(s["i"] >= shortest, let(slope_t(s), lambda t: better(t, s))).otherwise(acc["best"])
+            return F.struct(s["i"].alias("i"), s["sy"].alias("sy"), s["syy"].alias("syy"), s["sxy"].alias("sxy"), best.alias("best"))
+
+        return let(sums, kept)
+
+    zero = F.struct(F.lit(0).alias("i"), *[F.lit(0.0).alias(c) for c in ("sy", "syy", "sxy")], F.expr("cast(null as struct<a:double,h:int,t:double>)").alias("best"))
+    b = bars.select("symbol", "dt", "close", ahead.alias("ahead"))
+    b = b.withColumn("best", F.aggregate("ahead", zero, step)["best"]).filter("best is not null").withColumn("exit", F.element_at("ahead", F.col("best.h")))
     return b.select(
         "symbol", "dt", F.when(F.col("best.a") < t_least, 0).when(F.col("best.t") > 0, 1).otherwise(-1).cast("int").alias("label"),
-        (-F.col("best.h")).cast("int").alias("best_horizon"), F.col("best.t").alias("t_stat"), F.col("best.d").alias("exit_date"),
-        ((F.col("best.c") - F.col("close")) / F.greatest(F.col("close") * 0.01, F.lit(1e-6))).alias("r_multiple"),
+        F.col("best.h").alias("best_horizon"), F.col("best.t").alias("t_stat"), F.col("exit.dt").alias("exit_date"),
+        ((F.col("exit.close") - F.col("close")) / F.greatest(F.col("close") * 0.01, F.lit(1e-6))).alias("r_multiple"),
     )
 
 

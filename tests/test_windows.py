@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from barweave.functions.windows import ffd_weights, percentile_rank
-from barweave.operators.indicators import ema, full, slope, smoothed, with_indicators
+from barweave.operators.indicators import NUMBERED, ema, full, short_ema, slope, smoothed, staged, with_indicators
 from pyspark.sql import functions as F
 
 DAY = dt.date(2020, 1, 1)
@@ -22,13 +22,15 @@ def values(df, expr):
 
 @pytest.mark.parametrize(("xs", "expr", "want"), [
     ([1, 2, 3, 4], full("avg", "x", 3), [None, None, 2, 3]),
-    ([1, 2, 3], ema("x", 3), [1, 5 / 3, 17 / 7]),
-    ([1, 2, 3], smoothed("x", "(CAST(2 AS DOUBLE) / 4)", 1), [1, 1.5, 2.25]),
+    ([1, 2, 3], short_ema("x", 3), [1, 5 / 3, 17 / 7]),
+    ([1, 2, 3], ema("v", "x", 3), [1, 5 / 3, 17 / 7]),
+    ([1, 2, 3], smoothed("v", "x", "(CAST(2 AS DOUBLE) / 4)", 1), [1, 1.5, 2.25]),
     ([1, 2, 3, 4], slope("x", "n", 10), [0, 0, 0, 0]),
     ([1, 2, 3, 4, 5], slope("x", "n", 10), [0, 0, 0, 0, 1]),
 ])
 def test_goldens(spark, xs, expr, want):
-    got = values(series(spark, xs), expr)
+    df = series(spark, xs)
+    got = values(df, expr) if isinstance(expr, str) else values(staged(df, NUMBERED, *expr), "v")
     assert [None if g is None else pytest.approx(g) for g in got] == want
 
 
@@ -62,6 +64,9 @@ def test_pandas_twins(walk):
     want = {
         "ma50": c.rolling(50).mean(), "sd20": c.rolling(20).std(), "atr14": tr.rolling(14).mean(), "ema200": c.ewm(span=200).mean(), "ema21r": c.ewm(span=21, adjust=False).mean(), "watr14": tr.ewm(alpha=1 / 14, adjust=False).mean(),
         "wup14": d.clip(lower=0).ewm(alpha=1 / 14, adjust=False).mean(), "rsi14": 100 - 100 / (1 + d.clip(lower=0).rolling(14).mean() / (-d.clip(upper=0)).rolling(14).mean()), "obv": (np.sign(d.fillna(0)) * got["volume"]).cumsum(),
+        "ema9r": c.ewm(span=9, adjust=False).mean(), "ema20": c.ewm(span=20).mean(), "ema50": c.ewm(span=50).mean(), "bbw": 4 * c.rolling(20).std() / c.rolling(20).mean(),
+        "bb_pos": (c - (c.rolling(20).mean() - 2 * c.rolling(20).std())) / (4 * c.rolling(20).std()), "v20": got["volume"].rolling(20, min_periods=1).mean(), "lo252": lo.rolling(252, min_periods=1).min(),
+        "hl20": ((h - lo) / c).rolling(20, min_periods=1).mean() * 100, "dv50": (c * got["volume"]).rolling(50).mean() / 1e7, "c30_mean": c.rolling(30, min_periods=1).mean(), "low20": lo.rolling(20, min_periods=1).min(),
         "hi252": h.rolling(252, min_periods=1).max(),
     }
     for k, w in want.items():
@@ -69,6 +74,22 @@ def test_pandas_twins(walk):
     assert got["adx14"].first_valid_index() == 27
 
 
+def test_exponential_means_of_a_long_series(spark):
+    """15,000 bars: weights restart in blocks, so nothing overflows; every row equals pandas."""
+    rng = np.random.default_rng(1)
+    c = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 15_000)))
+    pdf = pd.DataFrame({"symbol": "A", "dt": pd.date_range("1960-01-01", periods=15_000).date, "open": c, "high": c * (1 + rng.random(15_000) / 50), "low": c * 0.98, "close": c, "volume": 1.0})
+    got = with_indicators(spark.createDataFrame(pdf)).select("dt", "ema20", "ema50", "ema200", "ema9r", "ema21r", "watr14", "wrsi14").orderBy("dt").toPandas()
+    h, lo, c, d = pdf["high"], pdf["low"], pdf["close"], pdf["close"].diff()
+    tr = pd.concat([h - lo, (h - c.shift()).abs(), (lo - c.shift()).abs()], axis=1).max(axis=1)
+    wilder = lambda x: x.ewm(alpha=1 / 14, adjust=False).mean()
+    want = {f"ema{n}": c.ewm(span=n).mean() for n in (20, 50, 200)} | {f"ema{n}r": c.ewm(span=n, adjust=False).mean() for n in (9, 21)}
+    want |= {"watr14": wilder(tr), "wrsi14": 100 - 100 / (1 + wilder(d.clip(lower=0)) / wilder(-d.clip(upper=0)))}
+    for k, w in want.items():
+        skip = 50 if k == "wrsi14" else 0  # null here, 100 there, while no close has fallen
+        np.testing.assert_allclose(got[k].astype(float)[skip:], w[skip:], rtol=1e-9, err_msg=k)
+
+
 def test_no_look_ahead(walk):
     cols = [c for c in with_indicators(walk).columns if c not in ("bars_total", "pivot3", "pivot8", "swing_low3", "low11", "fwd_low5")]
     whole = with_indicators(walk).select(cols).filter("n <= 200").orderBy("symbol", "dt").toPandas()
