@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,45 +45,43 @@ def triple_barrier(entries: DataFrame, bars: DataFrame, upper: float = 3.0, lowe
     )
 
 
+def _best_trends(close: np.ndarray, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one series: the rows that have a trend, its horizon and its t. The sums of all horizons of a row are running
+    sums over the bars ahead, around the row's own close; their numbers 1..h have known moments."""
+    pad = np.concatenate([close, np.full(longest, np.nan)])
+    y = np.lib.stride_tricks.sliding_window_view(pad, longest + 1)[:, 1:] - close[:, None]
+    i = np.arange(1, longest + 1, dtype=float)
+    sy, syy, sxy = np.cumsum(y, 1), np.cumsum(y * y, 1), np.cumsum(y * i, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = (sxy / i - (i + 1) / 2 * sy / i) / np.sqrt((syy / i - (sy / i) ** 2) * (i * i - 1) / 12)
+        t = r * np.sqrt(np.maximum(i - 2, 0)) / np.sqrt(1 - r * r)
+    size = np.where(np.isfinite(t), np.round(np.abs(t), 4), -1.0)
+    size[:, : shortest - 1] = -1.0
+    best = size.argmax(1)  # the first, so the shortest, of equals
+    on = np.flatnonzero(size[np.arange(len(close)), best] >= 0)
+    return on, best[on] + 1, t[on, best[on]]
+
+
 def trend_scan(bars: DataFrame, shortest: int = 5, longest: int = 30, t_least: float = 2.0) -> DataFrame:
     """Label of every bar by the most significant trend of the closes that follow: the horizon with the largest |t| of the
-    regression slope (the shorter one on ties). One frame gathers the bars ahead; a fold over them carries the
-    sums of the regression from one horizon to the next, around the bar's own close."""
-    w = Window.partitionBy("symbol").orderBy("dt")
-    ahead = F.collect_list(F.struct("close", "dt")).over(w.rowsBetween(1, longest))
-
-    def let(value, body):
-        return F.element_at(F.transform(F.array(value), body), 1)
-
-    def slope_t(s):
-        """t of the slope over the first s.i bars, whose numbers 1..i have known moments."""
-        i, mean = s["i"], s["sy"] / s["i"]
-        cov = s["sxy"] / i - (i + 1) / 2 * mean
-        r = F.try_divide(cov, F.sqrt(F.greatest(s["syy"] / i - mean * mean, F.lit(0.0)) * (i * i - 1) / 12))
-        return let(r, lambda r: F.try_divide(r * F.sqrt(i - 2), F.sqrt(F.nullif(F.greatest(1 - r * r, F.lit(0.0)), F.lit(0.0)))))
-
-    def step(acc, x):
-        y = x["close"] - F.col("close")
-        i = acc["i"] + 1
-        sums = F.struct(i.alias("i"), (acc["sy"] + y).alias("sy"), (acc["syy"] + y * y).alias("syy"), (acc["sxy"] + i * y).alias("sxy"))
-
-        def better(t, s):
-            won = F.struct(F.round(F.abs(t), 4).alias("a"), s["i"].alias("h"), F.round(t, 4).alias("t"))
-            return F.when(F.round(F.abs(t), 4) > F.coalesce(acc["best"]["a"], F.lit(-1.0)), won).otherwise(acc["best"])
-
-        def kept(s):
-            best = F.when(s["i"] >= shortest, let(slope_t(s), lambda t: better(t, s))).otherwise(acc["best"])
-            return F.struct(s["i"].alias("i"), s["sy"].alias("sy"), s["syy"].alias("syy"), s["sxy"].alias("sxy"), best.alias("best"))
-
-        return let(sums, kept)
-
-    zero = F.struct(F.lit(0).alias("i"), *[F.lit(0.0).alias(c) for c in ("sy", "syy", "sxy")], F.expr("cast(null as struct<a:double,h:int,t:double>)").alias("best"))
-    b = bars.select("symbol", "dt", "close", ahead.alias("ahead"))
-    b = b.withColumn("best", F.aggregate("ahead", zero, step)["best"]).filter("best is not null").withColumn("exit", F.element_at("ahead", F.col("best.h")))
-    return b.select(
-        "symbol", "dt", F.when(F.col("best.a") < t_least, 0).when(F.col("best.t") > 0, 1).otherwise(-1).cast("int").alias("label"),
-        F.col("best.h").alias("best_horizon"), F.col("best.t").alias("t_stat"), F.col("exit.dt").alias("exit_date"),
-        ((F.col("exit.close") - F.col("close")) / F.greatest(F.col("close") * 0.01, F.lit(1e-6))).alias("r_multiple"),
+    regression slope (the shorter one on ties). Spark deals out the symbols; one symbol's closes are a vector each."""
+    kind = bars.schema["symbol"].dataType.simpleString()
+
+    def scan(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("day", ignore_index=True)
+        close, day = group["close"].to_numpy(float), group["day"].to_numpy()
+        at, h, t = _best_trends(close, shortest, longest)
+        out = {"symbol": group["symbol"].iloc[:1].repeat(len(at)), "day": day[at], "close": close[at], "h": h, "t": t, "exit_day": day[at + h], "exit_close": close[at + h]}
+        return pd.DataFrame({k: np.asarray(v) for k, v in out.items()})
+
+    fits = bars.select("symbol", F.unix_date("dt").alias("day"), "close").groupBy("symbol").applyInPandas(
+        scan, f"symbol {kind}, day int, close double, h int, t double, exit_day int, exit_close double"
+    )
+    t = F.round("t", 4)
+    return fits.select(
+        "symbol", F.date_from_unix_date("day").alias("dt"), F.when(F.abs(t) < t_least, 0).when(t > 0, 1).otherwise(-1).cast("int").alias("label"),
+        F.col("h").alias("best_horizon"), t.alias("t_stat"), F.date_from_unix_date("exit_day").alias("exit_date"),
+        ((F.col("exit_close") - F.col("close")) / F.greatest(F.col("close") * 0.01, F.lit(1e-6))).alias("r_multiple"),
     )
 
 
