@@ -5,12 +5,14 @@
    differing bits of two bitmaps never exceeds the size of the symmetric difference, which bounds the
    overlap from above.
 2. Tiles: two sets that are similar enough share a hash among the first ``n - ceil(t*n) + 1`` of
-   each (in hash order). A tile is a size band and such a hash; hashes seen once are dropped by a
-   Bloom filter of fixed size, tiles of frequent hashes are cut into blocks that meet pairwise.
-   Inside a tile pairs are tested by size and bitmap only, and a spanning forest of the survivors
-   is kept, never all pairs.
+   each, in any one order. The order is by hash, but shingles that a sample shows to be frequent come
+   last, the most frequent at the very end, so that boilerplate makes no tiles. A tile is a size band and such a
+   hash; hashes seen once are dropped by a Bloom filter sized by count, tiles of hashes that are
+   frequent all the same are cut into blocks that meet pairwise. Inside a tile pairs are tested by
+   size and bitmap only, and a spanning forest of the survivors is kept, never all pairs.
 3. Exact sorted-array intersection of the forest's pairs. Components in which a pair failed get
-   a second round that lists all surviving pairs between what is not yet connected. So no link can be lost.
+   further rounds: each takes the most promising surviving pairs, some for every two labels of a tile, until all
+   that lie between unlike labels have been tested. So no link can be lost.
 """
 
 from __future__ import annotations
@@ -23,11 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_words, checked, in_bloom, mix64, slices, texts, written
+from .common import bloom_bits, bloom_words, checked, dropped, in_bloom, mix64, slices, texts, written
 from .components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-MAX_BAND, BAND_BITS, BLOCK, BLOOM_BITS = 5, 512, 2048, 26
+MAX_BAND, BAND_BITS, BLOCK = 5, 512, 2048
+#: Documents (or a hundredth, if that is more) in which shingles are counted for their order, and how many of them
+#: make one frequent; most frequent shingles that are told apart (8 MB). These only order shingles: results don't depend on them.
+SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 8, 1 << 20
+#: Pairs of two labels that a tile gives in each further round; the last round gives all.
+ROUNDS = (2, 64, None)
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -58,20 +65,59 @@ def needed(n: int, num: int) -> int:
     return n - (num * n + 99) // 100 + 1
 
 
-_SETS = "doc_id long, n long, d1 long, d2 long, tokens array<long>, bands array<struct<band:int,bits:binary>>"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("tokens", pa.list_(pa.int64())), ("bands", pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())])))])
+_SETS = "doc_id long, h long, n long, d1 long, d2 long, tokens array<long>, bands array<struct<band:int,bits:binary>>"
+_BAND = pa.struct([("band", pa.int32()), ("bits", pa.binary())])
+_SETS_ARROW = pa.schema([*((c, pa.int64()) for c in ("doc_id", "h", "n", "d1", "d2")), ("tokens", pa.list_(pa.int64())), ("bands", pa.list_(_BAND))])
 
 
-def _sets(k: int, num: int):
+def _sampled(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2048):
+            sets = [shingle_set(t, k) for t in texts(b)]
+            token, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), [])
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], names=["token", "c"])
+
+    return run
+
+
+def frequent_shingles(docs: DataFrame, k: int, rows: int) -> np.ndarray:
+    """Hashes of shingles found frequent in a sample, the most frequent last."""
+    share = min(1.0, max(SAMPLE, rows / 100) / max(rows, 1))
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "h"), F.lit(1_000_000)) < int(share * 1_000_000))
+    found = sample.mapInArrow(_sampled(k), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") >= FREQUENT)
+    t = found.orderBy(F.col("c").desc(), "token").limit(MOST_FREQUENT).toArrow()
+    return t["token"].to_numpy()[::-1].view(np.uint64) if t.num_rows else np.zeros(0, np.uint64)
+
+
+class Order:
+    """Order of shingles: by hash, frequent ones after all others in the order given."""
+
+    def __init__(self, frequent: np.ndarray):
+        self.rank = np.argsort(frequent)
+        self.sorted = frequent[self.rank]
+
+    def first(self, s: np.ndarray, n: int) -> np.ndarray:
+        """The first ``n`` of a sorted set."""
+        if not len(self.sorted):
+            return s[:n]
+        at = np.minimum(np.searchsorted(self.sorted, s), len(self.sorted) - 1)
+        late = self.sorted[at] == s
+        own, rest = s[~late], s[late]
+        return own[:n] if len(own) >= n else np.concatenate([own, rest[np.argsort(self.rank[at[late]])][: n - len(own)]])
+
+
+def _sets(k: int, num: int, frequent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Order(frequent.value)
         for b in slices(batches):
             rows = []
-            for i, t in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
+            for i, h, t in zip(b.column("doc_id").to_pylist(), b.column("h").to_pylist(), texts(b), strict=True):
                 s = shingle_set(t, k)
-                d = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else bytes(16)
-                bands = sorted({band_of(len(s)), band_of(len(s) * 100 // num)}) if len(s) else []
-                own = np.frombuffer(d, np.int64)
-                rows.append((i, len(s), int(own[0]), int(own[1]), s[: needed(len(s), num)].view(np.int64) if len(s) else [], [{"band": x, "bits": bitmap(s, x)} for x in bands]))
+                n = len(s)
+                own = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()) if n else bytes(16), np.int64)
+                bands = sorted({band_of(n), band_of(n * 100 // num)}) if n else []
+                first = order.first(s, needed(n, num)).view(np.int64) if n else []
+                rows.append((i, h, n, int(own[0]), int(own[1]), first, [{"band": x, "bits": bitmap(s, x)} for x in bands]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SETS_ARROW, strict=True)], schema=_SETS_ARROW)
 
     return run
@@ -124,8 +170,19 @@ def _forest(i: np.ndarray, j: np.ndarray, cost: np.ndarray, n: int) -> np.ndarra
         label = label[label]
 
 
-def _pairs(num: int, every: bool):
-    """Surviving pairs of the tiles: a spanning forest of each, or (``every``) all pairs of unlike label."""
+def _leading(a: np.ndarray, b: np.ndarray, cost: np.ndarray, n: int | None) -> np.ndarray:
+    """Positions of the ``n`` cheapest pairs (or all) of each two labels (a, b)."""
+    if n is None:
+        return np.arange(len(a))
+    order = np.lexsort((cost, np.maximum(a, b), np.minimum(a, b)))
+    lo, hi = np.minimum(a, b)[order], np.maximum(a, b)[order]
+    new = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+    start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return order[np.arange(len(new)) - start < n]
+
+
+def _pairs(num: int, forest: bool, most: int | None = None):
+    """Surviving pairs of the tiles: a spanning forest of each, or those of unlike label, ``most`` for each two labels."""
 
     def tested(cols: dict) -> pa.RecordBatch | None:
         tile, blk, n, rep, bits, label = (cols[c] for c in ("tile", "blk", "n", "rep", "bits", "label"))
@@ -139,7 +196,7 @@ def _pairs(num: int, every: bool):
             at = at[(tile[o] == tile[at]) & (100 * n[at] >= num * n[o])]  # sizes ascend inside a tile
             o = at + step
             on = (rep[at] != rep[o]) & (~two[at] | (blk[at] != blk[o]))
-            if every:
+            if not forest:
                 on &= label[at] != label[o]
             a, b = at[on], o[on]
             for s in range(0, len(a), 8192):
@@ -152,9 +209,8 @@ def _pairs(num: int, every: bool):
         if not found:
             return None
         i, j, d = np.concatenate(found, 1)
-        if not every:
-            keep = _forest(i, j, d, len(n))
-            i, j = i[keep], j[keep]
+        keep = _forest(i, j, d, len(n)) if forest else _leading(label[i], label[j], d, most)
+        i, j = i[keep], j[keep]
         p = np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
@@ -224,59 +280,74 @@ def _check(pairs: DataFrame, docs: DataFrame, k: int, num: int, name: str) -> Da
     return written(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(k, num), "a long, b long, ok boolean"), name)
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id per row of ``docs`` (doc_id, text): documents whose sets of
-    k-word shingles have a Jaccard similarity of at least ``num`` / 100 are linked, a component's id
-    is its smallest doc_id.
-
-    Defined cases: a text that is null or without words has an empty set and stands alone; with
-    fewer than k words the whole sequence is the one shingle; rows that repeat a doc_id with one text
-    are one document (the row is repeated in the result), and a copy is told by doc_id and text, so a
-    doc_id's other texts keep their links; a null doc_id stays alone with
-    component null; an empty table gives no rows; further columns are ignored. Equality of
-    shingles is judged by 64-bit hashes, of whole sets by 128-bit ones.
-    """
+def _components(docs: DataFrame, k: int, num: int) -> DataFrame:
+    """A written table of doc_id, h (hash of the text), n_shingles, component_id per row."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(docs.mapInArrow(_sets(k, num), _SETS), "jaccard_sets")
-    classes = written(sets.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "jaccard_classes")
-    extra = sets.filter("n > 0").select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).filter("doc_id <> rep").select("doc_id", "d1", "d2")
-    one = sets.filter("n > 0 and doc_id is not null").select("doc_id", "d1", "d2", "n", "tokens", "bands")
-    one = one.join(checked(written(extra.distinct(), "jaccard_copies")), ["doc_id", "d1", "d2"], "left_anti").drop("d1", "d2")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k, docs.count()))
+    sets = written(docs.mapInArrow(_sets(k, num, frequent), _SETS), "jaccard_sets")
+    full = sets.filter("n > 0")
+    classes = written(full.filter("doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "jaccard_classes")
+    extra = full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).filter("doc_id <> rep").select("doc_id", "d1", "d2")
+    copies = written(extra.distinct(), "jaccard_copies")
+    one = full.filter("doc_id is not null").select("doc_id", "d1", "d2", "n", "tokens", "bands")
+    one = one.join(checked(copies), ["doc_id", "d1", "d2"], "left_anti").drop("d1", "d2")
     seen = one.select("doc_id", F.explode("bands.band").alias("band"), "tokens").select("band", F.explode("tokens").alias("token"))
     multi = written(seen.groupBy("band", "token").agg(F.count("*").alias("c")).filter("c > 1"), "jaccard_tiles")
-    mixed = multi.mapInArrow(_keys, "h long")
-    words = spark.sparkContext.broadcast(bloom_words(mixed, "h", BLOOM_BITS))
+    words = spark.sparkContext.broadcast(bloom_words(multi.mapInArrow(_keys, "h long"), "h", bloom_bits(multi.count())))
     hot = multi.filter(F.col("c") > BLOCK).select("band", "token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    hot = checked(written(hot, "jaccard_hot"))
-    plain = docs.filter("doc_id is not null")
+    hot = written(hot, "jaccard_hot")
+    plain = docs.filter("doc_id is not null").select("doc_id", "text")
+    tile = "band int, token long, rep long, n long, bits binary, label long"
 
-    def round_pairs(rows: DataFrame, every: bool, name: str) -> DataFrame:
-        t = rows.mapInArrow(_shared_tokens(words), "band int, token long, rep long, n long, bits binary, label long").join(hot, ["band", "token"], "left")
+    def round_pairs(rows: DataFrame, forest: bool, most: int | None, name: str) -> DataFrame:
+        t = rows.mapInArrow(_shared_tokens(words), tile).join(checked(hot), ["band", "token"], "left")
         t = t.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         t = t.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         t = t.select("band", "token", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "blk", "n", "rep", "label", "bits")
         key = ["band", "token", "bi", "bj"]
-        dealt = t.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, "n", "rep")
-        return written(dealt.mapInArrow(_pairs(num, every), "a long, b long").distinct(), name)
+        dealt = t.repartition(parts, *key).sortWithinPartitions(*key, "n", "rep")
+        return written(dealt.mapInArrow(_pairs(num, forest, most), "a long, b long").distinct(), name)
 
-    forest = round_pairs(one.withColumn("label", F.col("doc_id")), False, "jaccard_forest")
-    sure = _check(forest, plain, k, num, "jaccard_checked")
-    links = sure.filter("ok").select("a", "b")
-    if sure.filter("not ok").limit(1).count():
+    forest = round_pairs(one.withColumn("label", F.col("doc_id")), True, None, "jaccard_forest")
+    tested = _check(forest, plain, k, num, "jaccard_checked")
+    if tested.filter("not ok").limit(1).count():
         # tile components with a failed pair: their classes are tested again, between unlike labels
         maybe = components(forest, "jaccard_maybe")
-        failed = sure.filter("not ok").select(F.col("a").alias("v")).join(maybe, "v").select("label").distinct()
+        failed = tested.filter("not ok").select(F.col("a").alias("v")).join(maybe, "v").select("label").distinct()
         again = written(maybe.join(failed, "label").select(F.col("v").alias("doc_id")), "jaccard_again")
-        done = components(links, "jaccard_first").select(F.col("v").alias("doc_id"), "label")
-        labels = written(again.join(done, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label")), "jaccard_labels")
-        rows = one.join(checked(labels), "doc_id").select("doc_id", "n", "tokens", "bands", "label")
-        rest = round_pairs(rows, True, "jaccard_rest").join(sure.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.union(_check(written(rest, "jaccard_rest_new"), plain, k, num, "jaccard_rest_checked").filter("ok").select("a", "b"))
-    linked = components(links, "jaccard_linked").select(F.col("v").alias("rep"), "label")
-    member = sets.filter("n > 0").select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(linked, "rep", "left")
-    alone = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return member.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep")).alias("component_id")).unionByName(alone)
+        for most in ROUNDS:
+            done = components(tested.filter("ok").select("a", "b"), "jaccard_first").select(F.col("v").alias("doc_id"), "label")
+            labels = written(again.join(done, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label")), "jaccard_labels")
+            rows = one.join(checked(labels), "doc_id").select("doc_id", "n", "tokens", "bands", "label")
+            found = round_pairs(rows, False, most, "jaccard_rest")
+            new = written(found.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "jaccard_rest_new")
+            more = _check(new, plain, k, num, "jaccard_rest_checked")
+            tested = written(tested.unionByName(more), "jaccard_checked")
+            dropped(labels, found, new, more)
+    linked = components(tested.filter("ok").select("a", "b"), "jaccard_linked").select(F.col("v").alias("rep"), "label")
+    member = full.select("doc_id", "h", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(linked, "rep", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep")).alias("component_id")
+    alone = sets.filter("n = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = written(member.select("doc_id", "h", F.col("n").alias("n_shingles"), component).unionByName(alone), "jaccard_components")
+    dropped(sets, classes, copies, multi, hot, forest, tested)
+    return out
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id per row of ``docs`` (doc_id, text): documents whose sets of
+    k-word shingles have a Jaccard similarity of at least ``num`` / 100 are linked, a component's id
+    is its smallest doc_id.
+
+    Defined cases: a text that is null or without words has an empty set and stands alone; with
+    fewer than k words the whole sequence is the one shingle; rows that repeat a doc_id with one text
+    are one document (the row is repeated in the result), and a copy is told by doc_id and text, so a
+    doc_id's other texts keep their links; a null doc_id stays alone with
+    component null; an empty table gives no rows; further columns are ignored. Equality of
+    shingles is judged by 64-bit hashes, of whole sets by 128-bit ones.
+    """
+    return _components(docs, k, num).drop("h")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +357,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, with their columns."""
-    drop = written(jaccard_components(docs, k, num).filter("doc_id <> component_id").select("doc_id").distinct(), "jaccard_drop")
-    return docs.join(checked(drop), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are the first of their component, with their columns; a doc_id's texts are told apart
+    by their hash, and a row without doc_id stays."""
+    other = _components(docs, k, num).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    drop = written(other.distinct(), "jaccard_drop")
+    out = docs.join(checked(drop), (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    return out.select(*docs.columns)
