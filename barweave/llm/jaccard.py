@@ -34,7 +34,7 @@ MAX_BAND, BAND_BITS, BLOCK = 5, 512, 2048
 #: make one frequent; most frequent shingles that are told apart (8 MB). These only order shingles: results don't depend on them.
 SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 8, 1 << 20
 #: Pairs of two labels that a tile gives in each further round; the last round gives all.
-ROUNDS = (2, 64, None)
+ROUNDS = (16, None)
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -312,21 +312,26 @@ def _components(docs: DataFrame, k: int, num: int) -> DataFrame:
 
     forest = round_pairs(one.withColumn("label", F.col("doc_id")), True, None, "jaccard_forest")
     tested = _check(forest, plain, k, num, "jaccard_checked")
+    linked = components(tested.filter("ok").select("a", "b"), "jaccard_linked")
     if tested.filter("not ok").limit(1).count():
         # tile components with a failed pair: their classes are tested again, between unlike labels
         maybe = components(forest, "jaccard_maybe")
         failed = tested.filter("not ok").select(F.col("a").alias("v")).join(maybe, "v").select("label").distinct()
-        again = written(maybe.join(failed, "label").select(F.col("v").alias("doc_id")), "jaccard_again")
+        again = written(maybe.join(failed, "label").select("v"), "jaccard_again")
         for most in ROUNDS:
-            done = components(tested.filter("ok").select("a", "b"), "jaccard_first").select(F.col("v").alias("doc_id"), "label")
-            labels = written(again.join(done, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label")), "jaccard_labels")
+            label = F.coalesce("label", "v").alias("label")
+            labels = written(again.join(linked, "v", "left").select(F.col("v").alias("doc_id"), label), "jaccard_labels")
             rows = one.join(checked(labels), "doc_id").select("doc_id", "n", "tokens", "bands", "label")
             found = round_pairs(rows, False, most, "jaccard_rest")
             new = written(found.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "jaccard_rest_new")
+            if not new.limit(1).count():
+                continue
             more = _check(new, plain, k, num, "jaccard_rest_checked")
             tested = written(tested.unionByName(more), "jaccard_checked")
+            if more.filter("ok").limit(1).count():
+                linked = components(tested.filter("ok").select("a", "b"), "jaccard_linked")
             dropped(labels, found, new, more)
-    linked = components(tested.filter("ok").select("a", "b"), "jaccard_linked").select(F.col("v").alias("rep"), "label")
+    linked = linked.select(F.col("v").alias("rep"), "label")
     member = full.select("doc_id", "h", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(linked, "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep")).alias("component_id")
     alone = sets.filter("n = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
