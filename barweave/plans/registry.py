@@ -28,7 +28,8 @@ def query(name: str, sql: str | None = None):
                 ORACLES[name] = sql
             else:
                 s = sql.strip()
-                ORACLES[name] = f"WITH {BARS}, {s[5:]}" if s[:5].upper() == "WITH " else f"WITH {BARS} {s}"
+                head = "WITH RECURSIVE " if s[:15].upper() == "WITH RECURSIVE " else "WITH "
+                ORACLES[name] = f"{head}{BARS}, {s[len(head):]}" if s[:5].upper() == "WITH " else f"WITH {BARS} {s}"
         return f
 
     return put

@@ -33,6 +33,14 @@ def workbook(sheets: dict[str, DataFrame | None], path: str, placeholder: str =
     return done
 
 
+def screen_book(matches: DataFrame, path: str, placeholder: str = "No matches") -> None:
+    """The screen's sheet, or a placeholder where nothing passed."""
+    if matches.limit(1).count():
+        csv(matches, f"{path}/summary")
+    else:
+        csv(matches.sparkSession.createDataFrame([(placeholder,)], "note string"), f"{path}/summary")
+
+
 def watchlist(df: DataFrame, path: str) -> None:
     """Exchange-prefixed tickers, one a line, distinct and sorted."""
     t = F.col("ticker")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.relational import upsert
+from ..operators.relational import keep_one, upsert
 
 
 def upsert_sink(path: str, keys: list[str], tiebreak: str):
@@ -29,6 +29,29 @@ def upsert_sink(path: str, keys: list[str], tiebreak: str):
     return merge
 
 
+def upsert_latest(path: str, keys: list[str], order: str, buckets: int = 16):
+    """A foreachBatch function that keeps the newest row of each key in hash buckets, one folder each. A batch rewrites
+    only the buckets it touches, from a staged copy, so a batch that fails is repeated with the same result."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most ``buckets``
+        if not touched:
+            return
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+            new = new.unionByName(old.select(*new.columns))
+        newest = keep_one(new, keys, [F.col(order).desc()])
+        staged = f"{path}-batch-{batch_id}"
+        newest.write.mode("overwrite").parquet(staged)
+        out = spark.read.parquet(staged).write.mode("overwrite").partitionBy("bucket")
+        out.option("partitionOverwriteMode", "dynamic").parquet(path)
+
+    return merge
+
+
 def _timed(events: DataFrame) -> DataFrame:
     """Watermarks need timestamps with a zone; wall-clock ones are read in the session's."""
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
