@@ -60,6 +60,21 @@ def cluster_levels(levels: Column, band: float) -> Column:
     return F.aggregate(F.sort_array(levels, asc=False), empty, place)
 
 
+def in_band(close: Column, r: Column, p: Setup) -> Column:
+    """Whether a level is near enough to the close."""
+    return ((r - close) / close).between(p.nearest, p.farthest)
+
+
+def near_top(r: Column, window_high: Column, p: Setup) -> Column:
+    """Whether a level is near enough to the highest high of the window."""
+    return F.abs(r - window_high) / window_high * 100 <= p.off_high
+
+
+def held(touches: Column, days: Column, p: Setup) -> Column:
+    """Whether a level was touched often enough over a long enough base."""
+    return (touches >= p.touches) & (days >= p.base_days)
+
+
 def detect(asofs: DataFrame, bars: DataFrame, p: Setup = Setup()) -> DataFrame:
     """Setups (symbol, n, dt, r, touches, base_start, base_len_days, distance_pct, is_high) of as-of bars (symbol, n, dt, close);
     ``bars`` needs n, dt, high and pivot3. A bar without a setup has no row."""
@@ -80,9 +95,9 @@ def detect(asofs: DataFrame, bars: DataFrame, p: Setup = Setup()) -> DataFrame:
         recent = F.filter(hits, lambda x: F.datediff("dt", x["p_dt"]) <= p.base_most) if p.base_most else hits
         start, kept = F.array_min(F.transform(hits, lambda x: x["p_dt"])), F.array_min(F.transform(recent, lambda x: x["p_dt"]))
         long = F.datediff("dt", start)
-        ok = (c["cnt"] >= p.touches) & dist.between(p.nearest, p.farthest) & (F.size(hits) >= p.touches) & (long >= p.base_days)
+        ok = (c["cnt"] >= p.touches) & in_band(F.col("close"), r, p) & held(F.size(hits), long, p)
         if p.off_high is not None:
-            ok = ok & (F.abs(r - F.col("window_high")) / F.col("window_high") * 100 <= p.off_high)
+            ok = ok & near_top(r, F.col("window_high"), p)
         cut = (long > p.base_most) if p.base_most else F.lit(False)
         ok = ok & (~cut | (F.size(recent) >= p.touches))
         base = F.when(cut, kept).otherwise(start)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import running
+
 
 def by_score(scored: DataFrame) -> DataFrame:
     """One row per distinct score with its positives and rows: all that the ranking metrics need."""
@@ -13,16 +15,15 @@ def by_score(scored: DataFrame) -> DataFrame:
 
 def auc(scored: DataFrame) -> DataFrame:
     """Area under the ROC curve by rank sums, ties by average ranks."""
-    up = Window.orderBy("prob").rowsBetween(Window.unboundedPreceding, 0)
-    r = by_score(scored).withColumn("rank", F.sum("rows").over(up) - (F.col("rows") - 1) / 2)
+    up = running(by_score(scored), F.col("prob").cast("double"), ["prob"], {"upto": F.col("rows")})
+    r = up.withColumn("rank", F.col("upto") - (F.col("rows") - 1) / 2)
     s = r.agg(F.sum(F.col("rank") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.sum(F.col("rows") - F.col("pos")).alias("n"))
     return s.select(F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("n")).alias("auc"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """Sum over distinct scores of precision times the step in recall."""
-    down = Window.orderBy(F.col("prob").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    r = by_score(scored).select("pos", F.sum("pos").over(down).alias("tp"), F.sum("rows").over(down).alias("seen"))
+    r = running(by_score(scored), -F.col("prob").cast("double"), [F.col("prob").desc()], {"tp": F.col("pos"), "seen": F.col("rows")})
     return r.agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos")).alias("average_precision"))
 
 
@@ -60,6 +61,7 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     out = rows
     for c in (a, b):
         counts = rows.groupBy(c).agg(F.count("*").alias("k"))
-        ranks = counts.select(c, (F.sum("k").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
+        upto = running(counts, F.col(c).cast("double"), [c], {"upto": F.col("k")})
+        ranks = upto.select(c, (F.col("upto") - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
         out = out.join(ranks, c)
     return out.agg(F.corr(f"rank_{a}", f"rank_{b}").alias("spearman"))

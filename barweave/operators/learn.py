@@ -34,6 +34,36 @@ def linear(features: list[str]) -> Pipeline:
     return _prepared(features, LogisticRegression(featuresCol="vec", labelCol="y", weightCol="weight", regParam=0.01))
 
 
+def stopped(features: list[str], validation: str, most: int = 60, tolerance: float = 0.001, seed: int = 42) -> Pipeline:
+    """Boosting that stops when the rows flagged by ``validation`` no longer gain ``tolerance``; ``trees(model)`` tells where."""
+    tree = GBTClassifier(featuresCol="vec", labelCol="y", weightCol="weight", validationIndicatorCol=validation, validationTol=tolerance, maxIter=most, maxDepth=3, seed=seed)
+    return _prepared(features, tree)
+
+
+def trees(model: PipelineModel) -> int:
+    return model.stages[-1].getNumTrees
+
+
+def calibration_points(scored: DataFrame, col: str) -> DataFrame:
+    """at, rate: the steps of the isotonic map of a score."""
+    model = IsotonicRegression(featuresCol=col, labelCol="y").fit(scored.withColumn("y", F.col("y").cast("double")))
+    pairs = zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist(), strict=True)
+    return scored.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, at double, rate double")
+
+
+def save(model: PipelineModel, features: list[str], points: DataFrame, path: str) -> None:
+    """A model, the order of its features and the steps of its calibration below one folder."""
+    spark = points.sparkSession
+    model.write().overwrite().save(f"{path}/model")
+    points.write.mode("overwrite").parquet(f"{path}/calibration")
+    spark.createDataFrame(list(enumerate(features)), "i int, feature string").coalesce(1).write.mode("overwrite").json(f"{path}/features")
+
+
+def load(spark, path: str) -> tuple[PipelineModel, list[str], DataFrame]:
+    order = spark.read.schema("i int, feature string").json(f"{path}/features").orderBy("i").collect()  # one row a feature
+    return PipelineModel.load(f"{path}/model"), [r["feature"] for r in order], spark.read.parquet(f"{path}/calibration")
+
+
 def score(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
     out = model.transform(rows)
     made = [c for c in out.columns if c not in rows.columns and c != "probability"]

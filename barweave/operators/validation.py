@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import tiles
+
 
 def uniqueness_weights(spans: DataFrame) -> DataFrame:
     """id, weight: mean over the span's days of 1 / number of spans that cover the day, scaled to mean one."""
@@ -18,7 +20,7 @@ def uniqueness_weights(spans: DataFrame) -> DataFrame:
 def purged_folds(spans: DataFrame, k: int = 5, embargo_days: int = 25) -> DataFrame:
     """fold, id, part: contiguous folds by (asof, id); a training row whose span touches the test range, or that
     starts within the embargo after it, is left out."""
-    tiled = spans.withColumn("own", F.ntile(k).over(Window.orderBy("asof", "id")))
+    tiled = tiles(spans, k, F.unix_date("asof").cast("double"), ["asof", "id"], "own")
     bounds = tiled.groupBy("own").agg(F.min("asof").alias("lo"), F.max("asof").alias("hi")).withColumnRenamed("own", "fold")  # k rows
     j = tiled.crossJoin(F.broadcast(bounds))
     overlap = (F.col("asof") <= F.col("hi")) & (F.col("exit_date") >= F.col("lo"))

@@ -6,11 +6,13 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..operators import learn
+from ..operators.groups import rotation
 from ..operators.relational import first_source
 from ..sources import readers, sinks, storage
 from ..sources.fixtures import fundamentals, table, walk_bars
-from .groups import _INDEX, _index
-from .registry import ORACLES, QUERIES, query, r6
+from .groups import _INDEX, _index, _out
+from .registry import ORACLES, query, r6
 from .windows import _BENCH_SQL, benchmark
 
 
@@ -285,11 +287,56 @@ def append_log_stream(spark, sf_dir):
     return spark.read.parquet(drained(event_files(spark, sf_dir).select("event_id", "event_type"), "log")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("c21_rotation_pipeline", ORACLES["c12_rotation_snapshot"])
+@query("c21_rotation_pipeline")
 def rotation_pipeline(spark, sf_dir):
     """Indices built and stored, the snapshot from the stored ones, its leaders and the snapshot written as a book."""
     path = storage.scratch(spark, "group_index")
-    storage.save_group_index(_index(spark, sf_dir)[2], path)
-    rot = stored(QUERIES["c12_rotation_snapshot"](spark, sf_dir), "rotation")
-    sinks.workbook({"rotation": rot, "leaders": rot.orderBy("rank").limit(5)}, storage.scratch(spark, "rotation_book"))
+    bars, members, index = _index(spark, sf_dir)
+    storage.save_group_index(index, path)
+    index = storage.load_group_index(spark, path)
+    last = index.agg(F.max("dt")).first()[0]
+    rot = rotation(bars, index, benchmark(bars).withColumnRenamed("bench", "level"), members, F.lit(last))
+    rot = stored(rot.selectExpr(*_out()), "rotation")
+    sinks.workbook({"rotation": rot, "leaders": rot.orderBy("rank", "grp").limit(5)}, storage.scratch(spark, "rotation_book"))
     return rot
+
+
+ORACLES["c21_rotation_pipeline"] = ORACLES["c12_rotation_snapshot"]
+
+
+@query("k09_model_artefacts", "SELECT 1 AS models, 2 AS calibration_points_at_least, 'market_cap,pe' AS feature_order, 0.0 AS worst_difference")
+def model_artefacts(spark, sf_dir):
+    """A classifier, its calibration and the frozen feature order saved, loaded and used again: scores are the same."""
+    f = fundamentals(spark, sf_dir).withColumn("y", (F.col("symbol") % 3 == 0).cast("int")).withColumn("weight", F.lit(1.0))
+    features = ["market_cap", "pe"]
+    model = learn.linear(features).fit(f)
+    path = storage.scratch(spark, "model")
+    learn.save(model, features, learn.calibration_points(learn.score(model, f, "p"), "p"), path)
+    again, order, points = learn.load(spark, path)
+    a, b = learn.score(model, f, "p").select("symbol", "p"), learn.score(again, f, "q").select("symbol", "q")
+    worst = a.join(b, "symbol").agg(F.lit(1).alias("models"), F.max(F.abs(F.col("p") - F.col("q"))).alias("worst_difference"))
+    few = points.agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("calibration_points_at_least"))
+    return worst.crossJoin(few).select("models", "calibration_points_at_least", F.lit(",".join(order)).alias("feature_order"), "worst_difference")
+
+
+@query("k04_scanner_workbook", """WITH s AS (SELECT s_suppkey AS symbol, s_acctbal / 100 AS score, s_suppkey % 10 = 0 AS high_conviction, s_suppkey % 3 = 0 AS triggered FROM supplier)
+    SELECT 'summary' AS sheet, count(*) AS n FROM s UNION ALL SELECT 'watchlist', count(*) FILTER (WHERE score >= 65 OR high_conviction) FROM s
+    UNION ALL SELECT 'triggers', count(*) FILTER (WHERE triggered AND (score >= 65 OR high_conviction)) FROM s UNION ALL SELECT 'high_conviction', count(*) FILTER (WHERE high_conviction) FROM s""")
+def scanner_workbook(spark, sf_dir):
+    path = storage.scratch(spark, "scanner")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol"), (F.col("s_acctbal") / 100).alias("score"), (F.col("s_suppkey") % 10 == 0).alias("high_conviction"), (F.col("s_suppkey") % 3 == 0).alias("triggered"))
+    out = None
+    for name in sinks.scanner_book(s, path):
+        one = _sheet(spark, f"{path}/{name}").agg(F.lit(name).alias("sheet"), F.count("*").alias("n"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query("t03_cooldown_state", """WITH RECURSIVE ev AS (SELECT user_id, CAST(ts AS DATE) AS d, min(event_id) AS e FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM events) WHERE k = 1 GROUP BY 1, 2),
+    c AS (SELECT user_id, min(d) AS d FROM ev GROUP BY user_id UNION ALL SELECT user_id, nx FROM (SELECT c.user_id, (SELECT min(v.d) FROM ev v WHERE v.user_id = c.user_id AND v.d >= c.d + 15) AS nx FROM c) WHERE nx IS NOT NULL)
+    SELECT c.user_id, ev.e AS event_id FROM c JOIN ev ON ev.user_id = c.user_id AND ev.d = c.d""")
+def cooldown_state(spark, sf_dir):
+    """One file in one batch, so that the state meets every user's events in time order."""
+    from ..streaming.bars import cooldown
+
+    return spark.read.parquet(drained(cooldown(event_files(spark, sf_dir, 1)).select("user_id", "event_id"), "cooldown"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import tiles
 from ..operators import evaluate, labels, validation
 from ..operators.indicators import staged_sql, with_indicators
 from ..sources.fixtures import walk_bars
@@ -208,7 +209,7 @@ def spearman(spark, sf_dir):
 
 @query("o06_top_decile_precision", f"WITH {_SCORED}, t AS (SELECT y, ntile(10) OVER (ORDER BY prob DESC, id) AS tenth FROM sc) SELECT CAST(tenth AS INTEGER) AS tenth, count(*) AS n, {r6('avg(y)')} AS precision_ FROM t GROUP BY tenth")
 def top_decile(spark, sf_dir):
-    t = scored(spark, sf_dir).withColumn("tenth", F.ntile(10).over(Window.orderBy(F.col("prob").desc(), "id")))
+    t = tiles(scored(spark, sf_dir), 10, -F.col("prob").cast("double"), [F.col("prob").desc(), "id"], "tenth")
     return _rounded(t.groupBy("tenth").agg(F.count("*").alias("n"), F.avg("y").alias("precision_")), ["tenth"], ["n"], ["precision_"])
 
 

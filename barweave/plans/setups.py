@@ -52,19 +52,36 @@ def scanner_resistance(spark, sf_dir):
     return last_setups(spark, sf_dir)[0]
 
 
-@query("p07_proximity_band")
+_LEVELS = """lv AS (SELECT symbol, dt, close, max(close) OVER (PARTITION BY symbol ORDER BY dt ROWS 99 PRECEDING) AS r, max(high) OVER (PARTITION BY symbol ORDER BY dt ROWS 749 PRECEDING) AS top FROM bars)"""
+
+
+def levels(spark, sf_dir):
+    """Every bar with the highest close of 100 bars as its level r and the highest high of 750 bars as top."""
+    w = Window.partitionBy("symbol").orderBy("dt")
+    return walk_bars(spark, sf_dir).select("symbol", "dt", "close", F.max("close").over(w.rowsBetween(-99, 0)).alias("r"), F.max("high").over(w.rowsBetween(-749, 0)).alias("top"))
+
+
+@query("p07_proximity_band", f"WITH {_LEVELS} SELECT symbol, dt FROM lv WHERE (r - close) / close >= -0.03 AND (r - close) / close <= 0.05")
 def proximity(spark, sf_dir):
-    return replay_setups(spark, sf_dir)[0].filter("distance_pct between -0.03 and 0.05").groupBy("touches").agg(F.count("*").alias("n"))
+    return levels(spark, sf_dir).filter(detect.in_band(F.col("close"), F.col("r"), detect.Setup())).select("symbol", "dt")
 
 
-@query("p08_distance_to_high")
+@query("p08_distance_to_high", f"WITH {_LEVELS} SELECT symbol, count(*) FILTER (WHERE abs(r - top) / top * 100 <= 12) AS near_, count(*) FILTER (WHERE NOT abs(r - top) / top * 100 <= 12) AS far FROM lv GROUP BY symbol")
 def near_high(spark, sf_dir):
-    return replay_setups(spark, sf_dir)[0].groupBy("is_high").agg(F.count("*").alias("n"))
+    ok = detect.near_top(F.col("r"), F.col("top"), detect.Setup())
+    return levels(spark, sf_dir).groupBy("symbol").agg(F.count_if(ok).alias("near_"), F.count_if(~ok).alias("far"))
 
 
-@query("p09_touch_and_length")
+@query("p09_touch_and_length", """WITH b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS n, count(*) OVER (PARTITION BY symbol) AS total FROM bars),
+    p AS (SELECT x.symbol, x.dt, x.high FROM b x JOIN b y ON y.symbol = x.symbol AND y.n BETWEEN x.n - 3 AND x.n + 3 GROUP BY x.symbol, x.dt, x.high HAVING count(*) = 7 AND max(y.high) = x.high),
+    l AS (SELECT symbol, max(close) AS r, max(dt) AS today FROM b WHERE n > total - 100 GROUP BY symbol)
+    SELECT l.symbol, count(*) AS touches, CAST(max(today) - min(p.dt) AS INTEGER) AS days FROM l JOIN p ON p.symbol = l.symbol AND abs(p.high - r) / r <= 0.03 GROUP BY l.symbol HAVING count(*) >= 2 AND max(today) - min(p.dt) >= 30""")
 def touches(spark, sf_dir):
-    return replay_setups(spark, sf_dir)[0].filter("touches >= 2 and base_len_days >= 30").groupBy("symbol").agg(F.count("*").alias("n"))
+    ind = with_indicators(walk_bars(spark, sf_dir))
+    last = ind.filter("n > bars_total - 100").groupBy("symbol").agg(F.max("close").alias("r"), F.max("dt").alias("today"))
+    hits = ind.filter("pivot3").select("symbol", "dt", "high").join(last, "symbol").filter(F.abs(F.col("high") - F.col("r")) / F.col("r") <= 0.03)
+    g = hits.groupBy("symbol").agg(F.count("*").alias("touches"), F.datediff(F.max("today"), F.min("dt")).alias("days"))
+    return g.filter(detect.held(F.col("touches"), F.col("days"), detect.Setup()))
 
 
 @query("p10_replay_with_cooldown")
@@ -76,7 +93,11 @@ def replay(spark, sf_dir):
     return labels.cooldown(outcome.filter("label is not null"), 15)
 
 
-QUERIES["c09_symbol_scan"] = QUERIES["p10_replay_with_cooldown"]
+@query("c09_symbol_scan")
+def symbol_scan(spark, sf_dir):
+    """Thinned setups with their outcome and all features."""
+    return replay(spark, sf_dir).join(feature_rows(spark, sf_dir), ["symbol", "dt"])
+
 
 _LAST = f"{staged_sql()}, la AS (SELECT * FROM ind WHERE n = bars_total)"
 
@@ -121,7 +142,10 @@ def base_metrics(spark, sf_dir):
     return detect.base_features(pseudo_base(spark, sf_dir)).selectExpr("symbol", "size", *[f"{r6(c)} AS {c}" for c in ("range_pct", "trailing_pct", "height_pct")])
 
 
-QUERIES["p23_base_width"] = QUERIES["f28_base_metrics"]
+@query("p23_base_width", f"WITH {_BASE} SELECT symbol, {r6('(max(h) - min(l)) / max(r)')} AS range_pct FROM sl GROUP BY symbol HAVING (max(h) - min(l)) / max(r) <= 0.40")
+def base_width(spark, sf_dir):
+    return detect.base_features(pseudo_base(spark, sf_dir)).filter("range_pct <= 0.40").selectExpr("symbol", f"{r6('range_pct')} AS range_pct")
+
 
 
 @query("w42_wyckoff_spring", f"WITH {_BASE}, m AS (SELECT *, min(CASE WHEN k < size - 5 THEN l END) OVER (PARTITION BY symbol) AS floor_ FROM sl) SELECT symbol, CAST(CASE WHEN max(size) >= 20 THEN max(CASE WHEN size - k <= 15 AND l < floor_ AND c > floor_ THEN 1 ELSE 0 END) ELSE 0 END AS INTEGER) AS spring FROM m GROUP BY symbol")
@@ -201,7 +225,21 @@ def gate_funnel(spark, sf_dir):
     return funnel(pct_down(spark, sf_dir))
 
 
-QUERIES["c20_screen_counters"] = QUERIES["p26_gate_funnel"]
+_STEPS = ["price", "no_52w_high", "band52w", "low52w", "runup", "rs", "short_history", "below_200dma", "no_higher_lows", "no_mcap", "mcap"]
+
+
+@query("c20_screen_counters", f"""WITH {_SCREEN}, st AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(_STEPS))}) v(k, step)),
+    hits AS (SELECT coalesce((SELECT k FROM st WHERE step = drop_reason), {len(_STEPS)}) AS k FROM sc)
+    SELECT step, (SELECT count(*) FROM hits WHERE hits.k >= st.k) AS entered, (SELECT count(*) FROM hits WHERE hits.k = st.k) AS dropped FROM st""")
+def screen_counters(spark, sf_dir):
+    """Symbols that enter each step of the screen and that it drops."""
+    n = funnel(pct_down(spark, sf_dir))
+    at = F.array_position(F.array(*[F.lit(x) for x in _STEPS]), F.col("drop_reason")) - 1
+    numbered = n.withColumn("at", F.when(F.col("drop_reason") == "pass", len(_STEPS)).otherwise(at))
+    return numbered.select(F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(x).alias("step")) for i, x in enumerate(_STEPS)])).alias("s"), "at", "n").groupBy("s.step").agg(
+        F.sum(F.when(F.col("at") >= F.col("s.k"), F.col("n")).otherwise(0)).alias("entered"), F.sum(F.when(F.col("at") == F.col("s.k"), F.col("n")).otherwise(0)).alias("dropped")
+    )
+
 
 
 @query("p17_drawdown_duration", f"SELECT symbol, CAST({_ASOF} - arg_min(dt, -high) AS INTEGER) AS days FROM (SELECT * FROM bars WHERE dt <= {_ASOF} AND dt >= {_ASOF} - 365 ORDER BY symbol, dt) GROUP BY symbol")

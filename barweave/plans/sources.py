@@ -52,10 +52,13 @@ def page_links(spark, sf_dir):
     return readers.page_links(table(spark, sf_dir, "pages"))
 
 
-@query("s25_instrument_keys", "SELECT key, min(token) AS token FROM (SELECT upper(p_name) AS key, p_partkey AS token FROM part UNION ALL SELECT upper(p_brand), p_partkey FROM part) GROUP BY key")
+@query("s25_instrument_keys", """WITH p AS (SELECT p_partkey AS token, 'E' || p_partkey % 2 AS exch, upper(p_brand) || '-EQ' AS full_, upper(p_brand) AS short, upper(p_name) AS name FROM part),
+    k AS (SELECT exch, token, unnest([full_, short, name]) AS key, unnest([0, 1, 2]) AS form FROM p)
+    SELECT exch AS exch_seg, key, token FROM k QUALIFY row_number() OVER (PARTITION BY exch, key ORDER BY form, token) = 1""")
 def instrument_keys(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.explode(F.array(F.upper("p_name"), F.upper("p_brand"))).alias("key"), F.col("p_partkey").alias("token"))
-    return p.groupBy("key").agg(F.min("token").alias("token"))
+    p = table(spark, sf_dir, "part")
+    raw = p.select(F.concat(F.lit("E"), F.col("p_partkey") % 2).alias("exch_seg"), F.col("p_partkey").alias("token"), F.concat("p_brand", F.lit("-EQ")).alias("symbol"), F.col("p_name").alias("name"), F.col("p_partkey").alias("line"))
+    return readers.instruments(raw, "line")
 
 
 @query("s26_provider_chain", """WITH s AS (SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS p FROM orders)

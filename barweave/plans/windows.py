@@ -9,6 +9,7 @@ from ..functions.windows import ffd_weights, percentile_rank
 from ..operators.indicators import frame, roc, slope, staged_sql, tail, with_indicators
 from ..sources.fixtures import fundamentals, walk_bars
 from .registry import query, r6
+from .window_sql import SQL
 
 #: Output columns of each query: plain names are rounded indicator columns, pairs are (alias, expression).
 FAMILIES: dict[str, list] = {
@@ -53,7 +54,7 @@ def _columns(spec: list) -> list[tuple[str, str]]:
 
 def _register(name: str, spec: list) -> None:
     columns = _columns(spec)
-    sql = f"WITH {staged_sql()} SELECT symbol, dt, {', '.join(f'{e} AS {a}' for a, e in columns)} FROM ind"
+    sql = SQL.get(name) or f"WITH {staged_sql()} SELECT symbol, dt, {', '.join(f'{e} AS {a}' for a, e in columns)} FROM ind"
 
     @query(name, sql)
     def run(spark, sf_dir):

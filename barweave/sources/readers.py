@@ -107,9 +107,10 @@ def page_links(pages: DataFrame, pattern: str = r'<a href="/([^"/]+)"') -> DataF
     return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(pattern), 1)).alias("slug")).distinct()
 
 
-def instruments(raw: DataFrame) -> DataFrame:
-    """(exch_seg, key) to token over the full symbol, the symbol without its series and the name; the first row wins."""
-    keyed = raw.withColumn("_at", F.monotonically_increasing_id()).select("exch_seg", "token", "_at", F.posexplode(F.array(F.upper("symbol"), F.regexp_replace(F.upper("symbol"), "-[A-Z]{2}$", ""), F.upper("name"))).alias("_form", "key"))
+def instruments(raw: DataFrame, line: str | None = None) -> DataFrame:
+    """(exch_seg, key) to token over the full symbol, the symbol without its series and the name; the first row wins, by
+    the column ``line`` (of one file read in order: its rows' own order)."""
+    keyed = raw.withColumn("_at", F.col(line) if line else F.monotonically_increasing_id()).select("exch_seg", "token", "_at", F.posexplode(F.array(F.upper("symbol"), F.regexp_replace(F.upper("symbol"), "-[A-Z]{2}$", ""), F.upper("name"))).alias("_form", "key"))
     return keep_one(keyed.filter("key is not null"), ["exch_seg", "key"], [F.col("_form"), F.col("_at")]).select("exch_seg", "key", "token")
 
 

@@ -41,6 +41,13 @@ def screen_book(matches: DataFrame, path: str, placeholder: str = "No matches")
         csv(matches.sparkSession.createDataFrame([(placeholder,)], "note string"), f"{path}/summary")
 
 
+def scanner_book(rows: DataFrame, path: str, least: float = 65) -> list[str]:
+    """Four sheets of scanner rows (score, high_conviction, triggered): all, those on the list (``least`` points or high
+    conviction), the triggered ones among these, and high conviction alone. The names of the sheets."""
+    listed = rows.filter((F.col("score") >= least) | F.col("high_conviction"))
+    return workbook({"summary": rows, "watchlist": listed, "triggers": listed.filter("triggered"), "high_conviction": rows.filter("high_conviction")}, path)
+
+
 def watchlist(df: DataFrame, path: str) -> None:
     """Exchange-prefixed tickers, one a line, distinct and sorted."""
     t = F.col("ticker")
