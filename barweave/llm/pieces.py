@@ -34,6 +34,41 @@ ROWS = 256
 START, BASE = (1 << 24) - 1, 1 << 24
 
 
+def _fields(message: bytes):
+    """(number, value) of a protobuf message: integers for varints, bytes for the rest."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(message):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(key & 7) or varint()
+        yield key >> 3, message[at : at + size]
+        at += size
+
+
+def settings(model: bytes) -> dict[str, int | bool]:
+    """What the codec relies on, by field numbers of the model format: type, byte fallback, white space rules, character map."""
+    parts = {n: dict(_fields(v)) for n, v in _fields(model) if n in (2, 3)}
+    trainer, normalizer = parts.get(2, {}), parts.get(3, {})
+    return {
+        "merge_type": trainer.get(3, 1) == 2, "byte_fallback": bool(trainer.get(35, 0)), "space_is_prefix": not trainer.get(24, 0),
+        "identity": not normalizer.get(2, b""), "dummy_prefix": bool(normalizer.get(3, 1)), "keeps_spaces": not normalizer.get(4, 1), "escapes_spaces": bool(normalizer.get(5, 1)),
+    }
+
+
 class PieceCodec:
     """Encoder and decoder of a merge-type model with byte fallback and identity normaliser."""
 
@@ -41,6 +76,8 @@ class PieceCodec:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if missing := [k for k, v in settings(sp.serialized_model_proto()).items() if not v]:
+            raise ValueError(f"the model lacks what this codec relies on: {', '.join(missing)}")
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
         self.byte = [0] * 256
