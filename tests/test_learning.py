@@ -12,3 +12,14 @@ def test_every_labelled_bar_is_a_row(spark):
     rows = learning.labelled(spark, SF)
     assert rows.count() == rows.select("id").distinct().count() == want > 1000
     assert learning.boosted(spark, SF).count() == want
+
+
+def test_boosting_stops_on_validation_rows(spark):
+    """A noise outcome gains nothing after a few trees."""
+    import numpy as np
+    from barweave.operators import learn
+
+    rng = np.random.default_rng(0)
+    rows = [(float(a), int(rng.random() < 0.5), 1.0, bool(i % 3 == 0)) for i, a in enumerate(rng.normal(size=300))]
+    df = spark.createDataFrame(rows, "x double, y int, weight double, held boolean")
+    assert learn.trees(learn.stopped(["x"], "held", most=25).fit(df)) < 25
