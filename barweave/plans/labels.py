@@ -12,7 +12,7 @@ from ..sources.fixtures import walk_bars
 from .registry import query, r6
 
 _ENTRIES = f"{staged_sql()}, e AS (SELECT symbol, dt, n, close, atr20 AS atr, c50max AS resistance, close + 3 * atr20 AS top, close - atr20 AS bottom FROM ind WHERE n >= 21 AND atr20 > 0)"
-_PATH = "p AS (SELECT e.*, f.n - e.n AS i, f.dt AS f_dt, f.high AS f_high, f.low AS f_low, f.close AS f_close FROM e JOIN ind f ON f.symbol = e.symbol AND f.n BETWEEN e.n + 1 AND e.n + 10)"
+PATH = "p AS (SELECT e.*, f.n - e.n AS i, f.dt AS f_dt, f.high AS f_high, f.low AS f_low, f.close AS f_close FROM e JOIN ind f ON f.symbol = e.symbol AND f.n BETWEEN e.n + 1 AND e.n + 10)"
 
 
 def entries(spark, sf_dir):
@@ -20,21 +20,23 @@ def entries(spark, sf_dir):
     return ind.filter("n >= 21").selectExpr("symbol", "dt", "n", "close", "atr20 AS atr", "c50max AS resistance"), ind.select("symbol", "dt", "n", "high", "low", "close")
 
 
-@query("j04_forward_path", f"WITH {_ENTRIES}, {_PATH} SELECT symbol, dt, count(*) AS bars_ahead, {r6('max(f_high)')} AS best_high, {r6('min(f_low)')} AS worst_low FROM p GROUP BY symbol, dt")
+@query("j04_forward_path", f"WITH {_ENTRIES}, {PATH} SELECT symbol, dt, count(*) AS bars_ahead, {r6('max(f_high)')} AS best_high, {r6('min(f_low)')} AS worst_low FROM p GROUP BY symbol, dt")
 def forward_path(spark, sf_dir):
     e, bars = entries(spark, sf_dir)
     g = labels.forward_path(e.filter("atr > 0"), bars, 10).groupBy("symbol", "dt").agg(F.count("*").alias("bars_ahead"), F.max("f_high").alias("h"), F.min("f_low").alias("l"))
     return g.selectExpr("symbol", "dt", "bars_ahead", f"{r6('h')} AS best_high", f"{r6('l')} AS worst_low")
 
 
-@query("c03_triple_barrier", f"""
-    WITH {_ENTRIES}, {_PATH}, g AS (SELECT symbol, dt, close, atr, top, bottom, min(i) FILTER (WHERE f_low <= bottom) AS il, min(i) FILTER (WHERE f_high >= top) AS ih,
+OUTCOME = """g AS (SELECT symbol, dt, close, atr, top, bottom, min(i) FILTER (WHERE f_low <= bottom) AS il, min(i) FILTER (WHERE f_high >= top) AS ih,
       max(i) AS ie, arg_max(f_close, i) AS ce, arg_max(f_dt, i) AS de, arg_min(f_dt, i) FILTER (WHERE f_low <= bottom) AS dl, arg_min(f_dt, i) FILTER (WHERE f_high >= top) AS dh, bool_or(i <= 5 AND f_close > resistance) AS ok
       FROM p GROUP BY ALL),
     k AS (SELECT *, CASE WHEN il IS NOT NULL AND (ih IS NULL OR il <= ih) THEN 's' WHEN ih IS NOT NULL THEN 'g' ELSE 'e' END AS how FROM g),
-    x AS (SELECT *, CASE how WHEN 's' THEN bottom WHEN 'g' THEN top ELSE ce END AS price FROM k)
-    SELECT symbol, dt, CASE how WHEN 's' THEN -1 WHEN 'g' THEN CASE WHEN ok THEN 1 ELSE 0 END ELSE 0 END AS label, CASE how WHEN 's' THEN dl WHEN 'g' THEN dh ELSE de END AS exit_date,
-      {r6("price")} AS exit_price, {r6("(price - close) / atr")} AS r_multiple, CAST(CASE how WHEN 's' THEN il WHEN 'g' THEN ih ELSE ie END AS INTEGER) AS days_held FROM x""")
+    x AS (SELECT *, CASE how WHEN 's' THEN bottom WHEN 'g' THEN top ELSE ce END AS price FROM k)"""
+OUTCOME_COLUMNS = f"""symbol, dt, CASE how WHEN 's' THEN -1 WHEN 'g' THEN CASE WHEN ok THEN 1 ELSE 0 END ELSE 0 END AS label, CASE how WHEN 's' THEN dl WHEN 'g' THEN dh ELSE de END AS exit_date,
+      {r6("price")} AS exit_price, {r6("(price - close) / atr")} AS r_multiple, CAST(CASE how WHEN 's' THEN il WHEN 'g' THEN ih ELSE ie END AS INTEGER) AS days_held"""
+
+
+@query("c03_triple_barrier", f"WITH {_ENTRIES}, {PATH}, {OUTCOME} SELECT {OUTCOME_COLUMNS} FROM x")
 def triple_barrier(spark, sf_dir):
     e, bars = entries(spark, sf_dir)
     return labels.triple_barrier(e, bars).selectExpr("symbol", "dt", "label", "exit_date", f"{r6('exit_price')} AS exit_price", f"{r6('r_multiple')} AS r_multiple", "days_held")

@@ -9,7 +9,9 @@ from ..operators import detect, features, labels, screens
 from ..operators.indicators import frame, staged_sql, with_indicators
 from ..operators.relational import first_failure, funnel
 from ..sources.fixtures import fundamentals, walk_bars
+from .detector_sql import setups_sql
 from .groups import _index
+from .labels import OUTCOME, OUTCOME_COLUMNS, PATH
 from .registry import QUERIES, query, r6
 from .windows import _BENCH_SQL, _FUND, benchmark, with_benchmark
 
@@ -37,9 +39,18 @@ def replay_setups(spark, sf_dir):
     return detect.detect(ind.filter("drop_reason is null and n >= 250"), ind.select("symbol", "n", "dt", "high", "pivot3")), ind, bars
 
 
-@query("c01_resistance_detector")
+_SETUP = f"symbol, CAST(n AS INTEGER) AS n, dt, {r6('r')} AS r, touches, base_start, base_len_days, {r6('distance_pct')} AS distance_pct, is_high"
+_REPLAY = f"{_GATES}, {setups_sql('SELECT symbol, n, dt, close FROM gr WHERE drop_reason IS NULL AND n >= 250', detect.Setup())}"
+
+
+def shown(setups):
+    """Setups with their figures rounded."""
+    return setups.withColumns({c: F.expr(r6(c)) for c in ("r", "distance_pct")})
+
+
+@query("c01_resistance_detector", f"WITH RECURSIVE {_REPLAY} SELECT {_SETUP} FROM su")
 def resistance(spark, sf_dir):
-    return replay_setups(spark, sf_dir)[0]
+    return shown(replay_setups(spark, sf_dir)[0])
 
 
 def last_setups(spark, sf_dir):
@@ -47,9 +58,12 @@ def last_setups(spark, sf_dir):
     return detect.detect(ind.filter("n = bars_total"), ind.select("symbol", "n", "dt", "high", "pivot3"), detect.SCANNER), ind
 
 
-@query("c02_scanner_detector")
+_SCANNED = f"{staged_sql()}, {setups_sql('SELECT symbol, n, dt, close FROM ind WHERE n = bars_total', detect.SCANNER)}"
+
+
+@query("c02_scanner_detector", f"WITH RECURSIVE {_SCANNED} SELECT {_SETUP} FROM su")
 def scanner_resistance(spark, sf_dir):
-    return last_setups(spark, sf_dir)[0]
+    return shown(last_setups(spark, sf_dir)[0])
 
 
 _LEVELS = """lv AS (SELECT symbol, dt, close, max(close) OVER (PARTITION BY symbol ORDER BY dt ROWS 99 PRECEDING) AS r, max(high) OVER (PARTITION BY symbol ORDER BY dt ROWS 749 PRECEDING) AS top FROM bars)"""
@@ -84,7 +98,6 @@ def touches(spark, sf_dir):
     return g.filter(detect.held(F.col("touches"), F.col("days"), detect.Setup()))
 
 
-@query("p10_replay_with_cooldown")
 def replay(spark, sf_dir):
     """Setups with an outcome, thinned to one per cooldown."""
     setups, ind, _ = replay_setups(spark, sf_dir)
@@ -93,6 +106,14 @@ def replay(spark, sf_dir):
     return labels.cooldown(outcome.filter("label is not null"), 15)
 
 
+@query("p10_replay_with_cooldown", f"""WITH RECURSIVE {_REPLAY}, e AS (SELECT su.symbol, su.dt, su.n, i.close, i.atr20 AS atr, su.r AS resistance, i.close + 3 * i.atr20 AS top, i.close - i.atr20 AS bottom FROM su JOIN ind i ON i.symbol = su.symbol AND i.n = su.n WHERE i.atr20 > 0),
+    {PATH}, {OUTCOME}, oc AS MATERIALIZED (SELECT {OUTCOME_COLUMNS} FROM x),
+    kd AS (SELECT symbol, min(dt) AS dt FROM oc GROUP BY symbol UNION ALL SELECT symbol, nx AS dt FROM (SELECT kd.symbol, (SELECT min(oc.dt) FROM oc WHERE oc.symbol = kd.symbol AND oc.dt >= kd.dt + 15) AS nx FROM kd) WHERE nx IS NOT NULL)
+    SELECT oc.* FROM oc JOIN kd USING (symbol, dt)""")
+def replay_with_cooldown(spark, sf_dir):
+    return replay(spark, sf_dir).withColumns({c: F.expr(r6(c)) for c in ("exit_price", "r_multiple")})
+
+
 @query("c09_symbol_scan")
 def symbol_scan(spark, sf_dir):
     """Thinned setups with their outcome and all features."""
