@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import detect, features, labels, screens
 from ..operators.indicators import frame, staged_sql, with_indicators
 from ..operators.relational import first_failure, funnel
-from ..sources.fixtures import fundamentals, walk_bars
+from ..sources.fixtures import fundamentals, table, walk_bars
+from .cohort_sql import COHORT
 from .detector_sql import setups_sql
 from .groups import _index
 from .labels import OUTCOME, OUTCOME_COLUMNS, PATH
@@ -269,19 +270,21 @@ def drawdown(spark, sf_dir):
     return b.groupBy("symbol").agg(F.datediff(F.lit("1999-06-30").cast("date"), F.min_by("dt", F.struct((-F.col("high")).alias("h"), "dt"))).alias("days"))
 
 
-_COHORT = [
-    "pct_chg_actual", "gap_pct", "body_pct_range", "upper_wick_pct", "lower_wick_pct", "vol_x_avg20", "rsi14", "atr14_pct", "above_sma200", "ema_stack_bull", "bb_position", "dist_52w_high_pct", "consec_up_days", "base_len_5pct", "is_52w_high", "tags",
-]
+def cohort_list(spark, sf_dir):
+    """The day's list: symbol, series and what the exchange reports."""
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS symbol", "CASE WHEN s_suppkey % 3 = 0 THEN 'BE' ELSE 'EQ' END AS series", "CAST(s_nationkey AS DOUBLE) AS csv_pct_chg", "s_nationkey % 4 * 5 AS csv_band_pct", "CAST(s_acctbal AS DOUBLE) AS csv_value_cr",
+    )
 
 
-@query("c19_cohort_features")
+@query("c19_cohort_features", COHORT)
 def cohort(spark, sf_dir):
-    return screens.cohort(with_indicators(walk_bars(spark, sf_dir)), QUERIES["w29_base_length"](spark, sf_dir))
+    return screens.cohort(with_indicators(walk_bars(spark, sf_dir)), QUERIES["w29_base_length"](spark, sf_dir), cohort_list(spark, sf_dir))
 
 
-@query("f19_tag_rules")
+@query("f19_tag_rules", f"SELECT symbol, tags, pct_chg_actual, gap_pct, body_pct_range, upper_wick_pct, lower_wick_pct, vol_x_avg20 FROM ({COHORT})")
 def tag_rules(spark, sf_dir):
-    return cohort(spark, sf_dir).select("symbol", "tags", *_COHORT[:6])
+    return cohort(spark, sf_dir).select("symbol", "tags", "pct_chg_actual", "gap_pct", "body_pct_range", "upper_wick_pct", "lower_wick_pct", "vol_x_avg20")
 
 
 @query("f20_risk_plan", f"""WITH {_BASE}, g AS (SELECT symbol, max(r) AS r, min(l) AS bl, arg_max(c, k) AS c FROM sl GROUP BY symbol), z AS (SELECT g.*, greatest(0.99 * i.low20, g.c - i.atr20) AS stop FROM g JOIN ind i ON i.symbol = g.symbol AND i.n = i.bars_total)
@@ -350,17 +353,49 @@ def scanner_rows(spark, sf_dir):
     return j.select("symbol", first_failure(gates).alias("drop_reason"), "r", "touches", "base_len_days", "distance_pct", F.when(F.col("r").isNotNull(), score).alias("score"), F.when(F.col("r").isNotNull(), label).alias("pattern"))
 
 
-@query("f25_scanner_score")
+_W = lambda k: f"(PARTITION BY symbol ORDER BY k ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)"
+_SCAN = f"""WITH RECURSIVE {_SCANNED}, {_BENCH_SQL},
+  sl AS MATERIALIZED (SELECT i.symbol, i.high AS h, i.low AS l, i.close AS c, i.atr14, r, count(*) OVER (PARTITION BY i.symbol) AS size, row_number() OVER (PARTITION BY i.symbol ORDER BY i.dt) - 1 AS k
+    FROM su JOIN ind i ON i.symbol = su.symbol AND i.dt BETWEEN su.base_start AND su.dt),
+  sg AS (SELECT symbol, max(size) AS size, (max(h) - min(l)) / max(r) AS range_pct, max(r) AS r, arg_max(c, k) AS c, avg(atr14) FILTER (WHERE k < 20) AS atr_then, max(h) FILTER (WHERE size - k > 5) AS cup_top,
+    min(l) FILTER (WHERE size - k > 5) AS cup_low, min(l) FILTER (WHERE size - k <= 15) AS handle, min(l) FILTER (WHERE k // greatest(1, (size - 5) // 3) = 1) AS mid FROM sl GROUP BY symbol),
+  lw AS (SELECT symbol, l, row_number() OVER (PARTITION BY symbol ORDER BY k) AS j FROM (SELECT *, min(l) OVER {_W(5)} AS best, count(*) OVER {_W(5)} AS z FROM sl WHERE size >= 30) WHERE l = best AND z = 11),
+  hw AS (SELECT symbol FROM lw GROUP BY symbol HAVING count(*) >= 5 AND regr_slope(l, j) > 0),
+  pk AS (SELECT symbol, k, h, row_number() OVER (PARTITION BY symbol ORDER BY k) AS j FROM (SELECT *, max(h) OVER {_W(5)} AS best, count(*) OVER {_W(5)} AS z FROM sl WHERE size >= 30) WHERE h = best AND z = 11),
+  pu AS (SELECT a.symbol, a.j, (a.h - min(s.l)) / a.h AS pull FROM pk a JOIN pk b ON b.symbol = a.symbol AND b.j = a.j + 1 JOIN sl s ON s.symbol = a.symbol AND s.k BETWEEN a.k AND b.k GROUP BY a.symbol, a.j, a.h),
+  vc AS (SELECT symbol FROM (SELECT symbol, pull < 0.85 * lag(pull) OVER (PARTITION BY symbol ORDER BY j) AND pull < 0.15 AS ok FROM pu) GROUP BY symbol HAVING count(*) FILTER (WHERE ok) >= 2),
+  l9 AS (SELECT symbol, k, l FROM (SELECT *, min(l) OVER {_W(4)} AS best, count(*) OVER {_W(4)} AS z FROM sl WHERE size >= 25) WHERE l = best AND z = 9),
+  wq AS (SELECT a.symbol, a.k AS k1, b.k AS k2, least(a.l, b.l) AS lo, max(s.h) AS peak FROM l9 a JOIN l9 b ON b.symbol = a.symbol AND b.k - a.k >= 5 AND (greatest(a.l, b.l) - least(a.l, b.l)) / least(a.l, b.l) <= 0.04
+    JOIN sl s ON s.symbol = a.symbol AND s.k > a.k AND s.k < b.k GROUP BY ALL),
+  wp AS (SELECT DISTINCT symbol FROM wq JOIN sg USING (symbol) WHERE (peak - lo) / lo >= 0.05 AND (c >= 0.97 * peak OR (r - c) / c BETWEEN -0.05 AND 0.04)),
+  ch AS (SELECT symbol FROM sg WHERE size >= 50 AND (cup_top - cup_low) / cup_top BETWEEN 0.12 AND 0.40 AND mid <= cup_low * 1.05 AND (cup_top - handle) / cup_top <= (cup_top - cup_low) / cup_top * 0.5 AND abs(r - c) / c <= 0.08),
+  rt AS (SELECT x.symbol, x.dt, close / bench AS rs, row_number() OVER (PARTITION BY x.symbol ORDER BY x.dt) AS i FROM bars x JOIN b USING (dt)),
+  ri AS (SELECT symbol, dt, CASE WHEN count(*) OVER {frame(50)} = 50 THEN regr_slope(rs, i) OVER {frame(50)} END AS rs_slope, (rs / avg(rs) OVER {frame(252)} - 1) * 100 AS rs_level FROM rt),
+  sj AS (SELECT i.*, su.r, touches, base_len_days AS days, distance_pct AS dist, rs_slope, rs_level, range_pct, 1 - atr14_10 / nullif(atr_then, 0) AS vcr, 1 - v10 / nullif(v50, 0) AS vdu, (hi252 - i.close) / hi252 AS off,
+      i.symbol IN (FROM hw) AS rising_lows, i.symbol IN (FROM vc) AS vcp, i.symbol IN (FROM wp) AS w, i.symbol IN (FROM ch) AS cup, (SELECT max(q.high) FROM ind q WHERE q.symbol = i.symbol AND q.n > i.n - 50) AS h50
+    FROM ind i LEFT JOIN su ON su.symbol = i.symbol LEFT JOIN ri ON ri.symbol = i.symbol AND ri.dt = i.dt LEFT JOIN sg ON sg.symbol = i.symbol WHERE i.n = i.bars_total),
+  sb AS (SELECT *, 25 * least(days / 120, 1) * CASE WHEN touches >= 5 THEN 1 ELSE least(0.75 + 0.075 * (touches - 2), 1) END AS base FROM sj),
+  sr AS (SELECT symbol, r, touches, days AS base_len_days, dist AS distance_pct,
+      CASE WHEN n < 100 THEN 'insufficient_history' WHEN close > ma50 IS NOT TRUE THEN 'stage2:below_ma50' WHEN max_move5 > 0.05 OR rng > 2.5 * atr20 THEN 'extended_entry' WHEN r IS NULL THEN 'no_resistance' WHEN h15max > 1.03 * r AND close < 0.98 * r THEN 'recent_failed_bo'
+        WHEN h50 < 0.96 * r THEN 'r_test:no_recent_test' WHEN range_pct > 0.40 THEN 'base_too_wide' WHEN rs_slope > 0 IS NOT TRUE THEN 'rs_not_rising_50d' END AS drop_reason,
+      CASE WHEN r IS NOT NULL THEN round(greatest(CASE WHEN rising_lows THEN least(base * 1.15, 25) ELSE base END, CASE WHEN close > ma50 AND ma50 > ma200 AND ma50_s20 > 0 AND days BETWEEN 30 AND 99 THEN 16 ELSE 0 END)
+        + 10 * greatest(least(vcr / 0.30, 1), 0) + 5 * greatest(least(vdu / 0.20, 1), 0) + CASE WHEN dist BETWEEN -0.05 AND 0.04 THEN 20 * greatest(1 - abs(dist) / 0.04, 0) ELSE 0 END
+        + 5 * (coalesce(CAST(close > ma50 AS INTEGER), 0) + coalesce(CAST(close > ma200 AS INTEGER), 0) + coalesce(CAST(ma50_s20 > 0 AND ma200_s20 > 0 AS INTEGER), 0) + coalesce(CAST(rs_level > 0 AS INTEGER), 0) + coalesce(CAST(rs_slope > 0 AS INTEGER), 0))
+        + CASE WHEN off <= 0.15 THEN 15 * (1 - off / 0.15) ELSE 0 END, 2) END AS score,
+      CASE WHEN r IS NOT NULL THEN CASE WHEN touches >= 2 THEN 'multi_touch' WHEN vcp THEN 'vcp' WHEN w THEN 'w_pattern' WHEN cup THEN 'cup_handle' ELSE '' END END AS pattern FROM sb)"""
+
+
+@query("f25_scanner_score", f"{_SCAN} SELECT symbol, score, pattern FROM sr WHERE score IS NOT NULL")
 def scanner_score(spark, sf_dir):
     return scanner_rows(spark, sf_dir).filter("score is not null").select("symbol", "score", "pattern")
 
 
-@query("p25_min_score")
+@query("p25_min_score", f"{_SCAN} SELECT symbol, drop_reason, {r6('r')} AS r, touches, base_len_days, {r6('distance_pct')} AS distance_pct, score, pattern FROM sr WHERE drop_reason IS NULL AND score >= 40")
 def min_score(spark, sf_dir):
-    return scanner_rows(spark, sf_dir).filter("drop_reason is null and score >= 40")
+    return shown(scanner_rows(spark, sf_dir).filter("drop_reason is null and score >= 40"))
 
 
-@query("p24_rs_gate")
+@query("p24_rs_gate", f"{_SCAN} SELECT coalesce(drop_reason, 'pass') AS drop_reason, count(*) AS n FROM sr GROUP BY 1")
 def rs_gate(spark, sf_dir):
     return funnel(scanner_rows(spark, sf_dir))
 
