@@ -201,21 +201,33 @@ def double_bottom(spark, sf_dir):
     return detect.double_bottoms(pseudo_base(spark, sf_dir)).select("symbol")
 
 
-@query("c18_higher_lows", f"""WITH x AS (SELECT symbol, dt, low, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS age FROM bars), y AS (SELECT * FROM x WHERE age <= 50),
+def _lows(where: str = "") -> str:
+    """Common table expressions up to ``hl`` (symbol, k: higher lows, base_low) over the last 50 bars."""
+    return f"""hx AS (SELECT symbol, dt, low, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS age FROM bars {where}), y AS (SELECT * FROM hx WHERE age <= 50),
     z AS (SELECT *, low <= min(low) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AND low <= min(low) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AND count(*) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) = 7 AS swing FROM y),
     bs AS (SELECT symbol, dt AS base_dt, low AS base_low FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY low, dt) AS k FROM y) WHERE k = 1),
     s AS (SELECT z.symbol, z.low, coalesce(max(z.low) OVER (PARTITION BY z.symbol ORDER BY z.dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), base_low) AS seen, base_low FROM z JOIN bs ON bs.symbol = z.symbol AND z.dt > base_dt WHERE swing),
-    cn AS (SELECT symbol, count(*) FILTER (WHERE low > greatest(seen, base_low)) AS k, max(low) AS top FROM s GROUP BY symbol), tl AS (SELECT symbol, min(low) AS tail FROM y WHERE age <= 3 GROUP BY symbol)
-    SELECT bs.symbol, coalesce(k, 0) + CASE WHEN tail > greatest(base_low, coalesce(top, base_low)) THEN 1 ELSE 0 END AS hl_count, {r6("base_low")} AS hl_base FROM bs JOIN tl USING (symbol) LEFT JOIN cn USING (symbol)""")
+    cn AS (SELECT symbol, count(*) FILTER (WHERE low > greatest(seen, base_low)) AS k, max(low) AS top FROM s GROUP BY symbol), tl AS (SELECT symbol, min(low) AS tail FROM y WHERE age <= 3 GROUP BY symbol),
+    hl AS (SELECT bs.symbol, coalesce(k, 0) + CASE WHEN tail > greatest(base_low, coalesce(top, base_low)) THEN 1 ELSE 0 END AS k, base_low FROM bs JOIN tl USING (symbol) LEFT JOIN cn USING (symbol))"""
+
+
+@query("c18_higher_lows", f"WITH {_lows()} SELECT symbol, k AS hl_count, {r6('base_low')} AS hl_base FROM hl")
 def higher_lows(spark, sf_dir):
     return screens.higher_lows(walk_bars(spark, sf_dir)).selectExpr("symbol", "CAST(hl_count AS BIGINT) AS hl_count", f"{r6('hl_base')} AS hl_base")
 
 
 _ASOF = "DATE '1999-06-30'"
-_SCREEN = f"""{_FUND}, x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS age FROM bars WHERE dt <= {_ASOF}),
+
+def _screen(buffer: int = 5, index: str = "0", lows: str = "") -> str:
+    return f"""{_FUND}, x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS age FROM bars WHERE dt <= {_ASOF}),
   g AS (SELECT symbol, arg_max(close, dt) AS close, count(*) AS rows_, max(high) FILTER (WHERE dt >= {_ASOF} - 365) AS hi, min(low) FILTER (WHERE dt >= {_ASOF} - 365) AS lo, arg_min(close, dt) FILTER (WHERE dt >= {_ASOF} - 365) AS fc, max(close) FILTER (WHERE age = 50) AS c50, avg(close) FILTER (WHERE age <= 200) AS m200 FROM x GROUP BY symbol),
-  sc AS (SELECT g.symbol, (close - hi) / hi * 100 AS pct, CASE WHEN close < 45 THEN 'price' WHEN hi IS NULL THEN 'no_52w_high' WHEN NOT (close - hi) / hi * 100 BETWEEN -21 AND -2 THEN 'band52w' WHEN (close - lo) / lo * 100 <= 5 THEN 'low52w' WHEN (close - fc) / fc * 100 > 54 THEN 'runup'
-    WHEN (close - c50) / c50 * 100 <= 0 THEN 'rs' WHEN rows_ < 200 THEN 'short_history' WHEN close <= m200 THEN 'below_200dma' WHEN market_cap IS NULL THEN 'no_mcap' WHEN NOT market_cap BETWEEN 350 AND 34000 THEN 'mcap' END AS drop_reason FROM g LEFT JOIN f USING (symbol))"""
+  sc AS (SELECT g.symbol, (close - hi) / hi * 100 AS pct, CASE WHEN close < 45 THEN 'price' WHEN hi IS NULL THEN 'no_52w_high' WHEN NOT (close - hi) / hi * 100 BETWEEN -21 AND -2 THEN 'band52w' WHEN (close - lo) / lo * 100 <= {buffer} THEN 'low52w' WHEN (close - fc) / fc * 100 > 54 THEN 'runup'
+    WHEN (close - c50) / c50 * 100 <= {index} THEN 'rs' WHEN rows_ < 200 THEN 'short_history' WHEN close <= m200 THEN 'below_200dma' {lows} WHEN market_cap IS NULL THEN 'no_mcap' WHEN NOT market_cap BETWEEN 350 AND 34000 THEN 'mcap' END AS drop_reason FROM g LEFT JOIN f USING (symbol) {"LEFT JOIN hl USING (symbol)" if lows else ""})"""
+
+
+_SCREEN = _screen()
+_FULL = f"""{_BENCH_SQL}, ix AS (SELECT (arg_max(bench, dt) / arg_min(bench, dt) - 1) * 100 AS ret FROM (SELECT * FROM b WHERE dt <= {_ASOF} ORDER BY dt DESC LIMIT 50)),
+  {_lows(f"WHERE dt <= {_ASOF}")}, {_screen(20, "(SELECT ret FROM ix)", "WHEN coalesce(hl.k, 0) < 2 THEN 'no_higher_lows'")}"""
 
 
 @query("p16_pct_down_screen", f"WITH {_SCREEN} SELECT symbol, {r6('pct')} AS pct_from_high, drop_reason FROM sc")
@@ -226,7 +238,7 @@ def pct_down(spark, sf_dir):
     return out.selectExpr("symbol", f"{r6('pct_from_high')} AS pct_from_high", "drop_reason")
 
 
-@query("p16_full_pct_down_screen")
+@query("p16_full_pct_down_screen", f"WITH {_FULL} SELECT symbol, {r6('pct')} AS pct_from_high, drop_reason FROM sc")
 def pct_down_full(spark, sf_dir):
     """The screen with all gates at their defaults, against the benchmark's return over 50 sessions."""
     asof = F.lit("1999-06-30").cast("date")
@@ -237,7 +249,7 @@ def pct_down_full(spark, sf_dir):
     return out.selectExpr("symbol", f"{r6('pct_from_high')} AS pct_from_high", "drop_reason")
 
 
-@query("p26_full_gate_funnel")
+@query("p26_full_gate_funnel", f"WITH {_FULL} SELECT coalesce(drop_reason, 'pass') AS drop_reason, count(*) AS n FROM sc GROUP BY 1")
 def gate_funnel_full(spark, sf_dir):
     return funnel(pct_down_full(spark, sf_dir))
 
