@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import ffd_weights
 from . import detect
-from .indicators import frame, slope
+from .indicators import BY, NUMBERED, STAGES, decayed, frame, slope, staged
 
 FUND = ["marketCap", "trailingPE", "forwardPE", "priceToBook", "returnOnEquity", "debtToEquity", "profitMargins", "operatingMargins", "revenueGrowth", "earningsGrowth", "beta", "dividendYield"]
 RANKED = ["marketCap", "trailingPE", "priceToBook", "returnOnEquity", "debtToEquity", "profitMargins", "revenueGrowth", "earningsGrowth"]
@@ -45,27 +45,38 @@ def daily(ind: DataFrame) -> DataFrame:
     return d.select(*kept, *[F.expr(x).cast("double").alias(a) for a, x in e.items()], _fracdiff(0.4).alias("frac_diff_close_04"), _fracdiff(0.6).alias("frac_diff_close_06"))
 
 
+def _weekly_means(whole: DataFrame) -> DataFrame:
+    """``whole`` (symbol, week, close) with k, the number of weeks so far, and their decayed sums d10 and d30."""
+    rows, stages = whole.withColumnRenamed("week", "dt"), [{"n": f"row_number() OVER ({BY})"}, NUMBERED]
+    means = [decayed(f"d{span}", "close", f"(CAST({span - 1} AS DOUBLE) / {span + 1})") for span in (10, 30)]
+    stages += [means[0][i] | means[1][i] for i in (0, 1)] + [{"d10": means[0][2], "d30": means[1][2]}]
+    return staged(rows, *stages).select("symbol", F.col("dt").alias("week"), "open", "high", "low", "close", "volume", F.col("n").alias("k"), "d10", "d30")
+
+
+def _with_own_week(span: int) -> str:
+    """Exponential mean of all whole weeks and the running one."""
+    q = f"CAST({span - 1} AS DOUBLE) / {span + 1}"
+    return f"(close + {q} * coalesce(lag(d{span}) OVER ({BY}), 0)) * (1 - {q}) / (1 - pow({q}, coalesce(lag(k) OVER ({BY}), 0) + 1))"
+
+
 def weekly(bars: DataFrame, asofs: DataFrame) -> DataFrame:
     """Weekly block per as-of bar. Whole weeks are common to all as-of bars of a symbol; the running week is rebuilt per bar by
-    cumulative frames, then the figures of a bar are those of its own partial week after the whole ones."""
-    from .indicators import STAGES
-
+    cumulative frames, then the figures of a bar are those of its own partial week after the whole ones. Frames of at most
+    52 weeks need the last 105 weeks; exponential means are carried over all whole weeks."""
     wk = F.next_day(F.date_sub("dt", 1), "FRI")
     inside = Window.partitionBy("symbol", "week").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
     run = bars.withColumn("week", wk).select("symbol", "week", "dt", F.first("open").over(inside).alias("open"), F.max("high").over(inside).alias("high"), F.min("low").over(inside).alias("low"), "close", F.sum("volume").over(inside).alias("volume"))
-    whole = run.groupBy("symbol", "week").agg(*[F.max_by(c, "dt").alias(c) for c in ("open", "high", "low", "close", "volume")])
+    whole = _weekly_means(run.groupBy("symbol", "week").agg(*[F.max_by(c, "dt").alias(c) for c in ("open", "high", "low", "close", "volume")]))
     keys = asofs.select("symbol", F.col("n").alias("asof_n"), F.col("dt").alias("asof"))
     own = keys.join(run, (keys["symbol"] == run["symbol"]) & (keys["asof"] == run["dt"])).select(keys["symbol"], "asof_n", "week", "open", "high", "low", "close", "volume")
     past = keys.withColumn("own_week", F.next_day(F.date_sub("asof", 1), "FRI")).join(whole, "symbol").filter("week < own_week and week >= date_sub(own_week, 735)")
-    series = own.unionByName(past.select("symbol", "asof_n", "week", "open", "high", "low", "close", "volume"))
+    series = past.select("symbol", "asof_n", "week", "open", "high", "low", "close", "volume", "k", "d10", "d30").unionByName(own, allowMissingColumns=True)
     series = series.withColumn("symbol", F.struct("symbol", "asof_n")).withColumnRenamed("week", "dt")
     needed = {"n", "bars_total", "pc", "ph", "pl", "up", "dn", "tr", "pdm", "mdm", "up14", "dn14", "pdm14", "mdm14", "rsi14", "dx", "adx14", "ma20", "sd20", "atr20", "sq"}
     for stage in STAGES:
         series = series.select("*", *[F.expr(x).alias(a) for a, x in stage.items() if a in needed])
-    from .indicators import short_ema
-
     e = series.selectExpr(
-        "*", f"{short_ema('close', 10)} AS e10", f"{short_ema('close', 30)} AS e30", *[f"(close / nullif(lag(close, {k}) OVER (PARTITION BY symbol ORDER BY dt), 0) - 1) * 100 AS roc{k}" for k in (4, 12, 26)],
+        "*", f"{_with_own_week(10)} AS e10", f"{_with_own_week(30)} AS e30", *[f"(close / nullif(lag(close, {k}) OVER (PARTITION BY symbol ORDER BY dt), 0) - 1) * 100 AS roc{k}" for k in (4, 12, 26)],
         f"max(high) OVER {frame(52)} AS hi52", f"avg(volume) OVER {frame(4)} AS v4", f"avg(volume) OVER {frame(20)} AS v20", f"{slope('close', 'n', 12)} AS s12",
     ).filter("n = bars_total and n >= 30")
     flag = lambda c: f"CAST(CASE WHEN {c} THEN 1 ELSE 0 END AS DOUBLE)"

@@ -69,12 +69,6 @@ def smoothed(name: str, x: str, alpha: str, first: int) -> tuple[dict[str, str],
     return local, carry, {name: f"CASE WHEN n >= {first} THEN {total} END"}
 
 
-def short_ema(x: str, span: int, row: str = "n") -> str:
-    """Exponential mean with normalised weights over a series of at most some hundred rows, in one expression."""
-    q = f"CAST({span - 1} AS DOUBLE) / {span + 1}"
-    return f"sum({x} * pow({q}, -{row})) OVER {RUN} / sum(pow({q}, -{row})) OVER {RUN}"
-
-
 NUMBERED = {f"blk{b}": f"CAST(floor((n - 1) / {size}) AS BIGINT)" for b, size in BLOCKS.items()} | {f"k{b}": f"(n - 1) % {size}" for b, size in BLOCKS.items()}
 A14 = "(CAST(1 AS DOUBLE) / 14)"
 _MEANS = [

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import percentile_rank
 from ..operators import detect, features, labels, screens
-from ..operators.indicators import frame, staged_sql, with_indicators
+from ..operators.indicators import frame, slope, staged_sql, with_indicators
 from ..operators.relational import first_failure, funnel
 from ..sources.fixtures import fundamentals, table, walk_bars
 from .cohort_sql import COHORT
@@ -327,7 +328,9 @@ def feature_rows(spark, sf_dir):
     joined = with_benchmark(bars, benchmark(bars)).join(members, "symbol", "left").join(g, ["grp", "dt"], "left")
     w = Window.partitionBy("symbol").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
     ind = with_indicators(joined.withColumn("g", F.last("glevel", ignorenulls=True).over(w)).drop("grp", "glevel"))
-    return features.make_features(setups, ind, bars, fundamentals(spark, sf_dir).withColumnRenamed("market_cap", "marketCap").withColumnRenamed("pe", "trailingPE").withColumnRenamed("roe", "returnOnEquity").drop("sector"))
+    f = fundamentals(spark, sf_dir).withColumnsRenamed({"market_cap": "marketCap", "pe": "trailingPE", "roe": "returnOnEquity"})
+    ranks = {f"{c}_rank_{k}": percentile_rank(c, by) for c in ("marketCap", "trailingPE", "returnOnEquity") for k, by in (("sector", ["sector"]), ("all", []))}
+    return features.make_features(setups, ind, bars, f.withColumns(ranks).drop("sector"))
 
 
 @query("c08_feature_builder")
@@ -335,9 +338,25 @@ def feature_builder(spark, sf_dir):
     return feature_rows(spark, sf_dir)
 
 
-@query("f24_feature_score")
+_AT = "(PARTITION BY symbol, n ORDER BY k ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
+_FIVE = " + ".join(f"CASE WHEN {c} > 0 THEN 5 ELSE 0 END" for c in ("(close / ema50 - 1)", "(close / ema200 - 1)", "ema200_s20", "mans", "rs_slope"))
+
+
+@query("f24_feature_score", f"""WITH RECURSIVE {_REPLAY},
+  fm AS (SELECT *, (close / b / (avg(close / b) OVER {frame(252)}) - 1) * 100 AS mans, CASE WHEN n >= 252 AND count(b) OVER {frame(252)} = 252 THEN (close / b / (avg(close / b) OVER {frame(252)}) - 1) * 100 END AS mans_full FROM ind),
+  fs AS (SELECT *, {slope("mans_full", "n", 20)} AS rs_slope FROM fm),
+  fb AS (SELECT su.symbol, su.n, i.low AS l, i.atr14, row_number() OVER (PARTITION BY su.symbol, su.n ORDER BY i.n) - 1 AS k, count(*) OVER (PARTITION BY su.symbol, su.n) AS size FROM su JOIN ind i ON i.symbol = su.symbol AND i.dt BETWEEN su.base_start AND su.dt),
+  fl AS (SELECT symbol, n, l, row_number() OVER (PARTITION BY symbol, n ORDER BY k) AS j FROM (SELECT *, min(l) OVER {_AT} AS best, count(*) OVER {_AT} AS z FROM fb WHERE size >= 30) WHERE l = best AND z = 11),
+  fh AS (SELECT symbol, n FROM fl GROUP BY symbol, n HAVING count(*) >= 5 AND regr_slope(l, j) > 0),
+  fa AS (SELECT symbol, n, avg(atr14) FILTER (WHERE k < 20) AS atr_then, max(size) AS size FROM fb GROUP BY symbol, n),
+  fj AS (SELECT fs.*, touches, base_len_days AS days, distance_pct * 100 / 100 AS d, CASE WHEN fh.n IS NOT NULL THEN 1.15 ELSE 1 END AS rising, 1 - coalesce(atr14_10 / nullif(CASE WHEN size >= 20 THEN atr_then ELSE atr14_10 END, 0), 0) AS vcr,
+      1 - coalesce(v10 / nullif(v50, 0), 0) AS vdu, coalesce(nullif((hi252 - close) / hi252 * 100, 0), 100) / 100 AS off
+    FROM su JOIN fs ON fs.symbol = su.symbol AND fs.n = su.n JOIN fa ON fa.symbol = su.symbol AND fa.n = su.n LEFT JOIN fh ON fh.symbol = su.symbol AND fh.n = su.n),
+  fz AS (SELECT symbol, dt, 25 * least(days / 120, 1) * CASE WHEN touches >= 5 THEN 1.05 WHEN touches = 4 THEN 1 WHEN touches = 3 THEN 0.85 WHEN touches = 2 THEN 0.7 ELSE 0.5 END * rising + 10 * greatest(least(vcr / 0.30, 1), 0) + 5 * greatest(least(vdu / 0.20, 1), 0)
+      + CASE WHEN d BETWEEN -0.03 AND 0.08 THEN 20 * greatest(1 - abs(d) / 0.08, 0) ELSE 0 END + {_FIVE} + CASE WHEN off <= 0.15 THEN 15 * (1 - off / 0.15) ELSE 0 END AS score FROM fj)
+  SELECT symbol, dt, {r6("score")} AS coiled_spring_score FROM fz""")
 def feature_score(spark, sf_dir):
-    return feature_rows(spark, sf_dir).select("symbol", "dt", "coiled_spring_score")
+    return feature_rows(spark, sf_dir).selectExpr("symbol", "dt", f"{r6('coiled_spring_score')} AS coiled_spring_score")
 
 
 def scanner_rows(spark, sf_dir):
@@ -414,6 +433,4 @@ def rs_gate(spark, sf_dir):
 
 @query("a15_fundamental_ranks", f"WITH {_FUND} SELECT symbol, {r6('CASE WHEN market_cap IS NOT NULL THEN (rank() OVER (PARTITION BY sector, market_cap IS NULL ORDER BY market_cap) + (count(*) OVER (PARTITION BY sector, market_cap) - 1) / 2.0) / CAST(count(market_cap) OVER (PARTITION BY sector) AS DOUBLE) END')} AS cap_rank FROM f")
 def fundamental_ranks(spark, sf_dir):
-    from ..functions.windows import percentile_rank
-
     return fundamentals(spark, sf_dir).select("symbol", F.round(percentile_rank("market_cap", ["sector"]) + 1e-9, 6).alias("cap_rank"))

@@ -156,6 +156,24 @@ def test_feature_rows(spark):
     assert len(p) > 50 and not p.duplicated(["symbol", "n"]).any() and p["wk_rsi_14"].notna().mean() > 0.9 and p["vcr"].between(-5, 1).all()
 
 
+def test_weekly_stack_and_ranks(spark):
+    bars = plans.walk_bars(spark, SF)
+    asofs = bars.withColumn("n", F.expr("row_number() OVER (PARTITION BY symbol ORDER BY dt)").cast("long")).filter("n >= 400 and n % 37 = 0")
+    got = {(r["symbol"], r["n"]): r["wk_ema_stack"] for r in features.weekly(bars, asofs.select("symbol", "n", "dt")).collect()}
+    p = bars.orderBy("symbol", "dt").toPandas()
+    p["dt"] = p["dt"].astype("datetime64[ns]")
+    want = {}
+    for symbol, b in p.groupby("symbol"):
+        b = b.reset_index(drop=True)
+        for n in range(407, len(b) + 1, 37):
+            c = b[:n].set_index("dt").close.resample("W-FRI").last().dropna()
+            e10, e30 = (c.ewm(span=k).mean().iloc[-1] for k in (10, 30))
+            want[symbol, n] = float(c.iloc[-1] > e10 > e30)
+    assert got == want and set(got.values()) == {0.0, 1.0}
+    ranks = plans.feature_rows(spark, SF).select("fund_marketCap_rank_sector", "fund_trailingPE_rank_all").toPandas()
+    assert ranks.max().max() <= 1 and ranks.notna().any().all()
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.8), (0, 0.1)], "y int, prob double")
     assert evaluate.auc(df).first()[0] == pytest.approx(0.875) and evaluate.average_precision(df).first()[0] == pytest.approx(0.5 + 0.5 * 2 / 3)

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from barweave.functions.windows import ffd_weights, percentile_rank
-from barweave.operators.indicators import NUMBERED, ema, full, short_ema, slope, smoothed, staged, with_indicators
+from barweave.operators.indicators import NUMBERED, ema, full, slope, smoothed, staged, with_indicators
 from pyspark.sql import functions as F
 
 DAY = dt.date(2020, 1, 1)
@@ -22,7 +22,6 @@ def values(df, expr):
 
 @pytest.mark.parametrize(("xs", "expr", "want"), [
     ([1, 2, 3, 4], full("avg", "x", 3), [None, None, 2, 3]),
-    ([1, 2, 3], short_ema("x", 3), [1, 5 / 3, 17 / 7]),
     ([1, 2, 3], ema("v", "x", 3), [1, 5 / 3, 17 / 7]),
     ([1, 2, 3], smoothed("v", "x", "(CAST(2 AS DOUBLE) / 4)", 1), [1, 1.5, 2.25]),
     ([1, 2, 3, 4], slope("x", "n", 10), [0, 0, 0, 0]),
