@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import running
@@ -65,3 +65,24 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
         ranks = upto.select(c, (F.col("upto") - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
         out = out.join(ranks, c)
     return out.agg(F.corr(f"rank_{a}", f"rank_{b}").alias("spearman"))
+
+
+def top_k(scored: DataFrame, ks: list[int]) -> DataFrame:
+    """k, n, hit_rate of the k highest scores, ties to the smaller id."""
+    best = scored.orderBy(F.col("prob").desc(), "id").limit(max(ks)).select("y", "prob", "id")
+    placed = best.withColumn("place", F.row_number().over(Window.orderBy(F.col("prob").desc(), "id")))  # max(ks) rows
+    reached = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("place"))
+    return placed.select("y", F.explode(reached).alias("k")).groupBy("k").agg(F.count("*").alias("n"), F.avg("y").alias("hit_rate"))
+
+
+def holdout_report(scored: DataFrame, thresholds: list[float], ks: list[int]) -> DataFrame:
+    """part, item, n, value: base rate, Brier, MAE, AUC and average precision; hit rates by decile, threshold and top k."""
+    miss = F.col("y") - F.col("prob")
+    plain = scored.agg(F.count("*").alias("n"), F.avg("y").alias("base_rate"), F.avg(F.pow(miss, 2)).alias("brier"), F.avg(F.abs(miss)).alias("mae"))
+    ranked = plain.join(F.broadcast(auc(scored))).join(F.broadcast(average_precision(scored)))  # one row each
+    names = ["base_rate", "brier", "mae", "auc", "average_precision"]
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).alias("value")) for c in names]))
+    out = ranked.select("n", pairs.alias("m")).select(F.lit("metric").alias("part"), "m.item", "n", "m.value")
+    for part, table, key in (("decile", decile_table(scored), "decile"), ("sweep", sweep(scored, thresholds), "threshold"), ("top", top_k(scored, ks), "k")):
+        out = out.unionByName(table.select(F.lit(part).alias("part"), F.col(key).cast("string").alias("item"), "n", F.col("hit_rate").alias("value")))
+    return out

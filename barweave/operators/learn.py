@@ -6,6 +6,7 @@ in Spark ML; trees, forests and logistic regression stand in, and search is a se
 
 from __future__ import annotations
 
+import itertools
 import random
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -22,8 +23,9 @@ def _prepared(features: list[str], stage) -> Pipeline:
     return Pipeline(stages=[Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="vec"), stage])
 
 
-def boosted(features: list[str], trees: int = 10, seed: int = 42) -> Pipeline:
-    return _prepared(features, GBTClassifier(featuresCol="vec", labelCol="y", weightCol="weight", maxIter=trees, maxDepth=3, seed=seed))
+def boosted(features: list[str], trees: int = 10, depth: int = 3, rate: float = 0.1, bins: int = 32, share: float = 1.0, seed: int = 42) -> Pipeline:
+    tree = GBTClassifier(featuresCol="vec", labelCol="y", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, maxBins=bins, subsamplingRate=share, seed=seed)
+    return _prepared(features, tree)
 
 
 def forest(features: list[str], trees: int = 20, seed: int = 42) -> Pipeline:
@@ -122,21 +124,40 @@ def importances(model: PipelineModel, features: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, float(x)) for f, x in zip(features, v, strict=True)], "feature string, gain double").orderBy(F.col("gain").desc(), "feature")
 
 
-def search(rows: DataFrame, folds: DataFrame, features: list[str], trials: int = 3, seed: int = 7) -> DataFrame:
-    """trial, trees, score by the objective mean(top-decile precision + AP / 2) - std / 4 over folds."""
+#: What the search draws from: trees, depth of each, learning rate, bins of a feature, share of rows a tree sees.
+GRID = {"trees": [3, 5, 8, 12], "depth": [2, 3, 4], "rate": [0.05, 0.1, 0.2], "bins": [16, 32, 64], "share": [0.6, 0.8, 1.0]}
+
+
+def draws(trials: int, seed: int = 7) -> list[dict]:
+    """Distinct settings of ``GRID``, in seeded order; all of them if fewer than ``trials`` exist."""
+    every = [dict(zip(GRID, v, strict=True)) for v in itertools.product(*GRID.values())]
+    return random.Random(seed).sample(every, min(trials, len(every)))
+
+
+def search(rows: DataFrame, folds: DataFrame, features: list[str], trials: int = 50, seed: int = 7) -> DataFrame:
+    """trial, the settings drawn, score by the objective mean(top-decile precision + AP / 2) - std / 4 over folds."""
     from .evaluate import average_precision
 
-    rng, out = random.Random(seed), []
-    for t in range(trials):
-        trees, marks = rng.choice([3, 5, 8, 12]), []
-        for (k,) in sorted(folds.select("fold").distinct().collect()):
+    out = []
+    names = sorted(k for (k,) in folds.select("fold").distinct().collect())  # a few folds
+    for t, drawn in enumerate(draws(trials, seed)):
+        marks = []
+        for k in names:
             own = folds.filter(F.col("fold") == k)
             train, test = (rows.join(own.filter(F.col("part") == p).select("id"), "id") for p in ("train", "test"))
-            s = score(boosted(features, trees).fit(train), test, "prob").cache()
+            s = score(boosted(features, **drawn).fit(train), test, "prob").cache()
             n = max(10, s.count() // 10)
             top = s.orderBy(F.col("prob").desc(), "id").limit(n).agg(F.avg("y")).first()[0]
             marks.append(float(top) + 0.5 * float(average_precision(s).first()[0] or 0.0))
             s.unpersist()
         mean = sum(marks) / len(marks)
-        out.append((t, trees, mean - 0.25 * (sum((m - mean) ** 2 for m in marks) / len(marks)) ** 0.5))
-    return rows.sparkSession.createDataFrame(out, "trial int, trees int, score double")
+        out.append((t, *drawn.values(), mean - 0.25 * (sum((m - mean) ** 2 for m in marks) / len(marks)) ** 0.5))
+    return rows.sparkSession.createDataFrame(out, "trial int, trees int, depth int, rate double, bins int, share double, score double")
+
+
+def by_time(rows: DataFrame, share: float = 0.8) -> DataFrame:
+    """``rows`` with held_out (part is ``test``) and part: ``test`` for those from the day on before which ``share`` of the rows lie, ``train`` for those whose
+    exit is earlier than that day, null for spans that reach over it."""
+    cut = rows.agg(F.percentile_approx(F.unix_date("asof"), share, 10_000).alias("_cut"))  # one row
+    part = F.when(F.unix_date("asof") >= F.col("_cut"), "test").when(F.unix_date("exit_date") < F.col("_cut"), "train")
+    return rows.crossJoin(F.broadcast(cut)).withColumn("part", part).drop("_cut").withColumn("held_out", F.coalesce(F.col("part") == "test", F.lit(False)))

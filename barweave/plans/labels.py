@@ -197,10 +197,25 @@ def out_of_fold(spark, sf_dir):
     return f.groupBy("id").agg(F.max_by(F.col("prob") + F.col("k"), "k").alias("oof")).selectExpr("id", f"{r6('oof')} AS oof")
 
 
-@query("m13_holdout_report", f"WITH {_SCORED} SELECT count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, {r6('avg(y)')} AS base_rate, {r6('avg(power(y - prob, 2))')} AS brier FROM sc WHERE year = 2004")
+_KS = [10, 25, 50]
+_REPORT = f"""WITH {_DEC.replace("FROM sc)", "FROM ho)").replace("FROM sc, ed", "FROM ho, ed").replace("sc.*", "ho.*").replace(", ed AS", ", ho AS (SELECT * FROM sc WHERE year = 2004), ed AS", 1)},
+    r AS (SELECT y, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS k FROM ho),
+    g AS (SELECT prob, sum(y) AS pos, count(*) AS k FROM ho GROUP BY prob), c AS (SELECT pos, sum(pos) OVER w AS tp, sum(k) OVER w AS seen FROM g WINDOW w AS (ORDER BY prob DESC ROWS UNBOUNDED PRECEDING)),
+    best AS (SELECT y, row_number() OVER (ORDER BY prob DESC, id) AS place FROM ho),
+    m AS (SELECT 'metric' AS part, 'base_rate' AS item, count(*) AS n, avg(y) AS value FROM ho
+      UNION ALL SELECT 'metric', 'brier', count(*), avg(power(y - prob, 2)) FROM ho UNION ALL SELECT 'metric', 'mae', count(*), avg(abs(y - prob)) FROM ho
+      UNION ALL SELECT 'metric', 'auc', count(*), (sum(k) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) FROM r
+      UNION ALL SELECT 'metric', 'average_precision', CAST(max(seen) AS BIGINT), sum(pos * CAST(tp AS DOUBLE) / seen) / sum(pos) FROM c
+      UNION ALL SELECT 'decile', CAST(decile AS VARCHAR), count(*), avg(y) FROM de GROUP BY decile
+      UNION ALL SELECT 'sweep', CAST(t AS VARCHAR), count(*), avg(y) FROM ho JOIN (SELECT CAST(unnest([{", ".join(map(str, _T))}]) AS DOUBLE) AS t) ON prob >= t GROUP BY t HAVING count(*) >= 5
+      UNION ALL SELECT 'top', CAST(k AS VARCHAR), count(*), avg(y) FROM best JOIN (SELECT unnest({_KS}) AS k) ON place <= k GROUP BY k)
+    SELECT part, item, n, {r6("value")} AS value FROM m"""
+
+
+@query("m13_holdout_report", _REPORT)
 def holdout(spark, sf_dir):
-    s = scored(spark, sf_dir).filter("year = 2004").agg(F.count("*").alias("n"), F.sum("y").alias("positives"), F.avg("y").alias("base_rate"), F.avg(F.pow(F.col("y") - F.col("prob"), 2)).alias("brier"))
-    return _rounded(s, [], ["n", "positives"], ["base_rate", "brier"])
+    report = evaluate.holdout_report(scored(spark, sf_dir).filter("year = 2004"), _T, _KS)
+    return _rounded(report, ["part", "item"], ["n"], ["value"])
 
 
 @query("m14_spearman", f"""WITH {_SCORED}, r AS (SELECT rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS a, rank() OVER (ORDER BY r_multiple) + (count(*) OVER (PARTITION BY r_multiple) - 1) / 2.0 AS b FROM sc)

@@ -47,27 +47,38 @@ def stacked(spark, sf_dir):
 
 @query("m04_regime_models")
 def regimes(spark, sf_dir):
-    rows, _ = _prepared(spark, sf_dir)
-    models = learn.by_regime(rows, "above", FEATURES, least=50)
+    """Every row is scored by its regime's model, fitted on the earlier four fifths; held_out tells the later rows."""
+    rows = learn.by_time(_prepared(spark, sf_dir)[0])
+    models = learn.by_regime(rows.filter("part = 'train'"), "above", FEATURES, least=50)
     out = None
     for k, m in models.items():
-        s = learn.score(m, rows.filter(F.coalesce(F.col("above").cast("int"), F.lit(1)) == k), "prob").select("id", F.lit(k).alias("regime"), "prob")
+        own = rows.filter(F.coalesce(F.col("above").cast("int"), F.lit(1)) == k)
+        s = learn.score(m, own, "prob").select("id", F.lit(k).alias("regime"), "held_out", "prob")
         out = s if out is None else out.unionByName(s)
     return out
 
 
 @query("m05_multiple_regression")
 def multiples(spark, sf_dir):
-    rows, _ = _prepared(spark, sf_dir)
-    return learn.multiple_regressor(rows, FEATURES).transform(rows).select("id", "r_multiple", "r_pred")
+    rows = learn.by_time(_prepared(spark, sf_dir)[0])
+    model = learn.multiple_regressor(rows.filter("part = 'train'"), FEATURES)
+    return model.transform(rows).select("id", "held_out", "r_multiple", "r_pred")
 
 
 @query("m06_blended_prediction")
 def blended(spark, sf_dir):
-    rows, _ = _prepared(spark, sf_dir)
-    a = learn.score(learn.boosted(FEATURES).fit(rows), rows, "p1")
-    b = learn.score(learn.linear(FEATURES).fit(rows), a, "p2")
-    return b.withColumn("p3", F.when(F.col("above"), F.col("p1"))).select("id", learn.blend("p1", "p2", "p3").alias("prob"))
+    rows = learn.by_time(_prepared(spark, sf_dir)[0])
+    train = rows.filter("part = 'train'")
+    a = learn.score(learn.boosted(FEATURES).fit(train), rows, "p1")
+    b = learn.score(learn.linear(FEATURES).fit(train), a, "p2")
+    return b.withColumn("p3", F.when(F.col("above"), F.col("p1"))).select("id", "held_out", "p1", "p2", "p3", learn.blend("p1", "p2", "p3").alias("prob"))
+
+
+@query("m10_learned_out_of_fold")
+def learned_out_of_fold(spark, sf_dir):
+    """Every row predicted by a model that was fitted without its fold."""
+    rows, folds = _prepared(spark, sf_dir)
+    return learn.out_of_fold(rows, folds, lambda: learn.boosted(FEATURES)).join(rows.select("id", "y"), "id")
 
 
 @query("m11_feature_importance")
@@ -78,5 +89,6 @@ def importance(spark, sf_dir):
 
 @query("m12_parameter_search")
 def search(spark, sf_dir):
+    """Three draws; the operator's default is 50."""
     rows, folds = _prepared(spark, sf_dir)
-    return learn.search(rows, folds, FEATURES, trials=2)
+    return learn.search(rows, folds, FEATURES, trials=3)
