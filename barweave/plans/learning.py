@@ -23,7 +23,7 @@ def labelled(spark, sf_dir):
 
 def _prepared(spark, sf_dir, folds: int = 2):
     rows = labelled(spark, sf_dir).cache()
-    return rows, validation.purged_folds(rows.select("id", "asof", "exit_date"), folds, 10)
+    return rows, validation.purged_folds(rows.select("id", "asof", "exit_date"), folds, 10).cache()
 
 
 @query("m01_boosted_classifier")
@@ -89,6 +89,6 @@ def importance(spark, sf_dir):
 
 @query("m12_parameter_search")
 def search(spark, sf_dir):
-    """Three draws; the operator's default is 50."""
+    """Two draws; the operator's default is 50."""
     rows, folds = _prepared(spark, sf_dir)
-    return learn.search(rows, folds, FEATURES, trials=3)
+    return learn.search(rows, folds, FEATURES, trials=2)
