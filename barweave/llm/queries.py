@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, linededup, mixing, pieces, quality, records, sharding, suffix, topk
+from . import jaccard, langid, linededup, mixing, pieces, quality, records, sharding, suffix, topk, trie
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -60,8 +60,18 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.binary_output(_table(spark, sf_dir, "documents"), WORDS, end_id=1)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"), span=5, heads=9)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_exact_topk, op4_quality_rules, op5_sharding, op6_suffix_dedup, op7_sentencepiece, op8_line_dedup, op9_source_mixing, op10_binary_output)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_language_id, op2_ngram_jaccard, op3_exact_topk, op4_quality_rules, op5_sharding, op6_suffix_dedup, op7_sentencepiece,
+            op8_line_dedup, op9_source_mixing, op10_binary_output, op11_prefix_trie,
+        )
+    }
 
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -85,4 +95,35 @@ ORACLE = {
         SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    # crc32 as bit steps over the decimal digits: a byte is mixed in, then -1 stands for one shift
+    "op11_prefix_trie": """
+        WITH o AS (
+          SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i
+          FROM conversations WHERE conv_id IS NOT NULL),
+        h AS (
+          SELECT c, xor(4294967295, list_reduce(
+                   flatten(list_transform(range(length(CAST(c AS VARCHAR))), lambda k: [CAST(ascii(CAST(c AS VARCHAR)[k + 1]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+                   lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END, 4294967295)) % 9 AS h
+          FROM (SELECT DISTINCT c FROM o)),
+        b AS (
+          SELECT h.c, o.i, o.r, o.t FROM h JOIN o ON o.c = h.c - h.c % 5 AND o.i < h.h
+          UNION ALL SELECT h.c, o.i, o.r, o.t FROM h JOIN o ON o.c = h.c AND o.i >= h.h),
+        p AS (
+          SELECT c, CAST(row_number() OVER w AS BIGINT) AS d, string_agg(md5(r) || md5(t), '') OVER w AS k,
+                 coalesce(string_agg(md5(r) || md5(t), '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS up, strlen(t) AS size
+          FROM b WINDOW w AS (PARTITION BY c ORDER BY i)
+          UNION ALL SELECT c, 0, '', NULL, 0 FROM h),
+        e AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+        n AS (
+          SELECT k, any_value(up) AS up, min(p.c) AS conv_id, any_value(p.d) AS depth, count(*) AS n_convs, any_value(size) AS size,
+                 sha256(coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (WHERE e.d = p.d), '')) AS ends_sha256
+          FROM p JOIN e USING (c) GROUP BY k),
+        kids AS (SELECT up AS k, count(*) AS n FROM n WHERE up IS NOT NULL GROUP BY up),
+        u AS (SELECT DISTINCT a.k AS top, z.k FROM p a JOIN p z ON z.c = a.c AND z.d >= a.d),
+        s AS (
+          SELECT top AS k, CAST(count(*) FILTER (WHERE kids.k IS NULL) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens
+          FROM u JOIN n ON n.k = u.k LEFT JOIN kids ON kids.k = u.k GROUP BY top)
+        SELECT n.conv_id, n.depth, above.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+        FROM n JOIN s ON s.k = n.k LEFT JOIN kids ON kids.k = n.k LEFT JOIN n above ON above.k = n.up""",
 }
