@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, linededup, mixing, pieces, quality, records, sharding, suffix, topk, trie
+from . import divergence, jaccard, langid, linededup, mixing, pieces, quality, records, sharding, suffix, topk, trie
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -64,12 +64,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, sf_dir, "conversations"), span=5, heads=9)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(_table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_language_id, op2_ngram_jaccard, op3_exact_topk, op4_quality_rules, op5_sharding, op6_suffix_dedup, op7_sentencepiece,
-            op8_line_dedup, op9_source_mixing, op10_binary_output, op11_prefix_trie,
+            op8_line_dedup, op9_source_mixing, op10_binary_output, op11_prefix_trie, op12_source_divergence,
         )
     }
 
@@ -126,4 +130,28 @@ ORACLE = {
           FROM u JOIN n ON n.k = u.k LEFT JOIN kids ON kids.k = u.k GROUP BY top)
         SELECT n.conv_id, n.depth, above.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
         FROM n JOIN s ON s.k = n.k LEFT JOIN kids ON kids.k = n.k LEFT JOIN n above ON above.k = n.up""",
+    "op12_source_divergence": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+          FROM documents),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        t AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+        k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+        l AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(n) AS HUGEINT) AS total FROM k GROUP BY lang),
+        o AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+        s AS (SELECT g.lang, g.source, CAST(coalesce(sum(o.n), 0) AS HUGEINT) AS total FROM g LEFT JOIN o ON o.lang = g.lang AND o.source = g.source GROUP BY ALL),
+        p AS (
+          SELECT s.lang, s.source, k.term, coalesce(o.n, 0) AS n, 1 + (1000000000 * (coalesce(o.n, 0) + 1)) // (s.total + l.v) AS p,
+                 1 + (1000000000 * (k.n + 1)) // (l.total + l.v) AS q
+          FROM s JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN o ON o.lang = s.lang AND o.source = s.source AND o.term = k.term),
+        pairs AS (
+          SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        w AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM w)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200""",
 }
