@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, jaccard, langid, linededup, mixing, pieces, quality, records, sharding, suffix, topk, trie
+from . import divergence, jaccard, langid, linededup, maintext, mixing, pieces, quality, records, sharding, suffix, topk, trie
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -68,12 +68,17 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_audit(_table(spark, sf_dir, "documents"), min_docs=3, top=200)
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_language_id, op2_ngram_jaccard, op3_exact_topk, op4_quality_rules, op5_sharding, op6_suffix_dedup, op7_sentencepiece,
             op8_line_dedup, op9_source_mixing, op10_binary_output, op11_prefix_trie, op12_source_divergence,
+            op13_html_extraction,
         )
     }
 
