@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's ``docs``. All but the last keep the columns of ``documents``; ``n_chars``
 follows the text. The mix repeats the rows that it takes twice.
+
+Defined cases, stage by stage: a null or empty text fails the quality rules' ten words and goes there, so later stages see
+none; a text that loses all its lines is empty from then on, stays, and gives no tokens; rows without doc_id
+stay through the stages (no copy is told without one); a null source is a source of its own; repeated rows stay or go
+together, and the near-duplicate stage keeps them as one document's rows; an empty table passes through all stages; very long
+texts are worked on whole; columns beside those of ``documents`` are ignored.
 """
 
 from __future__ import annotations
