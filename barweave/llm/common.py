@@ -57,6 +57,14 @@ def dropped(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have, in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def row_bytes(df: DataFrame):
     """Bytes of a row as a column: text and binary by length, arrays by 8 a value."""
 

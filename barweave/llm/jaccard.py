@@ -362,9 +362,13 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, with their columns; a doc_id's texts are told apart
-    by their hash, and a row without doc_id stays."""
-    other = _components(docs, k, num).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    """The rows of ``docs`` that are the first of their component, with their columns, whatever their names.
+
+    Defined cases: a doc_id's texts are told apart by their hash; a row without doc_id and a text without words stay;
+    repeated rows stay or go together; very long texts are compared whole; an empty table gives no rows.
+    """
+    i, h = fresh(docs, "_id"), fresh(docs, "_h")
+    other = _components(docs, k, num).filter("doc_id <> component_id").select(F.col("doc_id").alias(i), F.col("h").alias(h))
     drop = written(other.distinct(), "jaccard_drop")
-    out = docs.join(checked(drop), (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
-    return out.select(*docs.columns)
+    out = docs.join(checked(drop), (F.col("doc_id").cast("long") == F.col(i)) & (F.xxhash64("text") == F.col(h)), "left_anti")
+    return out.select(*[f"`{c}`" for c in docs.columns])

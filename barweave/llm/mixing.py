@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fits, word_count, written
+from .common import dropped, fits, word_count, written
 
 CAP = 2  # no document is taken more often
-MAX_STEPS, TOLERANCE = 64, 1e-7
+MAX_STEPS, TOLERANCE, FARTHEST = 128, 1e-7, 1e15
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
@@ -38,20 +38,32 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 
 
 def _newton(cells: DataFrame, state: DataFrame, hint) -> DataFrame:
-    """One Newton step of every source's dual, safeguarded by a bracket; a written table."""
+    """One Newton step of every open source's dual; a written table.
+
+    The gradient is monotone, so each step moves an end of the bracket. An end that is not known yet is looked for by
+    doubling, as the multiplier of a source whose mass lies in documents far from its mean size can be of any size. Sums are
+    decimals: the same in any order, so reruns take the same steps.
+    """
     r = F.lit(float(CAP)) / (1 + F.exp(-F.col("lam") * F.col("x")))
     z = F.col("size") * F.col("n")
+    exact = lambda c: F.sum(c.cast("decimal(28,6)")).cast("double")
+    keys = ["s", "target", "lam", "lo", "hi", "done"]
     sums = (
         cells.join(hint(state), F.col("source").eqNullSafe(F.col("s")))
-        .select("s", "target", "lam", "lo", "hi", (z * r).alias("f"), (z * F.col("x") * r * (1 - r / CAP)).alias("g"))
-        .groupBy("s", "target", "lam", "lo", "hi").agg(F.sum("f").alias("f"), F.sum("g").alias("g"))
+        .select(*keys, (z * r).alias("f"), (z * F.col("x") * r * (1 - r / CAP)).alias("g"))
+        .groupBy(*keys).agg(exact(F.col("f")).alias("f"), exact(F.col("g")).alias("g"))
     )
-    over = F.col("f") > F.col("target")
+    over, size = F.col("f") > F.col("target"), F.greatest(F.abs("lam"), F.lit(1.0))
     t = sums.withColumn("hi", F.when(over, F.col("lam")).otherwise(F.col("hi"))).withColumn("lo", F.when(over, F.col("lo")).otherwise(F.col("lam")))
     step = F.col("lam") - F.try_divide(F.col("f") - F.col("target"), F.col("g"))
-    inside = step.isNotNull() & (step > F.col("lo")) & (step < F.col("hi"))
-    off = F.when(F.col("g") > 0, F.abs(F.col("f") - F.col("target")) / F.greatest("target", F.lit(1.0))).otherwise(F.lit(0.0))
-    return written(t.select("s", "target", F.when(off < TOLERANCE, F.col("lam")).when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2).alias("lam"), "lo", "hi", off.alias("off")), "mix_state")
+    lowest, highest = F.coalesce("lo", F.col("lam") - 2 * size), F.coalesce("hi", F.col("lam") + 2 * size)
+    outward = F.when(F.col("hi").isNull(), highest).when(F.col("lo").isNull(), lowest).otherwise((F.col("lo") + F.col("hi")) / 2)
+    inside = step.isNotNull() & (step > lowest) & (step < highest)
+    off = F.abs(F.col("f") - F.col("target")) / F.greatest("target", F.lit(1.0))
+    narrow = F.coalesce(F.col("hi") - F.col("lo") <= 1e-13 * F.greatest(F.abs("lo"), F.abs("hi")), F.lit(False))
+    far = F.abs("lam") > F.lit(FARTHEST)  # the bound of the rates: all of a source, or none of it
+    done = F.col("done") | (off < TOLERANCE) | narrow | far
+    return written(t.select("s", "target", F.when(done, F.col("lam")).when(inside, step).otherwise(outward).alias("lam"), "lo", "hi", done.alias("done")), "mix_state")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
@@ -59,7 +71,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
     Defined cases: a null text has size 0; documents of size 0 add nothing and are taken once; a
     null source is a source of its own, the last; repeated rows are separate documents; a source
-    at its cap takes every document twice; an empty table gives no rows; further columns pass
+    at its cap takes every document twice; a very long text among short ones is taken whole or not at all, and the
+    others settle its source's target; an empty table gives no rows; further columns pass
     through (the added names are replaced where they exist; names that begin with ``_mix_`` are kept for the operator).
     """
     added = ["size", "source_size", "target", "copies", "taken"]
@@ -68,19 +81,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     cells = written(buckets.groupBy("source", "size").agg(F.sum("m").alias("n")), "mix_cells")
     sizes = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = written(source_targets(sizes, weights, share), "mix_targets")
-    scale = F.greatest(F.lit(1.0), F.try_divide(F.sum(F.col("size") * F.col("size") * F.col("n")).over(Window.partitionBy("source")).cast("double"), F.sum(F.col("size") * F.col("n")).over(Window.partitionBy("source"))))
+    wide, own = F.col("size").cast("decimal(12,0)"), Window.partitionBy("source")
+    scale = F.greatest(F.lit(1.0), F.try_divide(F.sum(wide * wide * F.col("n").cast("decimal(13,0)")).over(own).cast("double"), F.sum(F.col("size") * F.col("n")).over(own)))
     scaled = written(cells.withColumn("x", F.col("size") / F.coalesce(scale, F.lit(1.0))), "mix_scaled")
-    state = targets.select(F.col("source").alias("s"), "target", "source_size", F.lit(0.0).alias("lam"), F.lit(-4096.0).alias("lo"), F.lit(4096.0).alias("hi"))
+    unknown = F.lit(None).cast("double")
+    state = targets.select(F.col("source").alias("s"), "target", "source_size", F.lit(0.0).alias("lam"), unknown.alias("lo"), unknown.alias("hi"), F.lit(False).alias("done"))
     state = written(state.filter(F.col("target") < CAP * F.col("source_size")).drop("source_size"), "mix_state")
     hint = F.broadcast if fits(targets) else (lambda t: t)
-    for _ in range(MAX_STEPS):
-        state = _newton(scaled, state, hint)
-        if (state.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
+    for _ in range(MAX_STEPS):  # a source that is not solved then keeps its last rates; copies settle the rest
+        before, state = state, _newton(scaled, state, hint)
+        dropped(before)
+        if not state.filter("not done").limit(1).count():
             break
-    else:
-        raise RuntimeError(f"the dual is not solved after {MAX_STEPS} steps")
     # whole copies per cell: rates as millionths, so that sums are exact and reruns agree
-    lam = state.select(F.col("s"), F.round("lam", 8).alias("lam"))
+    lam = state.select("s", "lam")
     full = F.col("target") >= CAP * F.col("source_size")
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(full, F.lit(float(CAP))).otherwise(F.lit(float(CAP)) / (1 + F.exp(-F.col("lam") * F.col("x"))))
     t = targets.select(F.col("source").alias("s"), "target", "source_size")
@@ -110,6 +124,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
             (more(F.col("upto")) - more(F.col("upto") - F.col("m"))).alias("extra"), "target", "source_size",
         ), "mix_dealt",
     )
+    dropped(buckets, cells, scaled, state, targets, planned)
     # one key without nulls for the window and the join: the rows are dealt once
     named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
     cell = Window.partitionBy("_mix_k", "size", "_mix_bucket").orderBy("_mix_h", "doc_id")

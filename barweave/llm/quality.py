@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, slices, texts, written
+from .common import checked, fresh, slices, texts, written
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_upper", "n_stops", "n_distinct"]
@@ -170,7 +170,12 @@ def judge(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns."""
-    good = judge(docs, labels).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    bad = checked(written(good, "quality_bad"))
-    return docs.join(bad, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    """The rows of ``docs`` that the rules keep, with their columns, whatever their names.
+
+    Defined cases are those of ``judge``: null, empty and short texts go, rows without doc_id are judged like others, repeated
+    rows stay or go together, very long texts are measured whole, an empty table gives no rows.
+    """
+    i, h = fresh(docs, "_id"), fresh(docs, "_h")
+    bad = judge(docs, labels).filter("not kept").select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
+    bad = checked(written(bad, "quality_bad"))
+    return docs.join(bad, (F.col("doc_id").eqNullSafe(F.col(i))) & (F.xxhash64("text") == F.col(h)), "left_anti")
