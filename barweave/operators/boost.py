@@ -463,10 +463,10 @@ def weighted_medians(state: DataFrame, work: _Pass) -> dict[tuple[int, int], flo
 
 def fit(
     rows: DataFrame, features: list[str], params: Params = Params(), parts: str | None = None, label: str = "y", weight: str = "weight",
-    key: str = "id", monotone: dict[str, int] | None = None,
+    key: str = "id", monotone: dict[str, int] | None = None, limits: list[int] | None = None,
 ) -> list[Model]:
     """One model per entry of ``parts`` (an array column: 1 trains the model, 2 validates it, 0 does neither); without it, one
-    model trained on all rows. Results depend on rows and parameters only, not on partitioning.
+    model trained on all rows. ``limits`` ends models after so many trees each. Results depend on rows and parameters only, not on partitioning.
 
     Defined cases: null, NaN and infinite features are values like others; rows with null label or weight, or an infinite label,
     train nothing; a model without training rows, or whose rows all have one label, has no trees; without validation
@@ -511,6 +511,7 @@ def fit(
                 active[m] = len(out[m].trees) - least[m][1] < p.patience
 
     for r in range(p.rounds):
+        active = [a and (limits is None or len(x.trees) < limits[m]) for m, (a, x) in enumerate(zip(active, out, strict=True))]
         draw = np.random.default_rng([p.seed, r])
         used = sorted(draw.permutation(nf)[: max(1, math.ceil(nf * p.feature_share))].tolist())
         growers = [_Grower(p, sign, used, scale) if a else None for a in active]
@@ -567,7 +568,7 @@ def fit(
             state = storage.written(state.mapInArrow(replace(settled, mode="write"), _STATE_DDL), "boost_rows")
             storage.dropped(before)
             pending = [[] for _ in range(models)]
-    if any(active) and any(m.history for m in out):  # the loss after the last tree
+    if any(active) and limits is None and any(m.history for m in out):  # the loss after the last tree
         work = _Pass("hist", p, nf, shift, bases, pending, [Tree() for _ in range(models)], none, none)
         validated(_run(state, work))
     storage.dropped(state)
