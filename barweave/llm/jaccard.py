@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_bits, bloom_words, checked, dropped, in_bloom, mix64, slices, texts, written
+from .common import bloom_bits, bloom_words, checked, dropped, fresh, in_bloom, mix64, slices, texts, written
 from .components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
