@@ -32,7 +32,7 @@ SPREAD, LEAST = 32, 1 << 10  # a language is cut into so many tiles even if it i
 BLOCK_BYTES = 4 << 20  # packed vectors of a block at most; about eight times that in a slot's memory
 BLOCKS = 6  # blocks of a tile at least, as far as it has groups: small tiles are worked on in parallel, too
 WAVE = 16  # rounds whose visitors are on disk together
-HELD = 1 << 18  # terms that a task counts before it passes them on
+HELD = 1 << 19  # terms that a task counts before it passes them on
 TEXT_SLICE = 4 << 20
 
 #: Separators become spaces, A-Z small letters; bytes of other characters stay.
