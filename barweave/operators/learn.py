@@ -1,19 +1,12 @@
-"""Classifiers, calibration and blending on Spark ML.
-
-Monotone constraints, second boosting libraries and tree-structured Parzen search have no counterpart
-in Spark ML; trees, forests and logistic regression stand in, and search is a seeded grid draw.
-"""
+"""Linear models of Spark ML, their calibration steps and artefacts, and the split by time. The boosted models are in ``training``."""
 
 from __future__ import annotations
 
-import itertools
-import random
-
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,29 +16,10 @@ def _prepared(features: list[str], stage) -> Pipeline:
     return Pipeline(stages=[Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="vec"), stage])
 
 
-def boosted(features: list[str], trees: int = 10, depth: int = 3, rate: float = 0.1, bins: int = 32, share: float = 1.0, seed: int = 42) -> Pipeline:
-    tree = GBTClassifier(featuresCol="vec", labelCol="y", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, maxBins=bins, subsamplingRate=share, seed=seed)
-    return _prepared(features, tree)
-
-
-def forest(features: list[str], trees: int = 20, seed: int = 42) -> Pipeline:
-    return _prepared(features, RandomForestClassifier(featuresCol="vec", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=4, seed=seed))
-
-
 def linear(features: list[str]) -> Pipeline:
     return _prepared(features, LogisticRegression(featuresCol="vec", labelCol="y", weightCol="weight", regParam=0.01))
 
 
-def stopped(features: list[str], validation: str, most: int = 60, tolerance: float = 0.001, seed: int = 42) -> Pipeline:
-    """Boosting that stops when the rows flagged by ``validation`` no longer gain ``tolerance``; ``trees(model)`` tells where."""
-    tree = GBTClassifier(featuresCol="vec", labelCol="y", weightCol="weight", validationIndicatorCol=validation, validationTol=tolerance, maxIter=most, maxDepth=3, seed=seed)
-    return _prepared(features, tree)
-
-
-def trees(model: PipelineModel) -> int:
-    return model.stages[-1].getNumTrees
-
-
 def calibration_points(scored: DataFrame, col: str) -> DataFrame:
     """at, rate: the steps of the isotonic map of a score."""
     model = IsotonicRegression(featuresCol=col, labelCol="y").fit(scored.withColumn("y", F.col("y").cast("double")))
@@ -72,89 +46,6 @@ def score(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, vector_to_array("probability")[1]).drop("probability", *made)
 
 
-def calibrate(scored: DataFrame, col: str, to: DataFrame | None = None) -> DataFrame:
-    """Isotonic map of a score to the outcome rate, flat beyond the scores seen: column ``{col}_cal``."""
-    model = IsotonicRegression(featuresCol=col, labelCol="y", predictionCol=f"{col}_cal").fit(scored.withColumn("y", F.col("y").cast("double")))
-    return model.transform(scored if to is None else to)
-
-
-def out_of_fold(rows: DataFrame, folds: DataFrame, make, name: str = "oof") -> DataFrame:
-    """id, {name}: predictions for every row from a model that was fitted without its fold; where test folds overlap the last stands."""
-    parts = []
-    for (k,) in sorted(folds.select("fold").distinct().collect()):  # a few folds
-        own = folds.filter(F.col("fold") == k)
-        train, test = (rows.join(own.filter(F.col("part") == p).select("id"), "id") for p in ("train", "test"))
-        parts.append(score(make().fit(train), test, name).select("id", name, F.lit(k).alias("fold")))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return both.groupBy("id").agg(F.max_by(name, "fold").alias(name))
-
-
-def stack(rows: DataFrame, folds: DataFrame, features: list[str]) -> DataFrame:
-    """id, y, stacked, stacked_cal: out-of-fold base scores joined by logistic regression, then calibrated."""
-    base = rows
-    for name, make in (("p_boost", boosted), ("p_forest", forest), ("p_linear", linear)):
-        base = base.join(out_of_fold(rows, folds, lambda m=make: m(features), name), "id")
-    meta = linear(["p_boost", "p_forest", "p_linear"]).fit(base)
-    return calibrate(score(meta, base, "stacked"), "stacked").select("id", "y", "stacked", "stacked_cal")
-
-
-def by_regime(rows: DataFrame, flag: str, features: list[str], least: int = 200) -> dict[int, PipelineModel]:
-    """A model per regime flag (null counts as 1) that has enough rows."""
-    tagged = rows.withColumn("_r", F.coalesce(F.col(flag).cast("int"), F.lit(1)))
-    counts = {r["_r"]: r["count"] for r in tagged.groupBy("_r").count().collect()}
-    return {k: boosted(features).fit(tagged.filter(F.col("_r") == k).drop("_r")) for k in (0, 1) if counts.get(k, 0) >= least}
-
-
-def multiple_regressor(rows: DataFrame, features: list[str], trees: int = 10) -> PipelineModel:
-    """Absolute-loss regression of the trade multiple."""
-    reg = GBTRegressor(featuresCol="vec", labelCol="r_multiple", lossType="absolute", maxIter=trees, maxDepth=3, seed=42, predictionCol="r_pred")
-    return _prepared(features, reg).fit(rows.filter(F.col("r_multiple").isNotNull()))
-
-
-def blend(*probs: str):
-    """Mean of the probabilities that are there."""
-    both = F.array_compact(F.array(*[F.col(p) for p in probs]))
-    return F.when(F.size(both) > 0, F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / F.size(both))
-
-
-def importances(model: PipelineModel, features: list[str], spark) -> DataFrame:
-    v = model.stages[-1].featureImportances.toArray()
-    return spark.createDataFrame([(f, float(x)) for f, x in zip(features, v, strict=True)], "feature string, gain double").orderBy(F.col("gain").desc(), "feature")
-
-
-#: What the search draws from: trees, depth of each, learning rate, bins of a feature, share of rows a tree sees.
-GRID = {"trees": [3, 5, 8, 12], "depth": [2, 3, 4], "rate": [0.05, 0.1, 0.2], "bins": [16, 32, 64], "share": [0.6, 0.8, 1.0]}
-
-
-def draws(trials: int, seed: int = 7) -> list[dict]:
-    """Distinct settings of ``GRID``, in seeded order; all of them if fewer than ``trials`` exist."""
-    every = [dict(zip(GRID, v, strict=True)) for v in itertools.product(*GRID.values())]
-    return random.Random(seed).sample(every, min(trials, len(every)))
-
-
-def search(rows: DataFrame, folds: DataFrame, features: list[str], trials: int = 50, seed: int = 7) -> DataFrame:
-    """trial, the settings drawn, score by the objective mean(top-decile precision + AP / 2) - std / 4 over folds."""
-    from .evaluate import average_precision
-
-    out = []
-    names = sorted(k for (k,) in folds.select("fold").distinct().collect())  # a few folds
-    for t, drawn in enumerate(draws(trials, seed)):
-        marks = []
-        for k in names:
-            own = folds.filter(F.col("fold") == k)
-            train, test = (rows.join(own.filter(F.col("part") == p).select("id"), "id") for p in ("train", "test"))
-            s = score(boosted(features, **drawn).fit(train), test, "prob").cache()
-            n = max(10, s.count() // 10)
-            top = s.orderBy(F.col("prob").desc(), "id").limit(n).agg(F.avg("y")).first()[0]
-            marks.append(float(top) + 0.5 * float(average_precision(s).first()[0] or 0.0))
-            s.unpersist()
-        mean = sum(marks) / len(marks)
-        out.append((t, *drawn.values(), mean - 0.25 * (sum((m - mean) ** 2 for m in marks) / len(marks)) ** 0.5))
-    return rows.sparkSession.createDataFrame(out, "trial int, trees int, depth int, rate double, bins int, share double, score double")
-
-
 def by_time(rows: DataFrame, share: float = 0.8) -> DataFrame:
     """``rows`` with held_out (part is ``test``) and part: ``test`` for those from the day on before which ``share`` of the rows lie, ``train`` for those whose
     exit is earlier than that day, null for spans that reach over it."""

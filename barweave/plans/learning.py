@@ -1,94 +1,145 @@
-"""Learning queries on labelled bars: their results depend on Spark ML's own fits, so they have no SQL form."""
+"""Learning queries on labelled bars. What they score they score out of fold, or on rows later than those they were fitted on. The
+fits have no SQL form; tests hold them against plain Python."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from ..operators import learn, validation
+from ..operators import boost, isotonic, learn, training, validation
+from ..operators.boost import Params
+from ..sources import storage
+from ..sources.fixtures import walk_bars
 from .labels import triple_barrier
 from .registry import query
 from .windows import with_indicators
-from ..sources.fixtures import walk_bars
 
 FEATURES = ["rsi14", "bbw", "vdu", "adx14", "dist"]
+#: Stronger trends shouldn't hurt, as in the priors of ``training``.
+SIGNS = {"adx14": 1}
+#: Short fits; the defaults of ``training`` (``MAIN``, ``SYMMETRIC``) are those of a full training.
+QUICK = Params(rounds=12, depth=3, leaves=8, rate=0.2, bins=64, least=20, patience=4)
+QUICK_SYMMETRIC = replace(QUICK, rounds=8, symmetric=True, segments=4, l2=3.0)
 
 
 def labelled(spark, sf_dir):
-    """id, asof, exit_date, y, weight, r_multiple and features of every labelled bar from the 210th of its symbol on."""
-    ind = with_indicators(walk_bars(spark, sf_dir)).filter("n >= 210").selectExpr("symbol", "dt", "n", "rsi14", "bbw", "1 - v10 / v50 AS vdu", "adx14", "close / ma50 - 1 AS dist", "close > ma200 AS above")
+    """id, asof, exit_date, y, weight, r_multiple, above and features of every labelled bar from the 210th of its symbol on."""
+    bars = with_indicators(walk_bars(spark, sf_dir)).filter("n >= 210")
+    ind = bars.selectExpr("symbol", "dt", "n", "rsi14", "bbw", "1 - v10 / v50 AS vdu", "adx14", "close / ma50 - 1 AS dist", "close > ma200 AS above")
     out = triple_barrier(spark, sf_dir).select("symbol", "dt", "label", "exit_date", "r_multiple")
     rows = ind.join(out, ["symbol", "dt"])
-    return rows.select((F.col("symbol").cast("long") * 100_000 + F.col("n")).alias("id"), F.col("dt").alias("asof"), "exit_date", (F.col("label") == 1).cast("int").alias("y"), F.lit(1.0).alias("weight"), "r_multiple", "above", *FEATURES)
+    return rows.select(
+        (F.col("symbol").cast("long") * 100_000 + F.col("n")).alias("id"), F.col("dt").alias("asof"), "exit_date",
+        (F.col("label") == 1).cast("int").alias("y"), F.lit(1.0).alias("weight"), "r_multiple", "above", *FEATURES,
+    )
+
+
+def weighted(spark, sf_dir):
+    """The labelled bars with uniqueness weights, written once."""
+    rows = storage.written(labelled(spark, sf_dir), "labelled")
+    w = validation.uniqueness_weights(rows.select("id", "asof", "exit_date"))
+    return storage.written(rows.drop("weight").join(w, "id"), "weighted")
 
 
-def _prepared(spark, sf_dir, folds: int = 2):
-    rows = labelled(spark, sf_dir).cache()
-    return rows, validation.purged_folds(rows.select("id", "asof", "exit_date"), folds, 10).cache()
+def purged(rows, folds: int = 2):
+    return storage.written(validation.purged_folds(rows.select("id", "asof", "exit_date"), folds, 10), "folds")
+
+
+def fitted(spark, sf_dir, p: Params = QUICK):
+    rows = weighted(spark, sf_dir)
+    return training.cross_validated(rows, purged(rows), FEATURES, p, SIGNS)
 
 
 @query("m01_boosted_classifier")
 def boosted(spark, sf_dir):
-    rows, _ = _prepared(spark, sf_dir)
-    w = validation.uniqueness_weights(rows.select("id", "asof", "exit_date"))
-    rows = rows.drop("weight").join(w, "id")
-    return learn.score(learn.boosted(FEATURES).fit(rows), rows, "prob").select("id", "y", "prob")
+    """Out-of-fold scores of the constrained booster over purged folds, stopped early."""
+    return fitted(spark, sf_dir).oof.select("id", "y", F.col("oof").alias("prob"))
 
 
 @query("m02_isotonic_calibration")
-def isotonic(spark, sf_dir):
-    return learn.calibrate(boosted(spark, sf_dir), "prob").select("id", "y", "prob", "prob_cal")
+def calibrated(spark, sf_dir):
+    """Out-of-fold scores and what the calibration fitted on them makes of them."""
+    f = fitted(spark, sf_dir)
+    return isotonic.apply(f.oof, "oof", f.corners, "prob_cal").select("id", "y", F.col("oof").alias("prob"), "prob_cal")
 
 
 @query("m03_stacked_models")
 def stacked(spark, sf_dir):
-    rows, folds = _prepared(spark, sf_dir)
-    return learn.stack(rows, folds, FEATURES)
+    rows = weighted(spark, sf_dir)
+    folds = purged(rows)
+    main = training.cross_validated(rows, folds, FEATURES, QUICK, SIGNS)
+    s = training.stack(rows, folds, FEATURES, main, QUICK_SYMMETRIC)
+    return isotonic.apply(s.oof, "stacked", s.corners, "stacked_cal").select("id", "y", *s.BASES, "stacked", "stacked_cal")
 
 
 @query("m04_regime_models")
 def regimes(spark, sf_dir):
-    """Every row is scored by its regime's model, fitted on the earlier four fifths; held_out tells the later rows."""
-    rows = learn.by_time(_prepared(spark, sf_dir)[0])
-    models = learn.by_regime(rows.filter("part = 'train'"), "above", FEATURES, least=50)
-    out = None
-    for k, m in models.items():
-        own = rows.filter(F.coalesce(F.col("above").cast("int"), F.lit(1)) == k)
-        s = learn.score(m, own, "prob").select("id", F.lit(k).alias("regime"), "held_out", "prob")
-        out = s if out is None else out.unionByName(s)
-    return out
+    """Every row is scored by its regime's calibrated model, or by a common one where the regime has too few rows; all fitted on the
+    earlier four fifths, held_out tells the later rows."""
+    rows = learn.by_time(weighted(spark, sf_dir))
+    train = storage.written(rows.filter("part = 'train'"), "train")
+    (common,) = boost.fit(train, FEATURES, QUICK, monotone=SIGNS)
+    found = training.by_regime(train, "above", FEATURES, QUICK, SIGNS)
+    out = found.score(boost.predict(rows, common, "_common"), "above", "prob", "_common")
+    return out.select("id", training.regime_of("above").alias("regime"), "held_out", "prob")
 
 
 @query("m05_multiple_regression")
 def multiples(spark, sf_dir):
-    rows = learn.by_time(_prepared(spark, sf_dir)[0])
-    model = learn.multiple_regressor(rows.filter("part = 'train'"), FEATURES)
-    return model.transform(rows).select("id", "held_out", "r_multiple", "r_pred")
+    """Out-of-fold trade multiples by absolute loss."""
+    rows = weighted(spark, sf_dir)
+    f = training.multiples(rows, purged(rows), FEATURES, replace(QUICK, rounds=6))
+    return f.oof.select("id", "r_multiple", F.col("oof").alias("r_pred"))
 
 
 @query("m06_blended_prediction")
 def blended(spark, sf_dir):
-    rows = learn.by_time(_prepared(spark, sf_dir)[0])
-    train = rows.filter("part = 'train'")
-    a = learn.score(learn.boosted(FEATURES).fit(train), rows, "p1")
-    b = learn.score(learn.linear(FEATURES).fit(train), a, "p2")
-    return b.withColumn("p3", F.when(F.col("above"), F.col("p1"))).select("id", "held_out", "p1", "p2", "p3", learn.blend("p1", "p2", "p3").alias("prob"))
+    """All heads fitted on the earlier four fifths, every row predicted, held_out tells the later rows."""
+    rows = learn.by_time(weighted(spark, sf_dir))
+    train = storage.written(rows.filter("part = 'train'").drop("part", "held_out"), "train")
+    folds = purged(train)
+    p = replace(QUICK, rounds=6)
+    main = training.cross_validated(train, folds, FEATURES, p, SIGNS)
+    stack = training.stack(train, folds, FEATURES, main, replace(QUICK_SYMMETRIC, rounds=4))
+    regime = training.by_regime(train, "above", FEATURES, p, SIGNS)
+    multiple = training.multiples(train, folds, FEATURES, replace(p, rounds=3))
+    out = training.predict(rows, main, stack, regime, multiple, "above")
+    return out.select("id", "held_out", "prob_raw", "prob_calibrated", "prob_stack", "prob_regime", "prob_blend", "r_multiple_pred", "kelly_fraction")
 
 
 @query("m10_learned_out_of_fold")
 def learned_out_of_fold(spark, sf_dir):
-    """Every row predicted by a model that was fitted without its fold."""
-    rows, folds = _prepared(spark, sf_dir)
-    return learn.out_of_fold(rows, folds, lambda: learn.boosted(FEATURES)).join(rows.select("id", "y"), "id")
+    """Walk-forward folds overlap; the last fold that tests a row predicts it. Rows before the first test have none."""
+    rows = weighted(spark, sf_dir)
+    folds = storage.written(validation.walk_forward(rows.select("id", "asof", "exit_date"), 540, 240, 180, 15), "walk")
+    table, _ = training.parted(rows, folds)
+    models = boost.fit(table, FEATURES, replace(QUICK, rounds=6), "parts", monotone=SIGNS)
+    return training.fold_scores(table, models, "oof").filter("oof is not null").select("id", "y", "oof")
+
+
+@query("a20_fold_metrics")
+def fold_metrics(spark, sf_dir):
+    """Mean and deviation of the metrics over purged folds, and the median best iteration."""
+    rows = weighted(spark, sf_dir)
+    table, _ = training.parted(rows, purged(rows, 3))
+    table = storage.written(table, "parted")
+    models = boost.fit(table, FEATURES, QUICK, "parts", monotone=SIGNS)
+    return training.summary(training.fold_metrics(table, models))
 
 
 @query("m11_feature_importance")
 def importance(spark, sf_dir):
-    rows, _ = _prepared(spark, sf_dir)
-    return learn.importances(learn.boosted(FEATURES).fit(rows), FEATURES, spark)
+    (model,) = boost.fit(weighted(spark, sf_dir), FEATURES, QUICK, monotone=SIGNS)
+    found = [(c, gain, n) for c, (gain, n) in boost.importance(model).items()]
+    return spark.createDataFrame(found, "feature string, gain double, splits int").orderBy(F.desc("gain"), "feature")
 
 
 @query("m12_parameter_search")
 def search(spark, sf_dir):
-    """Two draws; the operator's default is 50."""
-    rows, folds = _prepared(spark, sf_dir)
-    return learn.search(rows, folds, FEATURES, trials=2)
+    """Four trials over two parameters, their history kept and read again; the operator's defaults are 50 trials over eleven."""
+    rows = weighted(spark, sf_dir)
+    space = {c: training.SPACE[c] for c in ("least", "l2", "positive")} | {"rate": training.Axis(0.1, 0.5, log=True)}
+    path = storage.scratch(spark, "search_history")
+    found = training.search(rows, purged(rows), FEATURES, 4, replace(QUICK, rounds=4), space, SIGNS, path)
+    return found.select("trial", "setting", F.size("folds").alias("folds"), "pruned", "score")

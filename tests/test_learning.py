@@ -3,8 +3,8 @@
 from datetime import date, timedelta
 
 import numpy as np
-from pyspark.sql import functions as F
 
+from barweave.operators import learn
 from barweave.plans import labels as label_plans
 from barweave.plans import learning
 
@@ -16,22 +16,11 @@ def test_every_labelled_bar_is_a_row(spark):
     want = label_plans.triple_barrier(spark, SF).join(e.filter("n >= 210").select("symbol", "dt"), ["symbol", "dt"]).count()
     rows = learning.labelled(spark, SF)
     assert rows.count() == rows.select("id").distinct().count() == want > 1000
-    assert learning.boosted(spark, SF).count() == want
-
-
-def test_boosting_stops_on_validation_rows(spark):
-    """A noise outcome gains nothing after a few trees."""
-    from barweave.operators import learn
-
-    rng = np.random.default_rng(0)
-    rows = [(float(a), int(rng.random() < 0.5), 1.0, bool(i % 3 == 0)) for i, a in enumerate(rng.normal(size=300))]
-    df = spark.createDataFrame(rows, "x double, y int, weight double, held boolean")
-    assert learn.trees(learn.stopped(["x"], "held", most=25).fit(df)) < 25
+    m = learning.calibrated(spark, SF).toPandas()
+    assert len(m) == m["id"].nunique() == want and m["prob"].notna().all() and m["prob_cal"].between(0, 1).all()
 
 
 def test_later_rows_are_not_learned_from(spark):
-    from barweave.operators import learn
-
     rows = [(i, date(2020, 1, 1) + timedelta(days=i), date(2020, 1, 1) + timedelta(days=i + 5)) for i in range(100)]
     got = {r["id"]: r["part"] for r in learn.by_time(spark.createDataFrame(rows, "id long, asof date, exit_date date")).collect()}
     first = min(i for i, p in got.items() if p == "test")
@@ -43,29 +32,12 @@ def test_blend_and_regimes_score_every_row(spark):
     want = learning.labelled(spark, SF).count()
     b = learning.blended(spark, SF).toPandas()
     assert len(b) == b["id"].nunique() == want and 0.1 < b["held_out"].mean() < 0.3
-    assert np.allclose(b["prob"], b[["p1", "p2", "p3"]].mean(axis=1), atol=1e-12)
+    heads = ["prob_calibrated", "prob_stack", "prob_regime"]
+    assert np.allclose(b["prob_blend"], b[heads].mean(axis=1), atol=1e-12) and b["r_multiple_pred"].notna().all()
     r = learning.regimes(spark, SF).toPandas()
-    assert len(r) == r["id"].nunique() == want
-
-
-def test_out_of_fold_predictions_come_from_the_other_folds(spark):
-    from barweave.operators import learn
-
-    rng = np.random.default_rng(3)
-    data = [(i, float(rng.normal()), int(i % 2), 1.0, i % 3) for i in range(90)]
-    df = spark.createDataFrame(data, "id long, x double, y int, weight double, k int")
-    folds = df.join(spark.range(3).select(F.col("id").cast("int").alias("fold"))).select("fold", "id", F.when(F.col("k") == F.col("fold"), "test").otherwise("train").alias("part"))
-    got = {r["id"]: r["oof"] for r in learn.out_of_fold(df, folds, lambda: learn.linear(["x"])).collect()}
-    want = {}
-    for k in range(3):
-        model = learn.linear(["x"]).fit(df.filter(F.col("k") != k))
-        want |= {r["id"]: r["p"] for r in learn.score(model, df.filter(F.col("k") == k), "p").collect()}
-    assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()), atol=1e-6)
-
+    assert len(r) == r["id"].nunique() == want and r["prob"].notna().all()
 
-def test_draws_are_distinct_and_seeded():
-    from barweave.operators import learn
 
-    a = learn.draws(50)
-    assert a == learn.draws(50) and len({tuple(d.values()) for d in a}) == 50
-    assert len(learn.draws(10_000)) == 324
+def test_walk_forward_scores(spark):
+    w = learning.learned_out_of_fold(spark, SF).toPandas()
+    assert 100 < len(w) == w["id"].nunique() < learning.labelled(spark, SF).count() and w["oof"].between(0, 1).all()
