@@ -206,3 +206,84 @@ def test_whole_pages_table(spark):
         inner = re.search(r"<article>(.*)</article>", pages[r.page_id], re.DOTALL)[1].replace("<br>", " ")
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?p>|</?h1>", inner))
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Inputs that have the columns an operator would add to a join, in any spelling."""
+    from barweave.llm import jaccard, quality
+
+    good = "the quick onti reou shon whin lath neor tise brou fenn gale " * 2
+    rows = [(1, good, "a", "b"), (2, good, "a", "b"), (3, "short", "a", "b"), (None, good + "x", "a", "b"), (4, None, "a", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _H string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(df, labels)
+    assert kept.columns == df.columns
+    one = jaccard.keep_one(df)
+    assert one.columns == df.columns and sorted(r.doc_id or 0 for r in one.collect()) == [0, 1, 3, 4]
+
+
+def test_lines_in_proportion(spark):
+    """A text of a million lines, a third of them found in twelve documents."""
+    import time
+
+    from barweave.llm import linededup
+
+    lines = [f"line {i}" if i % 3 else "common" for i in range(1_000_000)]
+    rows = [(0, "\n".join(lines)), *((i, f"common\nown {i}\n\ncommon") for i in range(1, 12))]
+    began = time.time()
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert (got[0].n_lines, got[0].n_dropped, got[0].text) == (1_000_000, 333_334, "\n".join(x for x in lines if x != "common"))
+    assert (got[3].n_dropped, got[3].text) == (2, "own 3\n")
+
+
+@pytest.mark.parametrize(
+    "rows, weights",
+    [
+        ([(0, "w " * 4000, "a")] + [(i, "w", "a") for i in range(1, 4001)] + [(5000 + i, "w " * 100, "b") for i in range(55)], (3, 1, 2)),
+        ([(0, "w " * 4000, "a"), (1, "w " * 10, "b"), (2, "w " * 30, "b")], (3, 1, 2)),
+        ([(i, "w", "abc"[i % 3]) for i in range(900)], (3, 1, 2)),
+        ([(i, "w " * (i % 50 + 1), "a") for i in range(1000)] + [(2000 + i, "w " * (i % 50 + 1), "b") for i in range(3000)], (1, 2000)),
+    ],
+    ids=["heavy tail", "one document", "words", "thousandth"],
+)
+def test_mixing_encloses_the_dual(spark, rows, weights):
+    """Sources of any shape come as near to their targets as their smallest documents allow."""
+    from barweave.llm import mixing
+
+    got = [r.asDict() for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=weights).collect()]
+    assert all(r["taken"] <= 2 * r["size"] for r in got)
+    for s in {r["source"] for r in got}:
+        own = [r for r in got if r["source"] == s]
+        slack = {"a": 2000, "b": 20} if len(own) < 3 else {}
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= slack.get(s, max(1, min(r["size"] for r in own)))
+
+
+def dual(cells, target):
+    """Bounded tilt by bisection in plain Python: the multiplier at which rates 2 / (1 + exp(-lam * size)) meet the target."""
+    import math
+
+    def taken(lam):
+        return sum(n * z * 2 / (1 + math.exp(min(700, -lam * z))) for z, n in cells)
+
+    lo, hi = -10.0, 10.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if taken(mid) > target else (mid, hi)
+    return {z: 2 / (1 + math.exp(min(700, -lo * z))) for z, _ in cells}
+
+
+def test_mixing_rates_solve_the_dual(spark):
+    """Copies per size follow the exponential tilt that plain bisection finds."""
+    from barweave.llm import mixing
+
+    rows = [(i, "w " * (1 + i % 4 * 10), "ab"[i % 3 > 0]) for i in range(6000)]
+    got = [r.asDict() for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    for s in "ab":
+        cells = Counter(r["size"] for r in got if r["source"] == s)
+        target = next(r["target"] for r in got if r["source"] == s)
+        if target >= 2 * sum(z * n for z, n in cells.items()):
+            continue
+        for z, rate in dual(list(cells.items()), target).items():
+            copies = sum(r["copies"] for r in got if r["source"] == s and r["size"] == z)
+            assert abs(copies - rate * cells[z]) <= 0.02 * cells[z] + 3
