@@ -1,7 +1,7 @@
 """Horizontal-resistance detection over pivots, as folds over small arrays.
 
-Gates are evaluated first as window columns. Only bars that pass are joined with the pivots of their
-lookback; the pivots of one as-of bar (a few dozen) are clustered by a fold, and candidates are
+Gates are evaluated first as window columns. Only bars that pass look up the pivots of their block of bars and of the
+block before, one row each; the pivots of one as-of bar (a few dozen) are clustered by a fold, and candidates are
 chosen by sorting an array of structs.
 """
 
@@ -75,17 +75,24 @@ def held(touches: Column, days: Column, p: Setup) -> Column:
     return (touches >= p.touches) & (days >= p.base_days)
 
 
-def detect(asofs: DataFrame, bars: DataFrame, p: Setup = Setup()) -> DataFrame:
-    """Setups (symbol, n, dt, r, touches, base_start, base_len_days, distance_pct, is_high) of as-of bars (symbol, n, dt, close);
-    ``bars`` needs n, dt, high and pivot3. A bar without a setup has no row."""
-    pivots = bars.filter("pivot3").select("symbol", F.col("n").alias("i"), F.col("dt").alias("p_dt"), F.col("high").alias("p_high"))
-    block = F.lit(p.lookback)
+def lookback_pivots(bars: DataFrame, lookback: int) -> DataFrame:
+    """symbol, blk, near: the pivots (i, p_dt, p_high) that the bars of each block of ``lookback`` bars can look back to, those
+    of the block itself and of the one before. One row per block, so a bar meets its pivots without a row for each."""
+    at = F.floor(F.col("n") / lookback)
+    pivot = F.struct(F.col("n").alias("i"), F.col("dt").alias("p_dt"), F.col("high").alias("p_high"))
+    p = bars.filter("pivot3").select("symbol", F.explode(F.array(at, at + 1)).alias("blk"), pivot.alias("p"))
+    return p.groupBy("symbol", "blk").agg(F.collect_list("p").alias("near"))
+
+
+def detect(bars: DataFrame, when: Column, p: Setup = Setup()) -> DataFrame:
+    """Setups (symbol, n, dt, r, touches, base_start, base_len_days, distance_pct, is_high) of the bars for which ``when`` holds;
+    ``bars`` needs symbol, n (from 1, without gaps), dt, close, high and pivot3. A bar without a setup has no row."""
     w = Window.partitionBy("symbol").orderBy("dt").rowsBetween(1 - p.lookback, 0)
-    tops = bars.select("symbol", "n", F.max("high").over(w).alias("window_high"))
-    e = asofs.filter(F.col("n") >= p.base_days + 20).select("symbol", "n", "dt", "close").join(tops, ["symbol", "n"])
-    e = e.withColumn("blk", F.explode(F.sequence(F.floor((F.col("n") - p.lookback) / block), F.floor(F.col("n") / block))))
-    near = e.join(pivots.withColumn("blk", F.floor(F.col("i") / block)), ["symbol", "blk"]).filter((F.col("i") >= F.col("n") - p.lookback + 4) & (F.col("i") <= F.col("n") - 3))
-    own = near.groupBy("symbol", "n", "dt", "close", "window_high").agg(F.sort_array(F.collect_list(F.struct("p_dt", "p_high"))).alias("pivots")).filter(F.size("pivots") >= p.touches)
+    e = bars.withColumn("window_high", F.max("high").over(w)).filter(when & (F.col("n") >= p.base_days + 20)).select("symbol", "n", "dt", "close", "window_high")
+    own = e.withColumn("blk", F.floor(F.col("n") / p.lookback)).join(lookback_pivots(bars, p.lookback), ["symbol", "blk"])
+    seen = F.filter("near", lambda x: (x["i"] >= F.col("n") - p.lookback + 4) & (x["i"] <= F.col("n") - 3))
+    pair = F.sort_array(F.transform(seen, lambda x: F.struct(x["p_dt"].alias("p_dt"), x["p_high"].alias("p_high"))))
+    own = own.withColumn("pivots", pair).drop("near", "blk").filter(F.size("pivots") >= p.touches)
     own = own.withColumn("clusters", cluster_levels(F.transform("pivots", lambda x: x["p_high"]), p.band))
 
     def candidate(c):
@@ -105,7 +112,9 @@ def detect(asofs: DataFrame, bars: DataFrame, p: Setup = Setup()) -> DataFrame:
         first = [-F.size(hits), -length, F.abs(dist)] if p.scanner else [F.when(high, 0).otherwise(1), -F.size(hits), F.abs(dist)]
         return F.when(ok, F.struct(*[x.alias(f"k{i}") for i, x in enumerate(first)], (-r).alias("k3"), r.alias("r"), F.size(hits).alias("touches"), base.alias("base_start"), length.alias("base_len_days"), dist.alias("distance_pct"), high.alias("is_high")))
 
-    best = own.withColumn("all", F.array_compact(F.transform("clusters", candidate))).filter(F.size("all") > 0).withColumn("best", F.array_min("all"))
+    # what a level alone can fail is tested before its pivots are looked at
+    fit = F.filter("clusters", lambda c: (c["cnt"] >= p.touches) & in_band(F.col("close"), c["level"], p))
+    best = own.withColumn("clusters", fit).filter(F.size("clusters") > 0).withColumn("all", F.array_compact(F.transform("clusters", candidate))).filter(F.size("all") > 0).withColumn("best", F.array_min("all"))
     if p.scanner:  # the highest level that is nearly as strong as the best one
         strong = F.filter("all", lambda c: (c["r"] > F.col("best.r") * 1.02) & (c["touches"] >= F.greatest(F.lit(2), F.floor(F.col("best.touches") * 0.8))) & (c["base_len_days"] >= F.floor(F.col("best.base_len_days") * 0.8)))
         top = F.array_min(F.transform(strong, lambda c: F.struct(c["k3"].alias("k"), c.alias("c"))))

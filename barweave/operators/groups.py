@@ -55,15 +55,21 @@ def breadth(bars: DataFrame, members: DataFrame, least: int = 5) -> DataFrame:
     return last.join(members, "symbol").groupBy("grp").agg(share("m50").alias("breadth_above_50dma"), share("m200").alias("breadth_above_200dma"))
 
 
-def rotation(bars: DataFrame, index: DataFrame, bench: DataFrame, members: DataFrame, asof) -> DataFrame:
-    """The full snapshot at ``asof`` (a date literal column): core, rank changes against 10 and 40 days earlier, breadth."""
-    spark = bars.sparkSession
-    snapshots = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.date_sub(asof, d).alias("asof")) for k, d in (("now", 0), ("5d", 10), ("20d", 40))])).alias("s")).select("s.*")
+def snapshot_dates(index: DataFrame) -> DataFrame:
+    """label, asof: the index's last day, and 10 and 40 days before it. One row in, three out; nothing is collected."""
+    last = index.agg(F.max("dt").alias("last"))
+    return last.select(F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.date_sub("last", d).alias("asof")) for k, d in (("now", 0), ("5d", 10), ("20d", 40))])).alias("s")).select("s.*")
+
+
+def rotation(bars: DataFrame, index: DataFrame, bench: DataFrame, members: DataFrame) -> DataFrame:
+    """The full snapshot at the index's last day: core, rank changes against 10 and 40 days earlier, breadth."""
+    snapshots = snapshot_dates(index)
     core = rotation_core(index, bench, snapshots)
     past = core.groupBy("grp").agg(*[F.max(F.when(F.col("label") == k, F.col("rank"))).alias(f"past_{k}") for k in ("5d", "20d")])
     now = core.filter("label = 'now'").drop("label").join(past, "grp", "left")
     out = now.select("*", *[(F.col(f"past_{k}") - F.col("rank")).alias(f"rank_chg_{k}") for k in ("5d", "20d")]).drop("past_5d", "past_20d")
-    return out.join(breadth(bars.filter(F.col("dt") <= asof), members), "grp", "left")
+    until = F.broadcast(snapshots.filter("label = 'now'").select("asof"))  # one row
+    return out.join(breadth(bars.join(until, F.col("dt") <= F.col("asof")).drop("asof"), members), "grp", "left")
 
 
 def leaderboard(rot: DataFrame, n: int = 5) -> DataFrame:

@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import tiles
 
 
+def sweep(spans: DataFrame) -> DataFrame:
+    """day, until, load, before: the stretches of days over which the number of covering spans is the same, with the sum of 1 / load
+    over all days before the stretch.
+
+    Every span is two events, one more at its first day and one less after its last, so the work doesn't depend on the spans'
+    lengths. Events are summed up per day before they are ordered: at most a row for each day of the calendar.
+    """
+    first, last = F.least("asof", "exit_date"), F.greatest("asof", "exit_date")
+    known = spans.filter("asof is not null and exit_date is not null")
+    events = known.select(F.explode(F.array(F.struct(first.alias("day"), F.lit(1).alias("step")), F.struct(F.date_add(last, 1).alias("day"), F.lit(-1).alias("step")))).alias("e"))
+    days = events.groupBy("e.day").agg(F.sum("e.step").alias("step"))
+    w = Window.orderBy("day")  # days of the calendar
+    run = days.select("day", F.lead("day").over(w).alias("until"), F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("load"))
+    part = F.when(F.col("load") > 0, F.datediff("until", "day") / F.col("load")).otherwise(0.0)
+    return run.select("*", F.coalesce(F.sum(part).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+
+
+def daily_load(spans: DataFrame) -> DataFrame:
+    """day, load: the number of spans that cover each day with one at least."""
+    return sweep(spans).filter("load > 0").select(F.explode(F.sequence("day", F.date_sub("until", 1))).alias("day"), "load")
+
+
+def span_means(spans: DataFrame) -> DataFrame:
+    """id, raw: mean of 1 / load over the days of each span, by two lookups in the running sum."""
+    at = F.broadcast(sweep(spans).select("day", "before"))  # days of the calendar
+    first, last = F.least("asof", "exit_date"), F.greatest("asof", "exit_date")
+    s = spans.select("id", first.alias("_a"), F.date_add(last, 1).alias("_z"))
+    s = s.join(at.select(F.col("day").alias("_a"), F.col("before").alias("_from")), "_a").join(at.select(F.col("day").alias("_z"), F.col("before").alias("_to")), "_z")
+    return s.select("id", ((F.col("_to") - F.col("_from")) / F.datediff("_z", "_a")).alias("raw"))
+
+
 def uniqueness_weights(spans: DataFrame) -> DataFrame:
     """id, weight: mean over the span's days of 1 / number of spans that cover the day, scaled to mean one."""
-    days = spans.select("id", F.explode(F.sequence("asof", "exit_date")).alias("day"))
-    load = days.groupBy("day").agg(F.count("*").alias("load"))
-    raw = days.join(load, "day").groupBy("id").agg(F.avg(1 / F.col("load")).alias("raw"))
+    raw = span_means(spans)
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("id", (F.col("raw") / F.col("mean")).alias("weight"))
 

@@ -294,8 +294,7 @@ def rotation_pipeline(spark, sf_dir):
     bars, members, index = _index(spark, sf_dir)
     storage.save_group_index(index, path)
     index = storage.load_group_index(spark, path)
-    last = index.agg(F.max("dt")).first()[0]
-    rot = rotation(bars, index, benchmark(bars).withColumnRenamed("bench", "level"), members, F.lit(last))
+    rot = rotation(bars, index, benchmark(bars).withColumnRenamed("bench", "level"), members)
     rot = stored(rot.selectExpr(*_out()), "rotation")
     sinks.workbook({"rotation": rot, "leaders": rot.orderBy("rank", "grp").limit(5)}, storage.scratch(spark, "rotation_book"))
     return rot

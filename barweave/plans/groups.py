@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import groups
+from ..sources import storage
 from ..sources.fixtures import membership, walk_bars
 from .registry import query, r6
 from .windows import _BENCH_SQL, benchmark
@@ -41,10 +42,20 @@ def _index(spark, sf_dir):
     return bars, members, groups.group_index(bars, members, min_members=2)
 
 
+def _stored(spark, sf_dir):
+    """Bars, members and index, the first and the last written once: a snapshot reads both several times."""
+    bars = storage.written(walk_bars(spark, sf_dir), "bars")
+    members = membership(bars)
+    return bars, members, storage.written(groups.group_index(bars, members, min_members=2), "index")
+
+
+def _bench(bars):
+    return benchmark(bars).withColumnRenamed("bench", "level")
+
+
 def _rotation(spark, sf_dir):
-    bars, members, index = _index(spark, sf_dir)
-    last = index.agg(F.max("dt")).first()[0]
-    return groups.rotation(bars, index, benchmark(bars).withColumnRenamed("bench", "level"), members, F.lit(last)), members, bars
+    bars, members, index = _stored(spark, sf_dir)
+    return groups.rotation(bars, index, _bench(bars), members), members, bars
 
 
 @query("c10_group_index", f"WITH {_INDEX} SELECT grp, dt, {r6('level')} AS level FROM idx")
@@ -54,10 +65,8 @@ def group_index(spark, sf_dir):
 
 @query("c11_rotation_core", f"WITH {_ROTATION} SELECT label, grp, CAST(rank AS BIGINT) AS rank, {r6('mom_score')} AS mom_score FROM g4")
 def rotation_core(spark, sf_dir):
-    bars, _, index = _index(spark, sf_dir)
-    last = index.agg(F.max("dt")).first()[0]
-    snaps = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.date_sub(F.lit(last), d).alias("asof")) for k, d in (("now", 0), ("5d", 10), ("20d", 40))])).alias("s")).select("s.*")
-    core = groups.rotation_core(index, benchmark(bars).withColumnRenamed("bench", "level"), snaps)
+    bars, _, index = _stored(spark, sf_dir)
+    core = groups.rotation_core(index, _bench(bars), groups.snapshot_dates(index))
     return core.selectExpr("label", "grp", "CAST(rank AS BIGINT) AS rank", f"{r6('mom_score')} AS mom_score")
 
 

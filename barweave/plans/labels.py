@@ -75,15 +75,13 @@ def uniqueness(spark, sf_dir):
 
 @query("j13_interval_expansion", f"WITH {_SPANS}, dd AS (SELECT unnest(generate_series(entry, exit_date, INTERVAL 1 DAY)) AS day FROM sp) SELECT CAST(day AS DATE) AS day, count(*) AS load FROM dd GROUP BY day")
 def expansion(spark, sf_dir):
-    return spans(spark, sf_dir).select(F.explode(F.sequence("asof", "exit_date")).alias("day")).groupBy("day").agg(F.count("*").alias("load"))
+    return validation.daily_load(spans(spark, sf_dir))
 
 
 @query("j14_interval_average", f"""WITH {_SPANS}, dd AS (SELECT id, unnest(generate_series(entry, exit_date, INTERVAL 1 DAY)) AS day FROM sp), l AS (SELECT day, count(*) AS k FROM dd GROUP BY day)
     SELECT id, {r6("avg(1.0 / k)")} AS raw FROM dd JOIN l USING (day) GROUP BY id""")
 def interval_average(spark, sf_dir):
-    d = spans(spark, sf_dir).select("id", F.explode(F.sequence("asof", "exit_date")).alias("day"))
-    load = d.groupBy("day").agg(F.count("*").alias("k"))
-    return d.join(load, "day").groupBy("id").agg(F.avg(1 / F.col("k")).alias("a")).selectExpr("id", f"{r6('a')} AS raw")
+    return validation.span_means(spans(spark, sf_dir)).selectExpr("id", f"{r6('raw')} AS raw")
 
 
 _FOLDS = f"""{_SPANS}, t AS (SELECT *, ntile(5) OVER (ORDER BY entry, id) AS own FROM sp), bo AS (SELECT own AS fold, min(entry) AS lo, max(entry) AS hi FROM t GROUP BY own),

@@ -38,7 +38,7 @@ def quality_gates(spark, sf_dir):
 
 def replay_setups(spark, sf_dir):
     ind, bars = gated(spark, sf_dir)
-    return detect.detect(ind.filter("drop_reason is null and n >= 250"), ind.select("symbol", "n", "dt", "high", "pivot3")), ind, bars
+    return detect.detect(ind, F.expr("drop_reason is null and n >= 250")), ind, bars
 
 
 _SETUP = f"symbol, CAST(n AS INTEGER) AS n, dt, {r6('r')} AS r, touches, base_start, base_len_days, {r6('distance_pct')} AS distance_pct, is_high"
@@ -57,7 +57,7 @@ def resistance(spark, sf_dir):
 
 def last_setups(spark, sf_dir):
     ind = with_indicators(walk_bars(spark, sf_dir))
-    return detect.detect(ind.filter("n = bars_total"), ind.select("symbol", "n", "dt", "high", "pivot3"), detect.SCANNER), ind
+    return detect.detect(ind, F.expr("n = bars_total"), detect.SCANNER), ind
 
 
 _SCANNED = f"{staged_sql()}, {setups_sql('SELECT symbol, n, dt, close FROM ind WHERE n = bars_total', detect.SCANNER)}"

@@ -65,7 +65,7 @@ def reference_setup(pivots, close, top, today, p):
 @pytest.mark.parametrize("p", [detect.Setup(), detect.SCANNER])
 def test_detector(spark, p):
     ind = with_indicators(plans.walk_bars(spark, SF)).select("symbol", "n", "dt", "high", "close", "pivot3").cache()
-    got = {(r["symbol"], r["n"]): r for r in detect.detect(ind.filter("n >= 250 and n % 7 = 0"), ind, p).collect()}
+    got = {(r["symbol"], r["n"]): r for r in detect.detect(ind, F.expr("n >= 250 and n % 7 = 0"), p).collect()}
     bars = ind.orderBy("symbol", "n").toPandas()
     seen = 0
     for s, b in bars.groupby("symbol"):
