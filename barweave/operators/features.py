@@ -53,36 +53,86 @@ def _weekly_means(whole: DataFrame) -> DataFrame:
     return staged(rows, *stages).select("symbol", F.col("dt").alias("week"), "open", "high", "low", "close", "volume", F.col("n").alias("k"), "d10", "d30")
 
 
-def _with_own_week(span: int) -> str:
+def _last(n: int, *aggs: str) -> dict[str, str]:
+    """Sums, counts and moments of the last n whole weeks, the current one included."""
+    w = f"OVER {frame(n)}"
+    return {f"{a}_{x}{n}": f"{'var_samp' if a == 'var' else a}({x}) {w}" for a, x in (y.split(":") for y in aggs)}
+
+
+#: What a week hands to the bars of the next one, in stages over the whole weeks of a symbol.
+WEEK_STATE: list[dict[str, str]] = [
+    {"pc": "lag(close) OVER (" + BY + ")", "ph": "lag(high) OVER (" + BY + ")", "pl": "lag(low) OVER (" + BY + ")"},
+    {k: STAGES[1][k] for k in ("tr", "up", "dn", "pdm", "mdm")},
+    {k: STAGES[2][k] for k in ("pdm14", "mdm14")},
+    {"dx": "100 * abs(pdm14 - mdm14) / nullif(pdm14 + mdm14, 0)", "kc": "k * close"},
+    {
+        **_last(13, *[f"{a}:{x}" for x in ("up", "dn", "pdm", "mdm", "dx") for a in ("sum", "count")]),
+        **_last(19, "avg:close", "var:close", "count:close", "sum:tr", "count:tr"), **_last(11, "sum:close", "sum:kc", "count:close"),
+        **_last(51, "max:high"), **_last(3, "sum:volume", "count:volume"), **_last(19, "sum:volume", "count:volume"),
+        "c4": f"lag(close, 3) OVER ({BY})", "c12": f"lag(close, 11) OVER ({BY})", "c26": f"lag(close, 25) OVER ({BY})", "next_week": f"lead(dt) OVER ({BY})",
+    },
+]
+
+
+def week_states(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The bars' running weeks (symbol, week, dt and the bar of the week so far), and per symbol and week the state of the
+    whole weeks before it."""
+    wk = F.next_day(F.date_sub("dt", 1), "FRI")
+    inside = Window.partitionBy("symbol", "week").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = [F.first("open").over(inside).alias("open"), F.max("high").over(inside).alias("high"), F.min("low").over(inside).alias("low"), F.col("close"), F.sum("volume").over(inside).alias("volume")]
+    run = bars.withColumn("week", wk).select("symbol", "week", "dt", *so_far)
+    whole = _weekly_means(run.groupBy("symbol", "week").agg(*[F.max_by(c, "dt").alias(c) for c in ("open", "high", "low", "close", "volume")]))
+    state = staged(whole.withColumnRenamed("week", "dt"), *WEEK_STATE)
+    kept = ["k", "d10", "d30", *[c for c in WEEK_STATE[-1] if c != "next_week"]]
+    last = [F.col(c).alias(f"p_{c}") for c in ("high", "low", "close")]
+    return run, state.filter("next_week is not null").select("symbol", F.col("next_week").alias("week"), *last, *kept)
+
+
+def _ema_so_far(span: int) -> str:
     """Exponential mean of all whole weeks and the running one."""
     q = f"CAST({span - 1} AS DOUBLE) / {span + 1}"
-    return f"(close + {q} * coalesce(lag(d{span}) OVER ({BY}), 0)) * (1 - {q}) / (1 - pow({q}, coalesce(lag(k) OVER ({BY}), 0) + 1))"
+    return f"(close + {q} * d{span}) * (1 - {q}) / (1 - pow({q}, k + 1))"
+
+
+def _with(x: str, n: int = 13) -> str:
+    """Mean of a full frame of n whole weeks and the running one's ``x``."""
+    return f"CASE WHEN count_{x}{n} = {n} THEN (sum_{x}{n} + {x}) / {n + 1} END"
+
+
+#: The figures of a bar from its week so far and the state before it.
+WEEK_BAR: list[dict[str, str]] = [
+    {
+        "up": "greatest(close - p_close, 0)", "dn": "greatest(p_close - close, 0)", "tr": "greatest(high - low, abs(high - p_close), abs(low - p_close))",
+        "pdm": "CASE WHEN high - p_high > p_low - low AND high - p_high > 0 THEN high - p_high ELSE 0 END",
+        "mdm": "CASE WHEN p_low - low > high - p_high AND p_low - low > 0 THEN p_low - low ELSE 0 END",
+    },
+    {
+        "up14": _with("up"), "dn14": _with("dn"), "pdm14": _with("pdm"), "mdm14": _with("mdm"), "atr20": _with("tr", 19),
+        # the spread of 20 closes from the moments of 19 and one more
+        "sd20": "CASE WHEN count_close19 = 19 THEN sqrt((18 * var_close19 + 19 * pow(close - avg_close19, 2) / 20) / 19) END",
+        "e10": _ema_so_far(10), "e30": _ema_so_far(30), "v4": "(sum_volume3 + volume) / (count_volume3 + 1)", "v20": "(sum_volume19 + volume) / (count_volume19 + 1)",
+        "sxy": "sum_kc11 + (k + 1) * close - (k + 1 - count_close11 / 2.0) * (sum_close11 + close)",
+    },
+    {"dx": "100 * abs(pdm14 - mdm14) / nullif(pdm14 + mdm14, 0)"},
+]
 
 
 def weekly(bars: DataFrame, asofs: DataFrame) -> DataFrame:
-    """Weekly block per as-of bar. Whole weeks are common to all as-of bars of a symbol; the running week is rebuilt per bar by
-    cumulative frames, then the figures of a bar are those of its own partial week after the whole ones. Frames of at most
-    52 weeks need the last 105 weeks; exponential means are carried over all whole weeks."""
-    wk = F.next_day(F.date_sub("dt", 1), "FRI")
-    inside = Window.partitionBy("symbol", "week").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    run = bars.withColumn("week", wk).select("symbol", "week", "dt", F.first("open").over(inside).alias("open"), F.max("high").over(inside).alias("high"), F.min("low").over(inside).alias("low"), "close", F.sum("volume").over(inside).alias("volume"))
-    whole = _weekly_means(run.groupBy("symbol", "week").agg(*[F.max_by(c, "dt").alias(c) for c in ("open", "high", "low", "close", "volume")]))
-    keys = asofs.select("symbol", F.col("n").alias("asof_n"), F.col("dt").alias("asof"))
-    own = keys.join(run, (keys["symbol"] == run["symbol"]) & (keys["asof"] == run["dt"])).select(keys["symbol"], "asof_n", "week", "open", "high", "low", "close", "volume")
-    past = keys.withColumn("own_week", F.next_day(F.date_sub("asof", 1), "FRI")).join(whole, "symbol").filter("week < own_week and week >= date_sub(own_week, 735)")
-    series = past.select("symbol", "asof_n", "week", "open", "high", "low", "close", "volume", "k", "d10", "d30").unionByName(own, allowMissingColumns=True)
-    series = series.withColumn("symbol", F.struct("symbol", "asof_n")).withColumnRenamed("week", "dt")
-    needed = {"n", "bars_total", "pc", "ph", "pl", "up", "dn", "tr", "pdm", "mdm", "up14", "dn14", "pdm14", "mdm14", "rsi14", "dx", "adx14", "ma20", "sd20", "atr20", "sq"}
-    for stage in STAGES:
-        series = series.select("*", *[F.expr(x).alias(a) for a, x in stage.items() if a in needed])
-    e = series.selectExpr(
-        "*", f"{_with_own_week(10)} AS e10", f"{_with_own_week(30)} AS e30", *[f"(close / nullif(lag(close, {k}) OVER (PARTITION BY symbol ORDER BY dt), 0) - 1) * 100 AS roc{k}" for k in (4, 12, 26)],
-        f"max(high) OVER {frame(52)} AS hi52", f"avg(volume) OVER {frame(4)} AS v4", f"avg(volume) OVER {frame(20)} AS v20", f"{slope('close', 'n', 12)} AS s12",
-    ).filter("n = bars_total and n >= 30")
+    """Weekly block per as-of bar (symbol, n, dt) with 30 weeks or more.
+
+    Each whole week is read once: its state (sums, moments and extremes of the weeks up to it) is handed to the bars of the next
+    week, and a bar adds its own week so far. So an as-of bar meets one row, not its history of weeks.
+    """
+    run, state = week_states(bars)
+    own = asofs.select("symbol", "n", "dt").join(run, ["symbol", "dt"]).join(state, ["symbol", "week"]).filter("k >= 29")
+    e = staged(own, *WEEK_BAR)
     flag = lambda c: f"CAST(CASE WHEN {c} THEN 1 ELSE 0 END AS DOUBLE)"
+    back = lambda k: f"(close / nullif(c{k}, 0) - 1) * 100"
+    high = "greatest(max_high51, high)"
     return e.selectExpr(
-        "symbol.symbol AS symbol", "symbol.asof_n AS n", "rsi14 AS wk_rsi_14", "adx14 AS wk_adx_14", f"{flag('close > e10 AND e10 > e30')} AS wk_ema_stack", "roc4 AS wk_roc_4", "roc12 AS wk_roc_12", "roc26 AS wk_roc_26",
-        "(hi52 - close) / hi52 * 100 AS wk_dist_52w_high_pct", "1 - coalesce(v4 / nullif(v20, 0), 0) AS wk_vdu", f"{flag('s12 > 0')} AS wk_higher_lows", f"{flag('sq = 1')} AS wk_ttm_squeeze",
+        "symbol", "n", "100 - 100 / (1 + up14 / nullif(dn14, 0)) AS wk_rsi_14", f"{_with('dx')} AS wk_adx_14", f"{flag('close > e10 AND e10 > e30')} AS wk_ema_stack",
+        *[f"{back(k)} AS wk_roc_{k}" for k in (4, 12, 26)], f"({high} - close) / {high} * 100 AS wk_dist_52w_high_pct", "1 - coalesce(v4 / nullif(v20, 0), 0) AS wk_vdu",
+        f"{flag('sxy > 1e-9 * close')} AS wk_higher_lows", f"{flag('coalesce(2 * sd20 < CAST(1.5 AS DOUBLE) * atr20, false)')} AS wk_ttm_squeeze",
     )
 
 

@@ -333,6 +333,36 @@ def feature_rows(spark, sf_dir):
     return features.make_features(setups, ind, bars, f.withColumns(ranks).drop("sector"))
 
 
+_WEEKLY = f"""WITH RECURSIVE {_REPLAY},
+  ws AS (SELECT a.symbol, a.n, CAST(b.dt + CAST((12 - dayofweek(b.dt)) % 7 AS INT) AS DATE) AS week, max(high) AS high, min(low) AS low, arg_max(b.close, b.dt) AS close, sum(volume) AS volume
+    FROM su a JOIN bars b ON b.symbol = a.symbol AND b.dt <= a.dt GROUP BY ALL),
+  wa AS (SELECT *, row_number() OVER w AS j, count(*) OVER (PARTITION BY symbol, n) AS total, lag(close) OVER w AS pc, lag(high) OVER w AS ph, lag(low) OVER w AS pl FROM ws WINDOW w AS (PARTITION BY symbol, n ORDER BY week)),
+  wb AS (SELECT *, greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr,
+    CASE WHEN j > 1 THEN greatest(close - pc, 0) END AS up, CASE WHEN j > 1 THEN greatest(pc - close, 0) END AS dn,
+    CASE WHEN j > 1 THEN CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END END AS pdm,
+    CASE WHEN j > 1 THEN CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END END AS mdm FROM wa),
+  wc AS (SELECT *, avg(up) OVER f14 AS up14, avg(dn) OVER f14 AS dn14, CASE WHEN j >= 15 THEN avg(pdm) OVER f14 END AS pdm14, CASE WHEN j >= 15 THEN avg(mdm) OVER f14 END AS mdm14,
+    stddev_samp(close) OVER f20 AS sd20, avg(tr) OVER f20 AS atr20, max(high) OVER f52 AS hi52, avg(volume) OVER f4 AS v4, avg(volume) OVER f20 AS v20,
+    lag(close, 4) OVER w AS c4, lag(close, 12) OVER w AS c12, lag(close, 26) OVER w AS c26, regr_slope(close, j) OVER f12 AS s12,
+    sum(close * pow(9.0 / 11, total - j)) OVER e * (2.0 / 11) / (1 - pow(9.0 / 11, total)) AS e10, sum(close * pow(29.0 / 31, total - j)) OVER e * (2.0 / 31) / (1 - pow(29.0 / 31, total)) AS e30
+    FROM wb WINDOW w AS (PARTITION BY symbol, n ORDER BY week), e AS (PARTITION BY symbol, n),
+      {", ".join(f"f{k} AS (PARTITION BY symbol, n ORDER BY week ROWS {k - 1} PRECEDING)" for k in (4, 12, 14, 20, 52))}),
+  wd AS (SELECT *, 100 * abs(pdm14 - mdm14) / nullif(pdm14 + mdm14, 0) AS dx FROM wc),
+  we AS (SELECT *, CASE WHEN count(dx) OVER f = 14 THEN avg(dx) OVER f END AS adx14 FROM wd WINDOW f AS (PARTITION BY symbol, n ORDER BY week ROWS 13 PRECEDING))
+  SELECT symbol, CAST(n AS INTEGER) AS n, {r6("100 - 100 / (1 + up14 / nullif(dn14, 0))")} AS wk_rsi_14, {r6("adx14")} AS wk_adx_14, CAST(CASE WHEN close > e10 AND e10 > e30 THEN 1 ELSE 0 END AS DOUBLE) AS wk_ema_stack,
+    {", ".join(f"{r6(f'(close / nullif(c{k}, 0) - 1) * 100')} AS wk_roc_{k}" for k in (4, 12, 26))}, {r6("(hi52 - close) / hi52 * 100")} AS wk_dist_52w_high_pct, {r6("1 - v4 / nullif(v20, 0)")} AS wk_vdu,
+    CAST(CASE WHEN s12 > 0 THEN 1 ELSE 0 END AS DOUBLE) AS wk_higher_lows, CAST(CASE WHEN 2 * sd20 < 1.5 * atr20 THEN 1 ELSE 0 END AS DOUBLE) AS wk_ttm_squeeze
+  FROM we WHERE j = total AND total >= 30"""
+
+
+@query("c08_weekly_block", _WEEKLY)
+def weekly_block(spark, sf_dir):
+    """The ten weekly columns of every setup; the SQL replays all weeks of a setup by themselves."""
+    setups, _, bars = replay_setups(spark, sf_dir)
+    out = features.weekly(bars, setups)
+    return out.selectExpr("symbol", "CAST(n AS INTEGER) AS n", *[f"{r6(c)} AS {c}" for c in features.WEEKLY])
+
+
 @query("c08_feature_builder")
 def feature_builder(spark, sf_dir):
     return feature_rows(spark, sf_dir)
