@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -133,13 +135,20 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
+def trimmed() -> None:
+    """Give memory that a task has freed back to the system, as workers stay for later tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Views of at most ``rows`` rows, so that only their texts are held as Python objects at once; what
-    Arrow has freed goes back to the system at the end."""
+    """Views of at most ``rows`` rows, so that only their texts are held as Python objects at once; what is
+    freed goes back to the system at the end."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    trimmed()
 
 
 def rows_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:

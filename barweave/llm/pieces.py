@@ -25,9 +25,9 @@ from .common import slices, texts
 
 SPACE = "▁"
 #: Most chunks that a worker remembers; later ones are encoded each time.
-MEMO = 150_000
+MEMO = 100_000
 #: Most pairs of tokens whose compatibility a worker remembers before it starts afresh.
-PAIRS = 250_000
+PAIRS = 200_000
 #: Rows of an output batch.
 ROWS = 256
 #: Stands for no token, next to ids below BASE.

@@ -1,8 +1,9 @@
 """Exact top-k search by inner product.
 
-Vectors become integers once. Rows of a partition are packed into blocks of bounded bytes; every query tile
-meets every block exactly once: tiles are streamed past the blocks of a group. A block keeps k rows per query
-by partial selection (whole ties at the cut are kept and sorted by id), and the per-query lists
+Vectors become integers once, of 16, 32 or 64 bits as their block needs. Rows of a partition are packed into blocks of
+bounded bytes, and blocks are dealt into groups, as many as their bytes need for a task to hold one. Every query tile meets
+every block exactly once: tiles are streamed past the blocks of a group, one product at a time. A block keeps k
+rows per query by partial selection (whole ties at the cut are kept and sorted by id), and the per-query lists
 are merged as a tree: over the blocks of a group, then within groups of groups, then over these.
 """
 
@@ -15,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import dropped, slices, written
 
 #: Rows of a block and of a query tile; bytes of either.
 BLOCK_ROWS, TILE_ROWS, BLOCK_BYTES = 8192, 512, 4 << 20
+#: Bytes of a group's blocks, which its task holds; vectors are counted at 16 bits a component.
+GROUP_BYTES = 64 << 20
 #: Components from here on, whose multiple of 1024 no long holds, travel as decimal text.
 WIDE = 2.0**52
-_PACKED = "key long, kind int, n int, dim int, wide boolean, ids binary, data binary"
-_PACKED_ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("dim", pa.int32()), ("wide", pa.bool_()), ("ids", pa.binary()), ("data", pa.binary())])
+_PACKED = "key long, kind int, n int, dim int, width int, ids binary, data binary"
+_PACKED_ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("dim", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("grp", pa.int64())])
 
 
@@ -46,10 +49,14 @@ def _packer(rows: int, groups: int, kind: int):
         for r, v in enumerate(vecs):
             x[r, : len(v)] = v
         m, own = whole(x), np.asarray(ids, np.int64)
-        wide = m.dtype == object
-        data = " ".join(map(str, m.ravel().tolist())).encode() if wide else m.tobytes()
+        if m.dtype == object:
+            width, data = 0, " ".join(map(str, m.ravel().tolist())).encode()
+        else:
+            top = int(np.abs(m).max()) if m.size else 0
+            width = 2 if top < 1 << 15 else 4 if top < 1 << 31 else 8
+            data = m.astype(f"<i{width}").tobytes()
         key = int(np.bitwise_xor.reduce(own * np.int64(0x9E3779B1)) % groups)
-        row = {"key": key, "kind": kind, "n": len(ids), "dim": dim, "wide": wide, "ids": own.tobytes(), "data": data}
+        row = {"key": key, "kind": kind, "n": len(ids), "dim": dim, "width": width, "ids": own.tobytes(), "data": data}
         return pa.RecordBatch.from_pylist([row], schema=_PACKED_ARROW)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +65,7 @@ def _packer(rows: int, groups: int, kind: int):
         longest = 0
         for b in batches:
             lists = b.column(1)
-            values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+            values, at = lists.values.to_numpy().astype(float, copy=False), lists.offsets.to_numpy()
             for i, x, y in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 longest = max(longest, y - x)
                 if ids and (len(ids) == rows or 8 * longest * (len(ids) + 1) > BLOCK_BYTES):
@@ -74,10 +81,10 @@ def _packer(rows: int, groups: int, kind: int):
 
 def unpacked(r: dict) -> tuple[np.ndarray, np.ndarray]:
     """ids and matrix of a packed row."""
-    if r["wide"]:
+    if not r["width"]:
         data = np.array([int(x) for x in r["data"].split()] + [None], object)[:-1]
     else:
-        data = np.frombuffer(r["data"], np.int64)
+        data = np.frombuffer(r["data"], f"<i{r['width']}")
     return np.frombuffer(r["ids"], np.int64), data.reshape(r["n"], r["dim"])
 
 
@@ -86,13 +93,13 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     float64 where no sum can reach 2**53, in exact integers (clipped to long) otherwise."""
     dim = max(q.shape[1], c.shape[1])
     # zeros of the matrix's own kind: np.pad would put numpy numbers among Python's
-    q, c = (np.concatenate([x, np.zeros((len(x), dim - x.shape[1]), np.int64).astype(x.dtype)], 1) for x in (q, c))
+    q, c = (np.concatenate([x, np.zeros((len(x), dim - x.shape[1]), np.int64).astype(x.dtype)], 1) if x.shape[1] < dim else x for x in (q, c))
     top = [max(abs(int(x.max())), abs(int(x.min()))) if x.size else 0 for x in (q, c)]
     bound = top[0] * top[1] * max(dim, 1)
     if bound < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
     if bound < 2**63:
-        return q @ c.T
+        return q.astype(np.int64) @ c.astype(np.int64).T
     exact = q.astype(object) @ c.astype(object).T
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
@@ -114,11 +121,14 @@ def _search(k: int):
 
     def tile(q: tuple, blocks: list[tuple]) -> list[tuple]:
         qids, queries = q
-        scores = [(products(queries, c), ids) for ids, c in blocks]
-        for i, qid in enumerate(qids):
-            hits = [(s[i][h], ids[h]) for s, ids in scores for h in [best(s[i], ids, qid, k)]]
-            s, ids = (np.concatenate(x) for x in zip(*hits, strict=True))
-            yield qid, s, ids
+        hits: list[list[tuple]] = [[] for _ in qids]
+        for ids, c in blocks:  # one score matrix at a time
+            scores = products(queries, c)
+            for own, s, qid in zip(hits, scores, qids, strict=True):
+                h = best(s, ids, qid, k)
+                own.append((s[h], ids[h]))
+        for qid, own in zip(qids, hits, strict=True):
+            yield qid, *(np.concatenate(x) for x in zip(*own, strict=True))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, blocks = None, []
@@ -141,8 +151,8 @@ def _search(k: int):
 
 
 def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
-    """vec_id, x array<double> of valid rows, one row per id (the smallest vector if an id repeats)."""
-    x = F.transform(col, lambda e: e.cast("double"))
+    """vec_id, x (array of float or double) of valid rows, one row per id (the smallest vector if an id repeats)."""
+    x = F.col(col) if dict(vectors.dtypes)[col] == "array<float>" else F.transform(col, lambda e: e.cast("double"))
     fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     return (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
@@ -157,12 +167,14 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, groups: int | None
     Defined cases: vectors null or holding null or non-finite components take no part; vectors of
     unequal length are padded with zeros; an empty vector scores 0; rows that share an id count once
     (smallest vector); ties go to the smaller id; a query without other rows has no result rows; an empty
-    table gives none; finite components of any size count exactly, but a score beyond long is clipped to
+    table gives none; very long vectors fill blocks of fewer rows;
+    finite components of any size count exactly, but a score beyond long is clipped to
     it, and scores clipped alike are ties; other columns are ignored.
     """
     spark = vectors.sparkSession
-    groups = groups or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = valid_vectors(vectors)
+    rows = written(valid_vectors(vectors), "topk_rows")
+    total = rows.agg(F.sum(F.size("x").cast("long") * 2 + 8)).first()[0] or 0
+    groups = groups or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_BYTES))
     blocks = rows.mapInArrow(_packer(BLOCK_ROWS, groups, 0), _PACKED)
     tiles = rows.filter(F.col("vec_id") % every == 0).coalesce(max(1, groups // 4)).mapInArrow(_packer(TILE_ROWS, groups, 1), _PACKED)
     # every tile goes to every group
@@ -174,4 +186,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, groups: int | None
     branch = Window.partitionBy("query_id", F.col("grp") % max(1, int(groups**0.5))).orderBy(*by)
     root = Window.partitionBy("query_id").orderBy(*by)
     merged = found.withColumn("r", F.row_number().over(branch)).filter(F.col("r") <= k).drop("r")
-    return merged.withColumn("rank", F.row_number().over(root)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = merged.withColumn("rank", F.row_number().over(root)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = written(out, "topk")
+    dropped(rows)
+    return out
