@@ -35,6 +35,8 @@ MAX_BAND, BAND_BITS, BLOCK = 5, 512, 2048
 SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 8, 1 << 20
 #: Pairs of two labels that a tile gives in each further round; the last round gives all.
 ROUNDS = (16, None)
+#: Shared prefix hashes up to which a filter of 64 MB still has 16 bits for each; beyond, rows are chosen by a semi-join.
+FILTER_KEYS = 1 << 25
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -70,6 +72,9 @@ _BAND = pa.struct([("band", pa.int32()), ("bits", pa.binary())])
 _SETS_ARROW = pa.schema([*((c, pa.int64()) for c in ("doc_id", "h", "n", "d1", "d2")), ("tokens", pa.list_(pa.int64())), ("bands", pa.list_(_BAND))])
 
 
+_TILE = "band int, token long, rep long, n long, bits binary, label long"
+
+
 def _sampled(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2048):
@@ -144,6 +149,17 @@ def _shared_tokens(words):
     return run
 
 
+def tile_rows(rows: DataFrame, multi: DataFrame, words) -> DataFrame:
+    """band, token, rep, n, bits, label of the classes' prefix hashes that other classes have, too: by a Bloom filter in the tasks
+    (a few more pass), or, without ``words``, by an exact semi-join of narrow rows, to which bitmaps are attached after it."""
+    if words is not None:
+        return rows.mapInArrow(_shared_tokens(words), _TILE)
+    each = rows.select("doc_id", F.explode("bands.band").alias("band"), "tokens").select("doc_id", "band", F.explode("tokens").alias("token"))
+    shared = each.join(multi.select("band", "token"), ["band", "token"], "left_semi")
+    wide = rows.select("doc_id", "n", "label", F.explode("bands").alias("x")).select("doc_id", "n", "label", "x.band", "x.bits")
+    return shared.join(wide, ["doc_id", "band"]).select("band", "token", F.col("doc_id").alias("rep"), "n", "bits", "label")
+
+
 def _forest(i: np.ndarray, j: np.ndarray, cost: np.ndarray, n: int) -> np.ndarray:
     """Positions of a minimum spanning forest among the pairs (i, j), by rounds of cheapest edges."""
     label, live, out = np.arange(n), np.argsort(cost, kind="stable"), []
@@ -295,14 +311,15 @@ def _components(docs: DataFrame, k: int, num: int) -> DataFrame:
     one = one.join(checked(copies), ["doc_id", "d1", "d2"], "left_anti").drop("d1", "d2")
     seen = one.select("doc_id", F.explode("bands.band").alias("band"), "tokens").select("band", F.explode("tokens").alias("token"))
     multi = written(seen.groupBy("band", "token").agg(F.count("*").alias("c")).filter("c > 1"), "jaccard_tiles")
-    words = spark.sparkContext.broadcast(bloom_words(multi.mapInArrow(_keys, "h long"), "h", bloom_bits(multi.count())))
+    keys, words = multi.count(), None
+    if keys <= FILTER_KEYS:
+        words = spark.sparkContext.broadcast(bloom_words(multi.mapInArrow(_keys, "h long"), "h", bloom_bits(keys)))
     hot = multi.filter(F.col("c") > BLOCK).select("band", "token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     hot = written(hot, "jaccard_hot")
     plain = docs.filter("doc_id is not null").select("doc_id", "text")
-    tile = "band int, token long, rep long, n long, bits binary, label long"
 
     def round_pairs(rows: DataFrame, forest: bool, most: int | None, name: str) -> DataFrame:
-        t = rows.mapInArrow(_shared_tokens(words), tile).join(checked(hot), ["band", "token"], "left")
+        t = tile_rows(rows, multi, words).join(checked(hot), ["band", "token"], "left")
         t = t.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         t = t.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         t = t.select("band", "token", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "blk", "n", "rep", "label", "bits")

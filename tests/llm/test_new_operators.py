@@ -287,3 +287,43 @@ def test_mixing_rates_solve_the_dual(spark):
         for z, rate in dual(list(cells.items()), target).items():
             copies = sum(r["copies"] for r in got if r["source"] == s and r["size"] == z)
             assert abs(copies - rate * cells[z]) <= 0.02 * cells[z] + 3
+
+
+def test_jaccard_beyond_the_filter(spark, monkeypatch):
+    """The exact semi-join takes the filter's place and finds the same components."""
+    from barweave.llm import jaccard
+
+    def prose(seed, n=60):
+        return [f"w{(seed * 7919 + i * 104729) % 997}" for i in range(n)]
+
+    rows = []
+    for g in range(12):
+        base = prose(g)
+        for c in range(1 + g % 4):
+            words = list(base)
+            words[10 * c % 60] = f"x{c}"
+            rows.append((g * 10 + c, " ".join(words)))
+    df = spark.createDataFrame([*rows, (500, None), (501, "a b"), (501, "a b")], "doc_id long, text string").repartition(3)
+    want = sorted(map(tuple, jaccard.jaccard_components(df, k=3, num=70).collect()))
+    monkeypatch.setattr(jaccard, "FILTER_KEYS", 0)
+    assert sorted(map(tuple, jaccard.jaccard_components(df, k=3, num=70).collect())) == want
+    assert len({c for _, _, c in want}) < len(rows)
+
+
+def test_topk_in_many_groups(spark, monkeypatch):
+    """Groups by bytes: a table many times a task's share gives the same lists, from floats as from doubles."""
+    import numpy as np
+    from barweave.llm import topk
+
+    r = np.random.default_rng(2)
+    v = [(i, [float(np.float32(x)) for x in r.normal(size=8) * (40 if i % 7 else 4000)]) for i in range(400)]
+    monkeypatch.setattr(topk, "GROUP_BYTES", 300)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 2000)
+    m = {i: [int(np.floor(1024 * x)) for x in e] for i, e in v}
+    want = set()
+    for q in range(0, 400, 50):
+        s = sorted(((-sum(a * b for a, b in zip(m[q], m[i], strict=True)), i) for i in m if i != q))[:5]
+        want |= {(q, n, i, -x) for n, (x, i) in enumerate(s, 1)}
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(v, f"vec_id long, embedding array<{kind}>").repartition(4)
+        assert set(map(tuple, topk.top_k(df, k=5, every=50).collect())) == want
