@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import files, groups, labels, learning, relational, setups, sources, windows  # noqa: F401
+from .plans import candles, files, groups, labels, learning, relational, setups, sources, windows  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
 
 

@@ -31,10 +31,10 @@ def daily_load(spans: DataFrame) -> DataFrame:
 
 
 def span_means(spans: DataFrame) -> DataFrame:
-    """id, raw: mean of 1 / load over the days of each span, by two lookups in the running sum."""
+    """id, raw: mean of 1 / load over the days of each span (both ends known), by two lookups in the running sum."""
     at = F.broadcast(sweep(spans).select("day", "before"))  # days of the calendar
     first, last = F.least("asof", "exit_date"), F.greatest("asof", "exit_date")
-    s = spans.select("id", first.alias("_a"), F.date_add(last, 1).alias("_z"))
+    s = spans.filter("asof is not null and exit_date is not null").select("id", first.alias("_a"), F.date_add(last, 1).alias("_z"))
     s = s.join(at.select(F.col("day").alias("_a"), F.col("before").alias("_from")), "_a").join(at.select(F.col("day").alias("_z"), F.col("before").alias("_to")), "_z")
     return s.select("id", ((F.col("_to") - F.col("_from")) / F.datediff("_z", "_a")).alias("raw"))
 

@@ -263,18 +263,31 @@ def gate_funnel(spark, sf_dir):
 _STEPS = ["price", "no_52w_high", "band52w", "low52w", "runup", "rs", "short_history", "below_200dma", "no_higher_lows", "no_mcap", "mcap"]
 
 
-@query("c20_screen_counters", f"""WITH {_SCREEN}, st AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(_STEPS))}) v(k, step)),
+def _counters_sql(screen: str) -> str:
+    steps = ", ".join(f"({i}, '{x}')" for i, x in enumerate(_STEPS))
+    return f"""WITH {screen}, st AS (SELECT * FROM (VALUES {steps}) v(k, step)),
     hits AS (SELECT coalesce((SELECT k FROM st WHERE step = drop_reason), {len(_STEPS)}) AS k FROM sc)
-    SELECT step, (SELECT count(*) FROM hits WHERE hits.k >= st.k) AS entered, (SELECT count(*) FROM hits WHERE hits.k = st.k) AS dropped FROM st""")
-def screen_counters(spark, sf_dir):
-    """Symbols that enter each step of the screen and that it drops."""
-    n = funnel(pct_down(spark, sf_dir))
+    SELECT step, (SELECT count(*) FROM hits WHERE hits.k >= st.k) AS entered, (SELECT count(*) FROM hits WHERE hits.k = st.k) AS dropped FROM st"""
+
+
+def counters(screened):
+    """step, entered, dropped: symbols that enter each step of a screen and that it drops."""
     at = F.array_position(F.array(*[F.lit(x) for x in _STEPS]), F.col("drop_reason")) - 1
-    numbered = n.withColumn("at", F.when(F.col("drop_reason") == "pass", len(_STEPS)).otherwise(at))
-    return numbered.select(F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(x).alias("step")) for i, x in enumerate(_STEPS)])).alias("s"), "at", "n").groupBy("s.step").agg(
-        F.sum(F.when(F.col("at") >= F.col("s.k"), F.col("n")).otherwise(0)).alias("entered"), F.sum(F.when(F.col("at") == F.col("s.k"), F.col("n")).otherwise(0)).alias("dropped")
-    )
+    numbered = funnel(screened).withColumn("at", F.when(F.col("drop_reason") == "pass", len(_STEPS)).otherwise(at))
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(x).alias("step")) for i, x in enumerate(_STEPS)])).alias("s")
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return numbered.select(steps, "at", "n").groupBy("s.step").agg(count(F.col("at") >= F.col("s.k")).alias("entered"), count(F.col("at") == F.col("s.k")).alias("dropped"))
+
+
+@query("c20_screen_counters", _counters_sql(_SCREEN))
+def screen_counters(spark, sf_dir):
+    return counters(pct_down(spark, sf_dir))
+
 
+@query("c20_full_screen_counters", _counters_sql(_FULL))
+def screen_counters_full(spark, sf_dir):
+    """All gates at their defaults."""
+    return counters(pct_down_full(spark, sf_dir))
 
 
 @query("p17_drawdown_duration", f"SELECT symbol, CAST({_ASOF} - arg_min(dt, -high) AS INTEGER) AS days FROM (SELECT * FROM bars WHERE dt <= {_ASOF} AND dt >= {_ASOF} - 365 ORDER BY symbol, dt) GROUP BY symbol")

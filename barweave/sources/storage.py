@@ -39,8 +39,13 @@ def dropped(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for t in tables:
         if path := _PATHS.pop(t, None):
-            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            delete(t.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all in it, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

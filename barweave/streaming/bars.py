@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.relational import keep_one, upsert
+from ..sources import storage
 
 
 def upsert_sink(path: str, keys: list[str], tiebreak: str):
     """A foreachBatch function that merges every batch into a Parquet table, newer rows first. Tables are versioned folders,
-    so a failed batch leaves the last one whole."""
+    so a failed batch leaves the last one whole; versions before the one that a batch has read go once it is written. Every
+    batch writes the whole table: for large ones take ``upsert_latest``."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -25,6 +27,8 @@ def upsert_sink(path: str, keys: list[str], tiebreak: str):
         new = batch.dropDuplicates(keys + [tiebreak])
         merged = upsert(spark.read.parquet(f"{path}/v{versions[-1]}"), new, keys, [F.col(tiebreak).desc()]) if versions else upsert(new.limit(0), new, keys, [F.col(tiebreak).desc()])
         merged.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        for v in versions[:-1]:
+            storage.delete(spark, f"{path}/v{v}")
 
     return merge
 
@@ -48,6 +52,7 @@ def upsert_latest(path: str, keys: list[str], order: str, buckets: int = 16):
         newest.write.mode("overwrite").parquet(staged)
         out = spark.read.parquet(staged).write.mode("overwrite").partitionBy("bucket")
         out.option("partitionOverwriteMode", "dynamic").parquet(path)
+        storage.delete(spark, staged)
 
     return merge
 

@@ -174,6 +174,39 @@ def test_weekly_stack_and_ranks(spark):
     assert ranks.max().max() <= 1 and ranks.notna().any().all()
 
 
+def test_weekly_rows_equal_pandas(spark):
+    """All ten weekly columns of every as-of bar, from weeks resampled for each bar by itself."""
+    bars = plans.walk_bars(spark, SF)
+    asofs = bars.withColumn("n", F.expr("row_number() OVER (PARTITION BY symbol ORDER BY dt)").cast("long")).filter("n >= 60 and n % 41 = 0")
+    got = {(r["symbol"], r["n"]): r for r in features.weekly(bars, asofs.select("symbol", "n", "dt")).collect()}
+    p = bars.orderBy("symbol", "dt").toPandas()
+    p["dt"] = p["dt"].astype("datetime64[ns]")
+    seen = 0
+    for symbol, b in p.groupby("symbol"):
+        b = b.reset_index(drop=True)
+        for n in range(82, len(b) + 1, 41):
+            w = b[:n].set_index("dt").resample("W-FRI").agg({"high": "max", "low": "min", "close": "last", "volume": "sum"}).dropna()
+            if len(w) < 30:
+                assert (symbol, n) not in got
+                continue
+            c, h, low, v = w["close"], w["high"], w["low"], w["volume"]
+            d, up, down = c.diff(), h.diff(), -low.diff()
+            tr = np.maximum(h - low, np.maximum((h - c.shift()).abs().fillna(0), (low - c.shift()).abs().fillna(0)))
+            pdm, mdm = up.where((up > down) & (up > 0), 0.0)[1:].rolling(14).mean(), down.where((down > up) & (down > 0), 0.0)[1:].rolling(14).mean()
+            dx = 100 * (pdm - mdm).abs() / (pdm + mdm)
+            e10, e30 = (c.ewm(span=k).mean().iloc[-1] for k in (10, 30))
+            x = np.arange(12) - 5.5
+            want = {
+                "wk_rsi_14": 100 - 100 / (1 + d.clip(lower=0)[-14:].mean() / (-d.clip(upper=0))[-14:].mean()), "wk_adx_14": dx[-14:].mean(), "wk_ema_stack": float(c.iloc[-1] > e10 > e30),
+                **{f"wk_roc_{k}": (c.iloc[-1] / c.iloc[-1 - k] - 1) * 100 for k in (4, 12, 26)}, "wk_dist_52w_high_pct": (h[-52:].max() - c.iloc[-1]) / h[-52:].max() * 100,
+                "wk_vdu": 1 - v[-4:].mean() / v[-20:].mean(), "wk_higher_lows": float((x * c[-12:].to_numpy()).sum() > 0), "wk_ttm_squeeze": float(2 * c[-20:].std() < 1.5 * tr[-20:].mean()),
+            }
+            seen += 1
+            for name, value in want.items():
+                assert got[symbol, n][name] == pytest.approx(value, abs=1e-7), (symbol, n, name)
+    assert seen > 50 and len(got) == seen
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.8), (0, 0.1)], "y int, prob double")
     assert evaluate.auc(df).first()[0] == pytest.approx(0.875) and evaluate.average_precision(df).first()[0] == pytest.approx(0.5 + 0.5 * 2 / 3)
