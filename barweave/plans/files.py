@@ -81,10 +81,20 @@ model:
 """
 
 
-@query("s10_typed_config", """SELECT * FROM (VALUES ('scan.stride_days', '1'), ('scan.thresholds', '[0.15, 0.22]'), ('scan.regime.enabled', 'true'), ('scan.regime.name', '"bench > 200"'), ('model.eta', '0.05'), ('model.monotone', 'null')) v(key, value)""")
+_FIXED_SETTINGS = "('scan.stride_days', '1'), ('scan.thresholds', '[0.15, 0.22]'), ('scan.regime.enabled', 'true'), ('scan.regime.name', '\"bench > 200\"'), ('model.eta', '0.05'), ('model.monotone', 'null')"
+
+
+@query("s10_typed_config", f"""SELECT * FROM (VALUES {_FIXED_SETTINGS}) v(key, value)
+    UNION ALL SELECT 'nation_' || n_nationkey || '.name', '"' || n_name || '"' FROM nation UNION ALL SELECT 'nation_' || n_nationkey || '.region', CAST(n_regionkey AS VARCHAR) FROM nation
+    UNION ALL SELECT 'nation_' || n_nationkey || '.scan.even', CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE 'false' END FROM nation""")
 def typed_config(spark, sf_dir):
+    """A settings file of fixed lines and of a block for each nation, read back with its types."""
     path = storage.scratch(spark, "settings")
-    storage.put_text(spark, path, SETTINGS.splitlines())
+    n = table(spark, sf_dir, "nation")
+    block = ["nation_%s:", "  name: %s", "  region: %s  # by key", "  scan:", "    even: %s"]
+    lines = F.format_string("\n".join(block), F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string"), (F.col("n_nationkey") % 2 == 0).cast("string"))
+    fixed = spark.createDataFrame([(SETTINGS.strip("\n"),)], "value string")
+    fixed.unionByName(n.select(lines.alias("value"))).coalesce(1).write.text(path)
     return spark.createDataFrame(storage.flat(storage.config(spark, path)), "key string, value string")
 
 
@@ -147,9 +157,17 @@ def listing_fallback(spark, sf_dir):
 PERIODS = {"5d": 5, "2w": 14, "1mo": 30, "6mo": 183, "1y": 365, "2y": 730}
 
 
-@query("s27_period_bounds", f"SELECT p AS period, DATE '2024-06-28' - d AS lo, DATE '2024-06-28' AS hi FROM (VALUES {', '.join(f"('{p}', {d})" for p, d in PERIODS.items())}) v(p, d)")
+_PERIOD = f"[{', '.join(f"'{p}'" for p in PERIODS)}][1 + o_custkey % {len(PERIODS)}]"
+
+
+@query("s27_period_bounds", f"""WITH c AS (SELECT o_custkey, {_PERIOD} AS period, CAST(max(o_orderdate) AS DATE) AS hi FROM orders GROUP BY o_custkey)
+    SELECT o_custkey, period, hi - d AS lo, hi FROM c JOIN (VALUES {', '.join(f"('{p}', {d})" for p, d in PERIODS.items())}) v(p, d) ON p = period""")
 def period_bounds(spark, sf_dir):
-    return spark.createDataFrame([(p, *readers.period_bounds(p, dt.date(2024, 6, 28))) for p in PERIODS], "period string, lo date, hi date")
+    """The days that a fetch of each customer's period would ask for, up to their last order."""
+    last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.to_date("o_orderdate")).alias("hi"))
+    period = F.element_at(F.array(*[F.lit(p) for p in PERIODS]), (F.col("o_custkey") % len(PERIODS) + 1).cast("int"))
+    c = last.withColumn("period", period)
+    return c.select("o_custkey", "period", readers.period_start(F.col("period"), F.col("hi")).alias("lo"), "hi")
 
 
 @query("s29_bulk_history", "SELECT CAST(symbol AS VARCHAR) AS symbol, count(*) AS bars, min(dt) AS first, max(dt) AS last FROM bars GROUP BY symbol")

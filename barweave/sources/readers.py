@@ -134,6 +134,13 @@ def period_bounds(period: str, today: dt.date) -> tuple[dt.date, dt.date]:
     return today - dt.timedelta(days=round(days)), today
 
 
+def period_start(period: F.Column, today: F.Column) -> F.Column:
+    """The first day of a period such as 5d, 2w, 6mo or 1y that ends today."""
+    n, unit = F.regexp_extract(period, r"^(\d+)", 1).cast("int"), F.regexp_extract(period, r"([a-z]+)$", 1)
+    days = F.when(unit == "d", 1.0).when(unit.isin("w", "wk"), 7.0).when(unit == "mo", 30.44).when(unit == "y", 365.0)
+    return F.date_sub(today, F.round(days * n).cast("int"))
+
+
 def date_chunks(start, end, days: int) -> F.Column:
     """Array of (lo, hi) ranges of at most ``days`` days."""
     return F.transform(F.sequence(start, end, F.expr(f"interval {days} days")), lambda d: F.struct(d.alias("lo"), F.least(F.date_add(d, days - 1), end).alias("hi")))
