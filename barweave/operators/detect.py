@@ -49,15 +49,24 @@ def quality_gates(ind: DataFrame, min_turnover: float = 0.5e7, max_atr_pct: floa
 
 def cluster_levels(levels: Column, band: float) -> Column:
     """Greedy first-fit clusters of levels sorted downwards: a level joins the first cluster whose running mean is
-    within ``band`` of it, else it opens one. array<struct<level,total,cnt>>."""
-    empty = F.expr("cast(array() as array<struct<level:double,total:double,cnt:int>>)")
+    within ``band`` of it, else it opens one. array<struct<level,total,cnt>>.
+
+    Levels come down and a mean only moves when a level joins, so a cluster that refused one level refuses all that
+    follow: only the last cluster can take the next level, and a step of the fold looks at that one alone."""
+    kind = "struct<level:double,total:double,cnt:int>"
+    start = F.struct(F.expr(f"cast(array() as array<{kind}>)").alias("done"), F.expr(f"cast(null as {kind})").alias("last"))
+
+    def one(level, total, cnt):
+        return F.struct(level.alias("level"), total.alias("total"), cnt.alias("cnt"))
 
     def place(state, lvl):
-        at = F.array_position(F.transform(state, lambda c: F.abs(lvl - c["level"]) / c["level"] <= band), True)
-        grown = F.transform(state, lambda c, i: F.when(i + 1 == at, F.struct(((c["total"] + lvl) / (c["cnt"] + 1)).alias("level"), (c["total"] + lvl).alias("total"), (c["cnt"] + 1).alias("cnt"))).otherwise(c))
-        return F.when(at > 0, grown).otherwise(F.concat(state, F.array(F.struct(lvl.alias("level"), lvl.alias("total"), F.lit(1).alias("cnt")))))
+        last, done = state["last"], state["done"]
+        joins = F.abs(lvl - last["level"]) / last["level"] <= band
+        grown = one((last["total"] + lvl) / (last["cnt"] + 1), last["total"] + lvl, last["cnt"] + 1)
+        closed = F.when(last.isNull(), done).otherwise(F.concat(done, F.array(last)))
+        return F.when(joins, F.struct(done.alias("done"), grown.alias("last"))).otherwise(F.struct(closed.alias("done"), one(lvl, lvl, F.lit(1)).alias("last")))
 
-    return F.aggregate(F.sort_array(levels, asc=False), empty, place)
+    return F.aggregate(F.sort_array(levels, asc=False), start, place, lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"]))))
 
 
 def in_band(close: Column, r: Column, p: Setup) -> Column:
