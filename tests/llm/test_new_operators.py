@@ -327,3 +327,18 @@ def test_topk_in_many_groups(spark, monkeypatch):
     for kind in ("float", "double"):
         df = spark.createDataFrame(v, f"vec_id long, embedding array<{kind}>").repartition(4)
         assert set(map(tuple, topk.top_k(df, k=5, every=50).collect())) == want
+
+
+@pytest.mark.parametrize("name", ["op3_exact_topk", "op8_line_dedup", "op11_prefix_trie", "op12_source_divergence"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+    from barweave.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = queries.queries()[name](spark, sf)
+    rel = c.sql(queries.ORACLE[name])
+    at = [rel.columns.index(x) for x in df.columns]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(str(tuple(r[i] for i in at)) for r in rel.fetchall())
