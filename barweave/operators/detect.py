@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import rounded
 from .relational import first_failure
 
 
@@ -211,8 +212,8 @@ def risk_plan(close: Column, r: Column, base_low: Column, stop: Column) -> list[
     target = r + (r - base_low)
     risk = close - stop
     return [
-        F.round(close, 2).alias("entry"), F.round(stop, 2).alias("stop"), F.round(target, 2).alias("target"), F.round(risk / close * 100, 2).alias("risk_pct"),
-        F.round((target - close) / close * 100, 2).alias("reward_pct"), F.when(risk > 0, F.round(F.try_divide(target - close, risk), 2)).alias("rr"),
+        rounded(close, 2).alias("entry"), rounded(stop, 2).alias("stop"), rounded(target, 2).alias("target"), rounded(risk / close * 100, 2).alias("risk_pct"),
+        rounded((target - close) / close * 100, 2).alias("reward_pct"), F.when(risk > 0, rounded(F.try_divide(target - close, risk), 2)).alias("rr"),
     ]
 
 
@@ -225,7 +226,7 @@ def scanner_score(touches: Column, days: Column, higher_lows: Column, young: Col
     near = F.when(dist.between(-0.05, 0.04), 20 * F.greatest(1 - F.abs(dist) / 0.04, F.lit(0.0))).otherwise(0.0)
     five = lambda c: F.when(c, 5.0).otherwise(0.0)
     high = F.when(off_high <= 0.15, 15 * (1 - off_high / 0.15)).otherwise(0.0)
-    return F.round(base + 10 * unit(vcr / 0.30) + 5 * unit(vdu / 0.20) + near + five(above50) + five(above200) + five(rising) + five(rs > 0) + five(rs_slope > 0) + high, 2)
+    return rounded(base + 10 * unit(vcr / 0.30) + 5 * unit(vdu / 0.20) + near + five(above50) + five(above200) + five(rising) + five(rs > 0) + five(rs_slope > 0) + high, 2)
 
 
 def feature_score(f: dict[str, Column]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import rounded_sql
 from .indicators import lag
 from .relational import first_failure
 
@@ -63,18 +64,18 @@ def cohort(ind: DataFrame, base: DataFrame, listed: DataFrame) -> DataFrame:
     """One row per row of ``listed`` (symbol and whatever else the day's list has): figures at the symbol's last bar and the
     tags; under 30 bars only the status. ``ind`` are indicator columns, ``base`` (symbol, base_length)."""
     last = ind.withColumns({f"c{k}": F.expr(lag("close", k)) for k in (5, 20, 60)}).filter("n = bars_total").join(base, "symbol")
-    pct = lambda a, b: f"round(({a} / {b} - 1) * 100, 2)"
+    pct = lambda a, b: rounded_sql(f"({a} / {b} - 1) * 100", 2)
     # a mean that is not there yet gives no multiple; one below a share counts as one
-    times = lambda mean: f"round(volume / CASE WHEN {mean} < 1 THEN 1 ELSE {mean} END, 2)"
-    rng = "greatest(high - low, 1e-9) * 100"
+    times = lambda mean: rounded_sql(f"volume / CASE WHEN {mean} < 1 THEN 1 ELSE {mean} END", 2)
+    share = lambda part: rounded_sql(f"{part} / greatest(high - low, 1e-9) * 100", 1)
     ok = last.filter("n >= 30").selectExpr(
-        "symbol", "'ok' AS status", "n AS bars", "dt AS last_date", *[f"round({c}, 4) AS {c}" for c in ("close", "open", "high", "low")], "CAST(volume AS BIGINT) AS volume",
+        "symbol", "'ok' AS status", "n AS bars", "dt AS last_date", *[f"{rounded_sql(c, 4)} AS {c}" for c in ("close", "open", "high", "low")], "CAST(volume AS BIGINT) AS volume",
         f"{pct('close', 'pc')} AS pct_chg_actual", f"{pct('open', 'pc')} AS gap_pct",
-        f"round(abs(close - open) / {rng}, 1) AS body_pct_range", f"round((high - greatest(close, open)) / {rng}, 1) AS upper_wick_pct", f"round((least(close, open) - low) / {rng}, 1) AS lower_wick_pct",
-        f"{times('v20_full')} AS vol_x_avg20", f"{times('v50')} AS vol_x_avg50", "round(wrsi14, 1) AS rsi14", "round(watr14 / close * 100, 2) AS atr14_pct",
-        "close > ma20 AS above_sma20", "close > ma50 AS above_sma50", "close > ma200 AS above_sma200", "ema9r > ema21r AND close > ema9r AS ema_stack_bull", "round(bb_pos, 2) AS bb_position",
+        f"{share('abs(close - open)')} AS body_pct_range", f"{share('(high - greatest(close, open))')} AS upper_wick_pct", f"{share('(least(close, open) - low)')} AS lower_wick_pct",
+        f"{times('v20_full')} AS vol_x_avg20", f"{times('v50')} AS vol_x_avg50", f"{rounded_sql('wrsi14', 1)} AS rsi14", f"{rounded_sql('watr14 / close * 100', 2)} AS atr14_pct",
+        "close > ma20 AS above_sma20", "close > ma50 AS above_sma50", "close > ma200 AS above_sma200", "ema9r > ema21r AND close > ema9r AS ema_stack_bull", f"{rounded_sql('bb_pos', 2)} AS bb_position",
         f"{pct('close', 'chi252')} AS dist_52w_high_pct", f"{pct('close', 'clo252')} AS dist_52w_low_pct", *[f"CASE WHEN n > {k + 1} THEN {pct('close', f'c{k}')} END AS ret_{k}d_pct" for k in (5, 20, 60)],
-        "up_run AS consec_up_days", "base_length AS base_len_5pct", "close >= chi252 * 0.999 AS is_52w_high", "round(v20_full / 1e5, 2) AS vol_avg20_lakhs",
+        "up_run AS consec_up_days", "base_length AS base_len_5pct", "close >= chi252 * 0.999 AS is_52w_high", f"{rounded_sql('v20_full / 1e5', 2)} AS vol_avg20_lakhs",
     ).withColumn("tags", tags())
     short = last.filter("n < 30").selectExpr("symbol", "n AS bars")
     out = listed.join(ok.unionByName(short, allowMissingColumns=True), "symbol", "left")
