@@ -9,6 +9,7 @@ from ..functions.windows import percentile_rank
 from ..operators import detect, features, labels, screens
 from ..operators.indicators import frame, slope, staged_sql, with_indicators
 from ..operators.relational import first_failure, funnel
+from ..sources import storage
 from ..sources.fixtures import fundamentals, table, walk_bars
 from .cohort_sql import COHORT
 from .detector_sql import setups_sql
@@ -37,8 +38,10 @@ def quality_gates(spark, sf_dir):
 
 
 def replay_setups(spark, sf_dir):
+    """Setups, gated bars and bars; the first two are written once, as later steps read them several times."""
     ind, bars = gated(spark, sf_dir)
-    return detect.detect(ind, F.expr("drop_reason is null and n >= 250")), ind, bars
+    ind = storage.written(ind.select("symbol", "n", "dt", "high", "low", "close", "atr20", "pivot3", "drop_reason"), "gated")
+    return storage.written(detect.detect(ind, F.expr("drop_reason is null and n >= 250")), "setups"), ind, bars
 
 
 _SETUP = f"symbol, CAST(n AS INTEGER) AS n, dt, {r6('r')} AS r, touches, base_start, base_len_days, {r6('distance_pct')} AS distance_pct, is_high"
@@ -100,9 +103,8 @@ def touches(spark, sf_dir):
     return g.filter(detect.held(F.col("touches"), F.col("days"), detect.Setup()))
 
 
-def replay(spark, sf_dir):
+def replay(setups, ind):
     """Setups with an outcome, thinned to one per cooldown."""
-    setups, ind, _ = replay_setups(spark, sf_dir)
     e = setups.join(ind.select("symbol", "n", "close", F.col("atr20").alias("atr")), ["symbol", "n"]).withColumn("resistance", F.col("r"))
     outcome = labels.triple_barrier(e, ind.select("symbol", "n", "dt", "high", "low", "close"))
     return labels.cooldown(outcome.filter("label is not null"), 15)
@@ -113,13 +115,16 @@ def replay(spark, sf_dir):
     kd AS (SELECT symbol, min(dt) AS dt FROM oc GROUP BY symbol UNION ALL SELECT symbol, nx AS dt FROM (SELECT kd.symbol, (SELECT min(oc.dt) FROM oc WHERE oc.symbol = kd.symbol AND oc.dt >= kd.dt + 15) AS nx FROM kd) WHERE nx IS NOT NULL)
     SELECT oc.* FROM oc JOIN kd USING (symbol, dt)""")
 def replay_with_cooldown(spark, sf_dir):
-    return replay(spark, sf_dir).withColumns({c: F.expr(r6(c)) for c in ("exit_price", "r_multiple")})
+    return replay(*replay_setups(spark, sf_dir)[:2]).withColumns({c: F.expr(r6(c)) for c in ("exit_price", "r_multiple")})
 
 
 @query("c09_symbol_scan")
 def symbol_scan(spark, sf_dir):
-    """Thinned setups with their outcome and all features."""
-    return replay(spark, sf_dir).join(feature_rows(spark, sf_dir), ["symbol", "dt"])
+    """Thinned setups with their outcome and all features; features are made of the thinned ones only."""
+    setups, ind, bars = replay_setups(spark, sf_dir)
+    thinned = storage.written(replay(setups, ind), "thinned")
+    kept = storage.written(setups.join(thinned.select("symbol", "dt"), ["symbol", "dt"], "left_semi").select(setups.columns), "kept")
+    return thinned.join(feature_rows(spark, sf_dir, kept, bars), ["symbol", "dt"])
 
 
 _LAST = f"{staged_sql()}, la AS (SELECT * FROM ind WHERE n = bars_total)"
@@ -334,8 +339,10 @@ def stacks(spark, sf_dir):
     return with_indicators(walk_bars(spark, sf_dir)).selectExpr("symbol", "dt", "coalesce(close > ema20 AND ema20 > ema50, false) AS stack", "coalesce(n >= 200 AND close > ema20 AND ema20 > ema50 AND ema50 > ema200, false) AS full_stack")
 
 
-def feature_rows(spark, sf_dir):
-    setups, _, bars = replay_setups(spark, sf_dir)
+def feature_rows(spark, sf_dir, setups=None, bars=None):
+    """Features of the setups given, of all of the replay without any."""
+    if setups is None:
+        setups, _, bars = replay_setups(spark, sf_dir)
     _, members, index = _index(spark, sf_dir)
     g = index.withColumnRenamed("level", "glevel")
     joined = with_benchmark(bars, benchmark(bars)).join(members, "symbol", "left").join(g, ["grp", "dt"], "left")

@@ -1,8 +1,9 @@
 """What keeps figures in proportion on larger tables: work that is not asked for is not done, and parts grow with the input."""
 
 import numpy as np
-from barweave.operators import boost, training
+from barweave.operators import boost, detect, training
 from barweave.operators.boost import Tree
+from barweave.plans import setups
 from barweave.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,9 @@ def test_bars_have_parts_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "PART_BYTES", 10_000)
     bars = fixtures.walk_bars(spark, SF)
     assert bars.rdd.getNumPartitions() >= 10 and sorted(map(tuple, bars.collect())) == before
+
+
+def test_symbol_scan_detects_once(spark, monkeypatch):
+    runs, one = [], detect.detect
+    monkeypatch.setattr(detect, "detect", lambda *a: runs.append(1) or one(*a))
+    assert "coiled_spring_score" in setups.symbol_scan(spark, SF).columns and len(runs) == 1
