@@ -1,12 +1,13 @@
 """Horizontal-resistance detection over pivots, as folds over small arrays.
 
-Gates are evaluated first as window columns. Only bars that pass look up the pivots of their block of bars and of the
-block before, one row each; the pivots of one as-of bar (a few dozen) are clustered by a fold, and candidates are
-chosen by sorting an array of structs.
+Gates are evaluated first as window columns. Bars that pass and see the same pivots are one set: it looks up the pivots of its
+block of bars and of the block before, one row each, and clusters them (a few dozen) by a fold once. The bars meet the levels
+of their set, and candidates are chosen by sorting an array of structs.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,45 +87,57 @@ def held(touches: Column, days: Column, p: Setup) -> Column:
 
 
 def lookback_pivots(bars: DataFrame, lookback: int) -> DataFrame:
-    """symbol, blk, near: the pivots (i, p_dt, p_high) that the bars of each block of ``lookback`` bars can look back to, those
-    of the block itself and of the one before. One row per block, so a bar meets its pivots without a row for each."""
+    """symbol, blk, near: the pivots (k, p_dt, p_high; k numbers a symbol's pivots from 1) that the bars of each block of
+    ``lookback`` bars can look back to, those of the block itself and of the one before. One row per block."""
     at = F.floor(F.col("n") / lookback)
-    pivot = F.struct(F.col("n").alias("i"), F.col("dt").alias("p_dt"), F.col("high").alias("p_high"))
-    p = bars.filter("pivot3").select("symbol", F.explode(F.array(at, at + 1)).alias("blk"), pivot.alias("p"))
+    numbered = bars.filter("pivot3").withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("dt")))
+    pivot = F.struct("k", F.col("dt").alias("p_dt"), F.col("high").alias("p_high"))
+    p = numbered.select("symbol", F.explode(F.array(at, at + 1)).alias("blk"), pivot.alias("p"))
     return p.groupBy("symbol", "blk").agg(F.collect_list("p").alias("near"))
 
 
+def level_candidates(bars: DataFrame, sets: DataFrame, p: Setup) -> DataFrame:
+    """symbol, lo, hi, r, days: of each set of pivots (those numbered lo + 1 to hi, seen from block blk) the levels of enough
+    pivots, with the days of all pivots within the band of the level, ascending."""
+    own = sets.join(lookback_pivots(bars, p.lookback), ["symbol", "blk"])
+    seen = own.select("symbol", "lo", "hi", F.explode(F.filter("near", lambda x: (x["k"] > F.col("lo")) & (x["k"] <= F.col("hi")))).alias("x"))
+    pivots = seen.groupBy("symbol", "lo", "hi").agg(F.collect_list(F.struct("x.p_dt", "x.p_high")).alias("pivots"))
+    level = pivots.select("symbol", "lo", "hi", "pivots", F.explode(cluster_levels(F.transform("pivots", lambda x: x["p_high"]), p.band)).alias("c")).filter(F.col("c.cnt") >= p.touches)
+    r = F.col("c.level")
+    hits = F.transform(F.filter("pivots", lambda x: F.abs(x["p_high"] - r) / r <= p.band), lambda x: x["p_dt"])
+    return level.select("symbol", "lo", "hi", r.alias("r"), F.sort_array(hits).alias("days"))
+
+
 def detect(bars: DataFrame, when: Column, p: Setup = Setup()) -> DataFrame:
     """Setups (symbol, n, dt, r, touches, base_start, base_len_days, distance_pct, is_high) of the bars for which ``when`` holds;
-    ``bars`` needs symbol, n (from 1, without gaps), dt, close, high and pivot3. A bar without a setup has no row."""
-    w = Window.partitionBy("symbol").orderBy("dt").rowsBetween(1 - p.lookback, 0)
-    e = bars.withColumn("window_high", F.max("high").over(w)).filter(when & (F.col("n") >= p.base_days + 20)).select("symbol", "n", "dt", "close", "window_high")
-    own = e.withColumn("blk", F.floor(F.col("n") / p.lookback)).join(lookback_pivots(bars, p.lookback), ["symbol", "blk"])
-    seen = F.filter("near", lambda x: (x["i"] >= F.col("n") - p.lookback + 4) & (x["i"] <= F.col("n") - 3))
-    pair = F.sort_array(F.transform(seen, lambda x: F.struct(x["p_dt"].alias("p_dt"), x["p_high"].alias("p_high"))))
-    own = own.withColumn("pivots", pair).drop("near", "blk").filter(F.size("pivots") >= p.touches)
-    own = own.withColumn("clusters", cluster_levels(F.transform("pivots", lambda x: x["p_high"]), p.band))
-
-    def candidate(c):
-        r = c["level"]
-        dist = (r - F.col("close")) / F.col("close")
-        hits = F.filter("pivots", lambda x: F.abs(x["p_high"] - r) / r <= p.band)
-        recent = F.filter(hits, lambda x: F.datediff("dt", x["p_dt"]) <= p.base_most) if p.base_most else hits
-        start, kept = F.array_min(F.transform(hits, lambda x: x["p_dt"])), F.array_min(F.transform(recent, lambda x: x["p_dt"]))
-        long = F.datediff("dt", start)
-        ok = (c["cnt"] >= p.touches) & in_band(F.col("close"), r, p) & held(F.size(hits), long, p)
-        if p.off_high is not None:
-            ok = ok & near_top(r, F.col("window_high"), p)
-        cut = (long > p.base_most) if p.base_most else F.lit(False)
-        ok = ok & (~cut | (F.size(recent) >= p.touches))
-        base = F.when(cut, kept).otherwise(start)
-        length, high = F.datediff("dt", base), r >= 0.98 * F.col("window_high")
-        first = [-F.size(hits), -length, F.abs(dist)] if p.scanner else [F.when(high, 0).otherwise(1), -F.size(hits), F.abs(dist)]
-        return F.when(ok, F.struct(*[x.alias(f"k{i}") for i, x in enumerate(first)], (-r).alias("k3"), r.alias("r"), F.size(hits).alias("touches"), base.alias("base_start"), length.alias("base_len_days"), dist.alias("distance_pct"), high.alias("is_high")))
-
-    # what a level alone can fail is tested before its pivots are looked at
-    fit = F.filter("clusters", lambda c: (c["cnt"] >= p.touches) & in_band(F.col("close"), c["level"], p))
-    best = own.withColumn("clusters", fit).filter(F.size("clusters") > 0).withColumn("all", F.array_compact(F.transform("clusters", candidate))).filter(F.size("all") > 0).withColumn("best", F.array_min("all"))
+    ``bars`` needs symbol, n (from 1, without gaps), dt, close, high and pivot3. A bar without a setup has no row.
+
+    Levels depend on the pivots in sight only, and bars that follow each other see the same ones until a pivot is added or drops
+    out: each set of pivots is clustered once, and its bars test the levels against their own close."""
+    w = Window.partitionBy("symbol").orderBy("dt")
+    b = bars.withColumn("pivots_seen", F.count_if("pivot3").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    hi, lo = (F.coalesce(F.lag("pivots_seen", k).over(w), F.lit(0)) for k in (3, p.lookback - 3))
+    # what is tested needs the highest high of the lookback: of a few rows, then of rows that far apart, as maxima may overlap
+    e = b.withColumns({"hi": hi, "lo": lo, "_h": F.max("high").over(w.rowsBetween(-_step(p.lookback) + 1, 0))})
+    e = e.withColumn("window_high", F.greatest(*[F.lag("_h", k).over(w) for k in _apart(p.lookback)]))
+    e = e.filter(when & (F.col("n") >= p.base_days + 20) & (F.col("hi") - F.col("lo") >= p.touches)).select("symbol", "n", "dt", "close", "window_high", "lo", "hi")
+    sets = e.groupBy("symbol", "lo", "hi").agg(F.floor(F.min("n") / p.lookback).alias("blk"))
+    own = e.join(level_candidates(bars, sets, p), ["symbol", "lo", "hi"]).filter(in_band(F.col("close"), F.col("r"), p))
+
+    r, start, touches = F.col("r"), F.element_at("days", 1), F.size("days")
+    dist, long = (r - F.col("close")) / F.col("close"), F.datediff("dt", start)
+    ok = held(touches, long, p)
+    if p.off_high is not None:
+        ok = ok & near_top(r, F.col("window_high"), p)
+    base = start
+    if p.base_most:
+        recent = F.filter("days", lambda d: F.datediff("dt", d) <= p.base_most)
+        ok = ok & (~(long > p.base_most) | (F.size(recent) >= p.touches))
+        base = F.when(long > p.base_most, F.element_at(recent, 1)).otherwise(start)
+    length, high = F.datediff("dt", base), r >= 0.98 * F.col("window_high")
+    first = [-touches, -length, F.abs(dist)] if p.scanner else [F.when(high, 0).otherwise(1), -touches, F.abs(dist)]
+    fits = own.filter(ok).select("symbol", "n", "dt", F.struct(*[x.alias(f"k{i}") for i, x in enumerate(first)], (-r).alias("k3"), r.alias("r"), touches.alias("touches"), base.alias("base_start"), length.alias("base_len_days"), dist.alias("distance_pct"), high.alias("is_high")).alias("c"))
+    best = fits.groupBy("symbol", "n", "dt").agg(F.collect_list("c").alias("all")).withColumn("best", F.array_min("all"))
     if p.scanner:  # the highest level that is nearly as strong as the best one
         strong = F.filter("all", lambda c: (c["r"] > F.col("best.r") * 1.02) & (c["touches"] >= F.greatest(F.lit(2), F.floor(F.col("best.touches") * 0.8))) & (c["base_len_days"] >= F.floor(F.col("best.base_len_days") * 0.8)))
         top = F.array_min(F.transform(strong, lambda c: F.struct(c["k3"].alias("k"), c.alias("c"))))
@@ -132,6 +145,16 @@ def detect(bars: DataFrame, when: Column, p: Setup = Setup()) -> DataFrame:
     return best.select("symbol", "n", "dt", *[F.col(f"best.{c}").alias(c) for c in ("r", "touches", "base_start", "base_len_days", "distance_pct", "is_high")])
 
 
+def _step(n: int) -> int:
+    """Rows of the short frames that a frame of n rows is put together from."""
+    return max(1, math.isqrt(n))
+
+
+def _apart(n: int) -> list[int]:
+    """How many rows back the short frames end that cover a frame of n rows; the last may overlap the one before."""
+    return [*range(0, n - _step(n), _step(n)), n - _step(n)]
+
+
 def base_slice(setups: DataFrame, bars: DataFrame, block: int = 256) -> DataFrame:
     """Bars of each setup's base, from base_start to the as-of bar, with k (0-based position) and size. A setup meets
     only the blocks of bar numbers that its base can reach: a base has no more bars than days."""

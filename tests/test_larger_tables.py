@@ -5,6 +5,7 @@ from barweave.operators import boost, detect, training
 from barweave.operators.boost import Tree
 from barweave.plans import setups
 from barweave.sources import fixtures
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +49,13 @@ def test_symbol_scan_detects_once(spark, monkeypatch):
     runs, one = [], detect.detect
     monkeypatch.setattr(detect, "detect", lambda *a: runs.append(1) or one(*a))
     assert "coiled_spring_score" in setups.symbol_scan(spark, SF).columns and len(runs) == 1
+
+
+def test_levels_are_clustered_once_for_the_pivots_in_sight(spark, monkeypatch):
+    made, own = [], detect.level_candidates
+    monkeypatch.setattr(detect, "level_candidates", lambda bars, sets, p: made.append((bars, sets)) or own(bars, sets, p))
+    found = setups.replay_setups(spark, "/root/testdata/sf0.01")[0]
+    (bars, sets), passed = made[0], F.expr("drop_reason is null and n >= 250")
+    near = detect.lookback_pivots(bars, 750).selectExpr("symbol", "inline(near)").distinct()
+    assert near.count() == bars.filter("pivot3").count()  # each pivot has one number, though two blocks see it
+    assert sets.count() * 2 < bars.filter(passed).count() and found.count() > 1000
