@@ -409,15 +409,24 @@ def feature_score(spark, sf_dir):
     return feature_rows(spark, sf_dir).selectExpr("symbol", "dt", f"{r6('coiled_spring_score')} AS coiled_spring_score")
 
 
+def last_strength(bars):
+    """symbol, dt, rs_slope, rs_level at each symbol's last day with a benchmark: of its last 50 and 252 such days only."""
+    age = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("dt").desc()))
+    ratio = bars.join(benchmark(bars), "dt").select("symbol", "dt", (F.col("close") / F.col("bench")).alias("rs"), age.alias("age")).filter("age <= 252")
+    in_50 = lambda x: F.when(F.col("age") <= 50, x)
+    slope_50 = F.when(F.count_if(F.col("age") <= 50) == 50, F.regr_slope(in_50(F.col("rs")), in_50(-F.col("age"))))
+    return ratio.groupBy("symbol").agg(F.max("dt").alias("dt"), slope_50.alias("rs_slope"), ((F.max_by("rs", "dt") / F.avg("rs") - 1) * 100).alias("rs_level"))
+
+
 def scanner_rows(spark, sf_dir):
     """Scanner rows at the last bar with score, patterns, risk plan and drop_reason; null reason: on the list."""
-    setups, ind = last_setups(spark, sf_dir)
-    bars = walk_bars(spark, sf_dir)
-    bench = benchmark(bars)
-    ratio = bars.join(bench, "dt").selectExpr("symbol", "dt", "close / bench AS rs", "row_number() OVER (PARTITION BY symbol ORDER BY dt) AS i")
-    rising = ratio.selectExpr("symbol", "dt", f"CASE WHEN count(*) OVER {frame(50)} = 50 THEN regr_slope(rs, i) OVER {frame(50)} END AS rs_slope", f"(rs / avg(rs) OVER {frame(252)} - 1) * 100 AS rs_level")
-    base = detect.base_slice(setups, ind.select("symbol", "n", "dt", "high", "low", "close", "atr14"))
-    last = ind.filter("n = bars_total").select("symbol", "n", "close", "ma50", "ma200", "ma50_s20", "ma200_s20", "atr14_10", "v10", "v50", "hi252", "h15max", "max_move5", "rng", "atr20")
+    figures = ["close", "ma50", "ma200", "ma50_s20", "ma200_s20", "atr14_10", "v10", "v50", "hi252", "h15max", "max_move5", "rng", "atr20"]
+    # written once, as each of the steps below reads them
+    ind = storage.written(with_indicators(walk_bars(spark, sf_dir)).select("symbol", "n", "bars_total", "dt", "high", "low", "atr14", "pivot3", *figures), "scanned")
+    setups = storage.written(detect.detect(ind, F.expr("n = bars_total"), detect.SCANNER), "setups")
+    rising = last_strength(ind.select("symbol", "dt", "close"))
+    base = storage.written(detect.base_slice(setups, ind.select("symbol", "n", "dt", "high", "low", "close", "atr14")), "bases")
+    last = ind.filter("n = bars_total").select("symbol", "n", *figures)
     recent = ind.filter("n > bars_total - 50").groupBy("symbol").agg(F.max("high").alias("h50max"))
     j = last.join(recent, "symbol").join(setups, ["symbol", "n"], "left").join(rising, ["symbol", "dt"], "left").join(detect.base_features(base).drop("dt", "r"), ["symbol", "n"], "left")
     j = j.join(detect.contractions(base), ["symbol", "n"], "left").join(detect.double_bottoms(base).withColumn("w", F.lit(True)), ["symbol", "n"], "left")

@@ -1,10 +1,11 @@
 """What keeps figures in proportion on larger tables: work that is not asked for is not done, and parts grow with the input."""
 
 import numpy as np
-from barweave.operators import boost, detect, training
+from barweave.operators import boost, detect, groups, labels, training
 from barweave.operators.boost import Tree
+from barweave.plans import labels as label_plans
 from barweave.plans import setups
-from barweave.sources import fixtures
+from barweave.sources import fixtures, storage
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +60,27 @@ def test_levels_are_clustered_once_for_the_pivots_in_sight(spark, monkeypatch):
     near = detect.lookback_pivots(bars, 750).selectExpr("symbol", "inline(near)").distinct()
     assert near.count() == bars.filter("pivot3").count()  # each pivot has one number, though two blocks see it
     assert sets.count() * 2 < bars.filter(passed).count() and found.count() > 1000
+
+
+def test_outcomes_from_own_windows_equal_the_join(spark):
+    bars, at = label_plans.entries(spark, SF)
+    whole = label_plans.outcomes(spark, SF).select("symbol", "dt", "label", "exit_date", "exit_price", "r_multiple", "days_held")
+    joined = labels.triple_barrier(bars, at)
+    assert whole.count() > 100 and sorted(map(tuple, whole.collect())) == sorted(map(tuple, joined.collect()))
+    assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scanner_makes_its_indicators_once(spark, monkeypatch):
+    made, own = [], storage.written
+    monkeypatch.setattr(storage, "written", lambda df, name: made.append(name) or own(df, name))
+    rows = setups.scanner_rows(spark, SF)
+    assert made == ["scanned", "setups", "bases"]
+    assert "RowFrame, -251" not in rows._jdf.queryExecution().optimizedPlan().toString()  # strength is taken at the last bar only
+
+
+def test_breadth_looks_at_the_last_bars_only(spark):
+    days = [(s, d, 100.0 + (d if s < 4 else -d)) for s in range(6) for d in range(230)]
+    bars = spark.createDataFrame(days, "symbol int, day int, close double").withColumn("dt", F.date_from_unix_date("day"))
+    out = groups.breadth(bars, spark.createDataFrame([(s, "g") for s in range(6)], "symbol int, grp string"))
+    assert [tuple(r) for r in out.collect()] == [("g", 4 / 6 * 100, 4 / 6 * 100)]
+    assert "RowFrame, -199" not in out._jdf.queryExecution().optimizedPlan().toString()
