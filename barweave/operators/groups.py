@@ -46,11 +46,11 @@ def rotation_core(index: DataFrame, bench: DataFrame, snapshots: DataFrame) -> D
 
 def breadth(bars: DataFrame, members: DataFrame, least: int = 5) -> DataFrame:
     """grp, share of members (with 200 bars) above their 50- and 200-bar means at their last bar; null under ``least`` members."""
-    w = Window.partitionBy("symbol").orderBy("dt")
-    last = bars.select(
-        "symbol", "close", F.avg("close").over(w.rowsBetween(-49, 0)).alias("m50"), F.avg("close").over(w.rowsBetween(-199, 0)).alias("m200"),
-        F.row_number().over(w).alias("n"), F.count("*").over(Window.partitionBy("symbol")).alias("total"),
-    ).filter("n = total and n >= 200")
+    age = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("dt").desc()))
+    near = bars.select("symbol", "close", age.alias("age")).filter("age <= 200")
+    last = near.groupBy("symbol").agg(
+        F.max(F.when(F.col("age") == 1, F.col("close"))).alias("close"), F.avg(F.when(F.col("age") <= 50, F.col("close"))).alias("m50"), F.avg("close").alias("m200"), F.count("*").alias("n"),
+    ).filter("n >= 200")
     share = lambda m: F.when(F.count("*") >= least, F.avg((F.col("close") > F.col(m)).cast("double")) * 100)
     return last.join(members, "symbol").groupBy("grp").agg(share("m50").alias("breadth_above_50dma"), share("m200").alias("breadth_above_200dma"))
 
