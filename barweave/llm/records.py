@@ -11,6 +11,7 @@ never mixes with a lost one.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -70,6 +71,8 @@ class WordIds:
     def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
+        # Spark's tasks are the threads: the library's own take twice the CPU time for the same words
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = special_as_text
         for token in self.tok.get_added_tokens_decoder().values():
@@ -82,17 +85,27 @@ class WordIds:
         """Little-endian ids of every text, without end ids."""
         words = [t.split() if t else [] for t in bufs]
         memo, pack = self.memo, {2: "<%dH", 4: "<%dI"}[self.width]
-        new = list({w for ws in words for w in ws}.difference(memo))
+        found = [list(map(memo.get, ws)) for ws in words]
+        out: list[bytes | None] = []
+        for ids in found:
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # a word that is not remembered
+                out.append(None)
+        gaps = {i: [j for j, x in enumerate(found[i]) if x is None] for i, x in enumerate(out) if x is None}
+        new = list({words[i][j] for i, at in gaps.items() for j in at})
         fresh = {}
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 fresh[w] = struct.pack(pack % len(e.ids), *e.ids)
+        for i, at in gaps.items():
+            for j in at:
+                found[i][j] = fresh[words[i][j]]
+            out[i] = b"".join(found[i])
         if len(memo) + len(fresh) <= MEMO:
             memo.update(fresh)
-            fresh = {}
-        get = memo.__getitem__ if not fresh else lambda w: memo.get(w) or fresh.get(w, b"")
-        return [b"".join(map(get, ws)) for ws in words]
+        return out
 
 
 _ENCODERS: dict[str, WordIds] = {}
