@@ -339,18 +339,22 @@ def stacks(spark, sf_dir):
     return with_indicators(walk_bars(spark, sf_dir)).selectExpr("symbol", "dt", "coalesce(close > ema20 AND ema20 > ema50, false) AS stack", "coalesce(n >= 200 AND close > ema20 AND ema20 > ema50 AND ema50 > ema200, false) AS full_stack")
 
 
+def described_bars(spark, sf_dir, bars):
+    """Indicators of the bars with their benchmark b and their group's level g. Levels are a row per group and day of the calendar, so they go to the bars."""
+    _, members, index = _index(spark, sf_dir)
+    g = index.withColumnRenamed("level", "glevel")
+    joined = with_benchmark(bars, benchmark(bars)).join(members, "symbol", "left").join(F.broadcast(g), ["grp", "dt"], "left")
+    w = Window.partitionBy("symbol").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    return with_indicators(joined.withColumn("g", F.last("glevel", ignorenulls=True).over(w)).drop("grp", "glevel"))
+
+
 def feature_rows(spark, sf_dir, setups=None, bars=None):
     """Features of the setups given, of all of the replay without any."""
     if setups is None:
         setups, _, bars = replay_setups(spark, sf_dir)
-    _, members, index = _index(spark, sf_dir)
-    g = index.withColumnRenamed("level", "glevel")
-    joined = with_benchmark(bars, benchmark(bars)).join(members, "symbol", "left").join(g, ["grp", "dt"], "left")
-    w = Window.partitionBy("symbol").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    ind = with_indicators(joined.withColumn("g", F.last("glevel", ignorenulls=True).over(w)).drop("grp", "glevel"))
     f = fundamentals(spark, sf_dir).withColumnsRenamed({"market_cap": "marketCap", "pe": "trailingPE", "roe": "returnOnEquity"})
     ranks = {f"{c}_rank_{k}": percentile_rank(c, by) for c in ("marketCap", "trailingPE", "returnOnEquity") for k, by in (("sector", ["sector"]), ("all", []))}
-    return features.make_features(setups, ind, bars, f.withColumns(ranks).drop("sector"))
+    return features.make_features(setups, described_bars(spark, sf_dir, bars), f.withColumns(ranks).drop("sector"))
 
 
 _WEEKLY = f"""WITH RECURSIVE {_REPLAY},
@@ -406,7 +410,9 @@ _FIVE = " + ".join(f"CASE WHEN {c} > 0 THEN 5 ELSE 0 END" for c in ("(close / em
       + CASE WHEN d BETWEEN -0.03 AND 0.08 THEN 20 * greatest(1 - abs(d) / 0.08, 0) ELSE 0 END + {_FIVE} + CASE WHEN off <= 0.15 THEN 15 * (1 - off / 0.15) ELSE 0 END AS score FROM fj)
   SELECT symbol, dt, {r6("score")} AS coiled_spring_score FROM fz""")
 def feature_score(spark, sf_dir):
-    return feature_rows(spark, sf_dir).selectExpr("symbol", "dt", f"{r6('coiled_spring_score')} AS coiled_spring_score")
+    setups, _, bars = replay_setups(spark, sf_dir)
+    scored = features.make_scores(setups, described_bars(spark, sf_dir, bars))
+    return scored.selectExpr("symbol", "dt", f"{r6('coiled_spring_score')} AS coiled_spring_score")
 
 
 def last_strength(bars):
