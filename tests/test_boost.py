@@ -6,7 +6,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
-from barweave.operators import boost
+from barweave.operators import boost, training
 from pyspark.sql import functions as F
 
 FEATURES = ["a", "b", "c"]
@@ -219,3 +219,26 @@ def test_no_rows_and_one_label(spark):
     assert m.trees == [] and m.base == 0.0
     (m,) = boost.fit(spark.createDataFrame([(i, 1.0, 2.0, 3.0, 1.0, 1.0) for i in range(50)], SCHEMA), FEATURES, SMALL)
     assert m.trees == [] and m.base > 10
+
+
+def test_trees_by_columns_and_by_table(monkeypatch):
+    """Both ways to the leaves agree, missing values included; a pass keeps a feature's bins together."""
+    r = np.random.default_rng(4)
+    bins = r.integers(0, 20, (500, 3)).astype(np.uint8)
+    t = boost.Tree()
+    for node, feature, at, missing in [(0, 1, 255, False), (1, 0, 9, True), (3, 2, 4, False), (4, 1, 0, True), (7, 2, 12, True)]:
+        t.split(node, feature, at, missing, 1.0)
+    small = t.nodes(bins)
+    assert small.dtype == np.uint8 and (small == t.nodes(np.asfortranarray(bins))).all() and len(set(small.tolist())) == 4
+    monkeypatch.setattr(boost, "SMALL", 0)
+    assert (t.nodes(bins) == small).all() and boost.binned([np.arange(5.0)] * 2, [[1.0], [2.0]]).flags.f_contiguous
+
+
+def test_cuts_are_found_once_a_table(spark, monkeypatch):
+    """The model on all rows takes the cuts of the folds' fit on the same table."""
+    found, find = [], boost.find_cuts
+    monkeypatch.setattr(boost, "find_cuts", lambda *a: found.append(1) or find(*a))
+    df = spark.createDataFrame(table(), SCHEMA).withColumn("parts", F.expr("array(cast(1 + id % 2 as int), cast(2 - id % 2 as int))"))
+    f = training.cross_validated(df, None, FEATURES, SMALL)
+    assert f.model.cuts == f.folds[0].cuts and len(found) == 1
+    assert f.model == boost.fit(df, FEATURES, replace(SMALL, rounds=f.model.best))[0]
