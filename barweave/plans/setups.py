@@ -339,11 +339,14 @@ def stacks(spark, sf_dir):
     return with_indicators(walk_bars(spark, sf_dir)).selectExpr("symbol", "dt", "coalesce(close > ema20 AND ema20 > ema50, false) AS stack", "coalesce(n >= 200 AND close > ema20 AND ema20 > ema50 AND ema50 > ema200, false) AS full_stack")
 
 
-def described_bars(spark, sf_dir, bars):
-    """Indicators of the bars with their benchmark b and their group's level g. Levels are a row per group and day of the calendar, so they go to the bars."""
+def described_bars(spark, sf_dir, bars, grouped=True):
+    """Indicators of the bars with their benchmark b and, if ``grouped``, their group's level g. Levels are a row per group and day of the calendar, so they go to the bars."""
+    aligned = with_benchmark(bars, benchmark(bars))
+    if not grouped:
+        return with_indicators(aligned)
     _, members, index = _index(spark, sf_dir)
     g = index.withColumnRenamed("level", "glevel")
-    joined = with_benchmark(bars, benchmark(bars)).join(members, "symbol", "left").join(F.broadcast(g), ["grp", "dt"], "left")
+    joined = aligned.join(members, "symbol", "left").join(F.broadcast(g), ["grp", "dt"], "left")
     w = Window.partitionBy("symbol").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
     return with_indicators(joined.withColumn("g", F.last("glevel", ignorenulls=True).over(w)).drop("grp", "glevel"))
 
@@ -411,7 +414,7 @@ _FIVE = " + ".join(f"CASE WHEN {c} > 0 THEN 5 ELSE 0 END" for c in ("(close / em
   SELECT symbol, dt, {r6("score")} AS coiled_spring_score FROM fz""")
 def feature_score(spark, sf_dir):
     setups, _, bars = replay_setups(spark, sf_dir)
-    scored = features.make_scores(setups, described_bars(spark, sf_dir, bars))
+    scored = features.make_scores(setups, described_bars(spark, sf_dir, bars, grouped=False))
     return scored.selectExpr("symbol", "dt", f"{r6('coiled_spring_score')} AS coiled_spring_score")
 
 
